@@ -167,7 +167,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     cut = F.when(F.col("y") == 1, F.lit(per_class * (1 << 30) // max(1, n.get(1, 1)))).otherwise(F.lit(per_class * (1 << 30) // max(1, n.get(0, 1))))
     picked = marks.where(F.col("h") < cut).select("doc_id", "y")
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    # at most about 2 * per_class ids, whatever the input: broadcasting them saves shuffling all texts
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def score_documents(docs: DataFrame, table: np.ndarray, bias: float, modulus: int = 3, held: int = 1, cut: float = 0.7) -> DataFrame:
