@@ -60,10 +60,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def flat_utf8(column) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of an Arrow string column end to end, and n+1 offsets; null counts as empty."""
+    """Bytes of an Arrow string (or binary) column end to end, and n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     n = len(column)
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)

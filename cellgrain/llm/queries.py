@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_join, packing, quality_crf, token_counts, toxicity
+from . import language_id, ngram_join, packing, quality_crf, suffix_dedup, token_counts, toxicity
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
         "op5_quality": op5_quality,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_packing": op10_packing,
     }
