@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_join, packing, quality_crf, suffix_dedup, token_counts, toxicity
+from . import language_id, lm_scoring, ngram_join, packing, quality_crf, suffix_dedup, token_counts, toxicity
 from .common import read
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_likelihood(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -47,6 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
