@@ -178,3 +178,26 @@ def identify_language(docs: DataFrame, per_language: int = 1500) -> DataFrame:
     """Fit on rows whose crc32(doc_id) mod 5 is not 0, then predict every row."""
     profiles = fit_profiles(docs, bucket_of("doc_id", 5) != 0, per_language=per_language)
     return predict(docs, profiles)
+
+
+def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.1, size: int = PROFILE) -> DataFrame:
+    """The rows of `docs`, all columns, with a language and a score of at least `least`; no shuffle.
+
+    Without any profile (no labelled row) nothing can be rejected for being
+    unlike one: then only texts without a letter go.
+    """
+    langs, union, ranks = rank_table(profiles)
+    text_at, schema = docs.columns.index("text"), docs.schema
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for text in batch.column(text_at):
+                if langs:
+                    lang, score = classify(text.as_py(), langs, union, ranks, size)
+                    keep.append(lang != "und" and score >= least)
+                else:
+                    keep.append(len(normalized(text.as_py())) > 0)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)

@@ -294,3 +294,10 @@ def jaccard_components(docs: DataFrame, rare: int = RARE) -> DataFrame:
     final = of_set.join(smallest, "c").select("sid", "component_id")
     rows = sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
     return rows.join(final, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose id is the smallest of its component; one row for each id."""
+    found = jaccard_components(docs.where("doc_id is not null"))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

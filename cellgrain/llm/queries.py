@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_scoring, ngram_join, packing, quality_crf, suffix_dedup, token_counts, toxicity
+from . import decontamination, embedding_dedup, language_id, lm_scoring, ngram_join, packing, quality_crf, suffix_dedup, token_counts, toxicity
 from .common import read
 
 
@@ -37,6 +37,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
         "op5_quality": op5_quality,
+        "op6_decontamination": op6_decontamination,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_packing": op10_packing,

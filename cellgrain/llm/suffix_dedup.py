@@ -453,3 +453,16 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, bucket_bytes: int =
     found = stash(_dealt(details).mapInArrow(_compare(n_docs), _PACKED), "found")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return joined(marks.unionByName(found)).mapInArrow(_removed(keep_text), schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, with repeated passages cut from `text` and `n_chars` brought up to date.
+
+    Ids have to be unique.  A text of which nothing is left stays as an empty text.
+    """
+    kept = remove_repeats(docs, keep_text=True).select("doc_id", F.col("kept_text").alias("_kept"))
+    rest = docs.drop("text", *(["n_chars"] if "n_chars" in docs.columns else []))
+    out = kept.join(rest, "doc_id").withColumnRenamed("_kept", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
