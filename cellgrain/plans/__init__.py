@@ -1 +1,7 @@
+"""Workflows and the catalogue of registered queries."""
 
+
+def catalogues():
+    from . import cell_queries, pair_queries, pattern_queries
+
+    return [pattern_queries.catalogue, cell_queries.catalogue, pair_queries.catalogue]
