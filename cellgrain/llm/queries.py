@@ -72,5 +72,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Smallest id that links reach, from edges(a, b) in both directions.
+_REACH = """reach(id, other) as (select a, b from edges union select r.id, e.b from reach r join edges e on e.a = r.other),
+component as (select id, least(id, min(other)) component_id from reach group by 1)"""
+
+ORACLES = {
+    "op7_embedding_dedup": f"""with recursive ok as (select vec_id, label, embedding::double[] v from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges as (select p.vec_id a, q.vec_id b from ok p join ok q on p.label = q.label and len(p.v) = len(q.v) and p.vec_id <> q.vec_id where list_cosine_similarity(p.v, q.v) >= 0.93), {_REACH},
+n as (select a, count(*) n_links from edges group by 1)
+select vec_id, coalesce(n_links, 0) n_links, coalesce(component_id, vec_id) component_id, vec_id = coalesce(component_id, vec_id) kept
+from embeddings left join n on a = vec_id left join component on id = vec_id where vec_id is not null""",
+    "op8_suffix_dedup": """with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents where doc_id is not null),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) s from d, lateral (select unnest(range(len(h) // 2 - 49)) p)), f as (select s, min(doc_id) first from w group by 1),
+gone as (select w.doc_id, w.p from w join f using (s) where first < w.doc_id),
+cut as (select doc_id, p, coalesce(p > max(p + 50) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding), true)::int new from gone),
+span as (select doc_id, k, min(p) x, max(p) + 50 y from (select *, sum(new) over (partition by doc_id order by p) k from cut) group by 1, 2),
+part as (select d.doc_id, x, substr(h, 2 * coalesce(lag(y) over o, 0) + 1, 2 * (x - coalesce(lag(y) over o, 0))) t from span join d using (doc_id) window o as (partition by d.doc_id order by x)),
+tail as (select d.doc_id, 1e12::bigint x, substr(h, 2 * coalesce(max(y), 0) + 1) t from d left join span using (doc_id) group by d.doc_id, h),
+kept as (select doc_id, string_agg(t, '' order by x) t from (select * from part union all select * from tail) group by 1),
+n as (select doc_id, sum(y - x)::bigint n_removed, count(*) n_spans from span group by 1)
+select d.doc_id, len(h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(kept.t)) kept_sha256 from d join kept using (doc_id) left join n using (doc_id)""",
+    "op9_ngram_jaccard": f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents where doc_id is not null),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') s from d, lateral (select unnest(range(1, len(w) - 3)) i) where len(w) >= 5 union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4),
+n as (select doc_id, count(*) n from s group by 1), c as (select x.doc_id a, y.doc_id b, count(*) k from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+edges as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * k >= 75 * (p.n + q.n - k)), {_REACH}
+select d.doc_id, coalesce(n, 0) n_shingles, coalesce(component_id, d.doc_id) component_id from d left join n using (doc_id) left join component on id = d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; tests/llm has brute-force versions of the others."""
+    return ORACLES
