@@ -27,6 +27,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows that have an id."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def bucket_of(doc_id: str, modulus: int):
     """crc32(doc_id as text) mod `modulus`, as a column."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, flat_utf8, mix64, token_hashes, words_of
+from .common import doc_slices, flat_utf8, mix64, texts_of, token_hashes, words_of
 
 MATCH = 5
 COVERAGE = 0.5
@@ -199,13 +199,13 @@ def _load_items(items: DataFrame, match: int) -> Items | None:
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     if size > 2 * BROADCAST_TOKENS:
         return None
-    rows = items.where("item_id is not null").select("item_id", "text").orderBy("item_id", "text").collect()
+    rows = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").collect()
     return Items([r["item_id"] for r in rows], [r["text"] for r in rows], match)
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
     """Rows (doc_id, item_id, item_tokens, covered, coverage, tiles, longest) of all documents that hold enough of an item."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    docs = texts_of(docs)
     table = _load_items(items, match)
     if table is None:
         return _joined(docs, items, match, coverage)

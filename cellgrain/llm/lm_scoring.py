@@ -249,7 +249,7 @@ def score_documents(docs: DataFrame, path: str, train: Column, rounds: int = ROU
     `path` is a sentencepiece vocabulary that executors can read; `train` marks
     the rows to learn from.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", train.alias("train"), "text")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.col("text").cast("string").alias("text"))
     blocks = stash(docs.mapInArrow(_blocks, _BLOCK), "blocks")
     counted = blocks.select("block", F.posexplode(F.arrays_zip("words", "seen")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.seen").alias("c"))
     vocab = stash(counted.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")

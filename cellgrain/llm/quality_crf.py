@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, crc_mod, doc_slices, flat_utf8, group_sums, powers, token_hashes, words_of
+from .common import IS_SPACE, crc_mod, doc_slices, flat_utf8, group_sums, powers, texts_of, token_hashes, words_of
 from .toxicity import training_sample
 
 #: Bound on labelled documents used for fitting, of each class.
@@ -207,7 +207,7 @@ def score_flat(data: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, modulus: int = 3, held: int = 1, cut: float = 0.5) -> DataFrame:
     """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1 (at most `per_class` of each class), score every row.
 
-    Rows (doc_id, held_out, score, predicted) for every row of `docs`; scoring has no shuffle.
+    Rows (doc_id, held_out, score, predicted) for every row of `docs` with an id; scoring has no shuffle.
     """
     sample = training_sample(docs, labels, "quality", per_class, modulus, held).orderBy("doc_id").collect()
     share = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held)).agg(F.avg("quality").alias("p")).first()["p"]
@@ -223,4 +223,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, m
             held_out = crc_mod(ids.to_pylist(), modulus) == held
             yield pa.RecordBatch.from_arrays([ids, pa.array(held_out, pa.bool_()), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts_of(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

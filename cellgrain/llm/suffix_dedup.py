@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, flat_utf8, mix64, powers, stash
+from .common import doc_slices, flat_utf8, mix64, powers, stash, texts_of
 
 LENGTH = 50
 K = 20
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, bucket_bytes: int =
 
     `kept_text` leaves out the bytes of characters of which only a part was removed.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(total) // bucket_bytes
     n_buckets, n_docs = max(16, n), max(17, n | 1)
@@ -460,9 +460,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Ids have to be unique.  A text of which nothing is left stays as an empty text.
     """
-    kept = remove_repeats(docs, keep_text=True).select("doc_id", F.col("kept_text").alias("_kept"))
+    kept = remove_repeats(docs, keep_text=True).select("doc_id", F.col("kept_text").alias("__kept"))
     rest = docs.drop("text", *(["n_chars"] if "n_chars" in docs.columns else []))
-    out = kept.join(rest, "doc_id").withColumnRenamed("_kept", "text")
+    out = kept.join(rest, "doc_id").withColumnRenamed("__kept", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

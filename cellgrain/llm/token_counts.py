@@ -29,7 +29,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import texts_of
 
 SPACE = "▁"
 CHUNK = 1 << 16
@@ -252,7 +253,7 @@ def transducer(path: str) -> Transducer:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens, over_limit) for every row of `docs`; no shuffle.
+    """Rows (doc_id, n_bytes, n_tokens, over_limit) for every row of `docs` with an id; no shuffle.
 
     `path` is a sentencepiece BPE file that executors can read.
     """
@@ -264,4 +265,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
             n = machine.count_texts(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([ids, pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

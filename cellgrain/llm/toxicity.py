@@ -18,7 +18,9 @@ for any corpus.
 Defined results: null or empty text and text shorter than an n-gram score the
 bias alone (the prior of the training sample, below 0.5 unless most labels are
 toxic); without two classes among the training labels every document scores
-the share of the one class seen (0 without any).
+the share of the one class seen (0 without any).  Labels other than 0 and 1
+don't count, of several labels of an id the highest does, and rows without an
+id are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, IS_SPACE, bucket_of, crc_mod, doc_slices, flat_utf8
+from .common import LOWER, IS_SPACE, bucket_of, crc_mod, doc_slices, flat_utf8, texts_of
 
 BITS = 20
 SIZES = (3, 4, 5)
@@ -161,18 +163,18 @@ def fit(texts: list[bytes], labels: np.ndarray, dim: int = 8, epochs: int = 12,
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int = 3, held: int = 1) -> DataFrame:
     """At most about `per_class` labelled rows of each class (text, y), picked by a hash of their id."""
-    marks = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     marks = marks.where(bucket_of("doc_id", modulus) != held).groupBy("doc_id").agg(F.max("y").alias("y"))
     marks = marks.withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)))
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     cut = F.when(F.col("y") == 1, F.lit(per_class * (1 << 30) // max(1, n.get(1, 1)))).otherwise(F.lit(per_class * (1 << 30) // max(1, n.get(0, 1))))
     picked = marks.where(F.col("h") < cut).select("doc_id", "y")
     # at most about 2 * per_class ids, whatever the input: broadcasting them saves shuffling all texts
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    return texts_of(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def score_documents(docs: DataFrame, table: np.ndarray, bias: float, modulus: int = 3, held: int = 1, cut: float = 0.7) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted) for every row of `docs`; no shuffle."""
+    """Rows (doc_id, held_out, score, predicted) for every row of `docs` with an id; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -187,7 +189,7 @@ def score_documents(docs: DataFrame, table: np.ndarray, bias: float, modulus: in
             held_out = crc_mod(ids.to_pylist(), modulus) == held
             yield pa.RecordBatch.from_arrays([ids, pa.array(held_out, pa.bool_()), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts_of(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
