@@ -16,7 +16,10 @@ b is about half of p, taken from a ladder of set sizes whose rungs are t apart;
 every set is indexed at its own rung and the next, so similar sets meet at one
 at least.  Index pairs grow linearly with a set's size.
 
-Equal sets are collapsed first.  What is wanted is the components of the link
+A set that has fewer than b + 1 shingles in common with any others within
+prefixes has no link and leaves at once; of the rest all shingles are counted,
+and a set that shares too few of them with any others for a similarity of t
+leaves too.  The same count rules out most pairs of heavily edited copies.  Equal sets are collapsed first.  What is wanted is the components of the link
 graph, so in each index bucket candidates are first paired with the bucket's
 smallest set (one verification for each set, chosen by how many buckets the two
 share, then the others whose ends still lie in different components), and then,
@@ -39,13 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, connected_components, doc_slices, flat_utf8, group_sums, mix64, stash, token_hashes, words_of
+from .common import IS_SPACE, LOWER, SLICE_BYTES, connected_components, doc_slices, flat_utf8, mix64, stash, token_hashes, words_of
 
 WORDS = 5
 #: Similarity threshold as a fraction SHARE / 100.
 SHARE = 75
 #: Sets that may hold a shingle in their prefix before it counts as frequent.
 RARE = 32
+#: Up to so many candidate pairs (16 bytes each) are broadcast.
+BROADCAST_PAIRS = 500_000
+#: Text bytes for each bucket of index keys.
+BUCKET_BYTES = 12 << 20
 
 _P = np.uint64(0x2545F4914F6CDD1D)
 
@@ -98,23 +105,130 @@ def classes(level) -> np.ndarray:
     return np.maximum(1, np.floor(least * (100 - SHARE) / 100 / 2).astype(np.int64))
 
 
+def _signed(data: np.ndarray, offsets: np.ndarray):
+    """(hashes, bounds, sizes, set ids) of a slice of texts; a set's id is a digest of its shingles."""
+    h, bounds = shingle_sets(data, offsets)
+    n = np.diff(bounds)
+    sid = np.zeros(len(n), np.uint64)
+    np.add.at(sid, np.repeat(np.arange(len(n)), n), mix64(h ^ np.uint64(0x5851F42D4C957F2D)))
+    return h, bounds, n, mix64(sid + n.astype(np.uint64))
+
+
 def _signatures(batches):
     for batch in batches:
         ids, (data, offsets) = batch.column(0), flat_utf8(batch.column(1))
         for lo, hi in doc_slices(offsets):
             at = offsets[lo : hi + 1]
-            h, bounds = shingle_sets(data[at[0] : at[-1]], at - at[0])
-            n = np.diff(bounds)
-            owner = np.repeat(np.arange(hi - lo), n)
-            x, y = mix64(h ^ np.uint64(0x5851F42D4C957F2D)), mix64(h ^ np.uint64(0x14057B7EF767814F))
-            one, two = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
-            np.add.at(one, owner, x)
-            np.add.at(two, owner, y)
-            one = mix64(one + n.astype(np.uint64))
-            m = np.where(n > 0, np.minimum(n, prefix_length(n) + classes(rung(n) + 1)), 0)
-            inside = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(m, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)], pa.int32()), pa.array(h[inside].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), prefix], ["doc_id", "n", "sid", "check", "prefix"])
+            _, _, n, sid = _signed(data[at[0] : at[-1]], at - at[0])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sid.view(np.int64))], ["doc_id", "n", "sid"])
+
+
+_M40 = np.uint64((1 << 40) - 1)
+_PACKED = "bucket int, first long, steps binary, owners binary, sids binary"
+
+
+def _prefixes(n_buckets: int):
+    """Task side of the index: (40 bits of a shingle, set) of all prefixes, a row for each slice and bucket of shingles.
+
+    Shingles are sorted, so a row holds their steps; a set that the task has sent already is left out.
+    """
+
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            data, offsets = flat_utf8(batch.column(1))
+            for lo, hi in doc_slices(offsets, 2 * SLICE_BYTES):
+                at = offsets[lo : hi + 1]
+                h, bounds, n, sid = _signed(data[at[0] : at[-1]], at - at[0])
+                new = np.zeros(len(n), bool)
+                for k, s in enumerate(sid.tolist()):
+                    if n[k] and s not in sent:
+                        sent.add(s)
+                        new[k] = True
+                if len(sent) > 2_000_000:
+                    sent.clear()
+                m = np.where(new, np.minimum(n, prefix_length(n) + classes(rung(n) + 1)), 0)
+                inside = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(m, n)
+                if inside.any():
+                    yield _packed(mix64(h[inside]) & _M40, np.repeat(np.arange(len(n)), m), sid, n_buckets)
+
+    return run
+
+
+def _unpacked(batches):
+    """From packed rows sorted by bucket: sorted distinct (key, set) of the keys that several sets have, a bucket at a time."""
+
+    def several(held):
+        key, sid = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
+        order = np.lexsort((sid, key))
+        key, sid = key[order], sid[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        key, sid = key[new], sid[new]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        keep = np.repeat(size > 1, size)
+        return key[keep], sid[keep]
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, first, steps, owners, sids in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if bucket != now and held:
+                yield several(held)
+                held = []
+            now = bucket
+            sids = np.frombuffer(sids, np.uint64)
+            owners = np.frombuffer(owners, np.uint16 if len(sids) < 1 << 16 else np.uint32)
+            steps = np.frombuffer(steps, np.uint64 if len(steps) == 8 * len(owners) else np.uint32).astype(np.uint64)
+            steps[0] = np.uint64(first)
+            held.append((np.cumsum(steps, dtype=np.uint64), sids[owners]))
+    if held:
+        yield several(held)
+
+
+def _shared_keys(batches):
+    for key, sid in _unpacked(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid.view(np.int64))], ["key", "sid"])
+
+
+def _shared_counts(batches):
+    """(sid, shingles that some other set has too) of each bucket."""
+    for _, sid in _unpacked(batches):
+        own, n = np.unique(sid, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["sid", "common"])
+
+
+def _packed(key: np.ndarray, owner: np.ndarray, sid: np.ndarray, n_buckets: int):
+    """Rows of (key, owner) entries, one for each bucket of keys; `sid` are the owners' sets."""
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    bucket = ((key >> np.uint64(8)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.r_[True, bucket[1:] != bucket[:-1]]
+    steps = np.r_[key[:1], np.diff(key)]
+    steps[first] = 0
+    steps = steps if (steps >> np.uint64(32)).any() else steps.astype(np.uint32)
+    own, owner = np.unique(owner, return_inverse=True)
+    owner = owner.astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
+    cuts = np.flatnonzero(first)
+    ends = np.r_[cuts[1:], len(key)]
+    columns = [pa.array(bucket[cuts].astype(np.int32)), pa.array(key[cuts].view(np.int64))]
+    columns += [pa.array([c[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)], pa.binary()) for c in (steps, owner)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([sid[own].tobytes()] * len(cuts), pa.binary())], ["bucket", "first", "steps", "owners", "sids"])
+
+
+def _whole_sets(n_buckets: int):
+    """Rows (sid, set) as packed entries of all their shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                sets = [_from_six(x) for x in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                if len(owner):
+                    yield _packed(mix64(np.concatenate(sets)) & _M40, owner, part.column(0).to_numpy().view(np.uint64), n_buckets)
+
+    return run
 
 
 def _bucket_reader(rare: int):
@@ -188,6 +302,17 @@ def _buckets(rows: DataFrame, rare: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_bucket_reader(rare), "kind int, key long, hub long, sid long")
 
 
+def _least_shared(batches):
+    """(sid, shingles that a link needs in common within prefixes, at least) from (sid, doc_id, n).
+
+    A partner's set stands at most one rung lower, so its b is that of this
+    set's rung or more; sets of up to four shingles need one.
+    """
+    for batch in batches:
+        n = batch.column(2).to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(n <= 4, 1, classes(rung(n)) + 1).astype(np.int64))], ["sid", "least"])
+
+
 def _combinations(batches):
     """From rows (sid, n, frequent shingles): rows (key, sid), a key for each pair of frequent shingles in one class."""
     for batch in batches:
@@ -213,33 +338,59 @@ def _combinations(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "sid"])
 
 
+def _six(h: np.ndarray) -> bytes:
+    """Hashes cut to 48 bits: of two sets of a thousand shingles, one pair in 300 million would have a false match."""
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _sets_of(batches):
     for batch in batches:
         ids, (data, offsets) = batch.column(0), flat_utf8(batch.column(1))
         for lo, hi in doc_slices(offsets):
             at = offsets[lo : hi + 1]
             h, bounds = shingle_sets(data[at[0] : at[-1]], at - at[0])
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["sid", "set"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([_six(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["sid", "set"])
 
 
 def _linked(batches):
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = _from_six(x), _from_six(y)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * shared >= SHARE * (len(x) + len(y) - shared))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _can_link(na: str, ca: str, nb: str, cb: str) -> str:
+    """SQL for: two sets of these sizes and numbers of shingles that others have too can be similar enough.
+
+    Their overlap is at most the smaller of the two numbers, so similarity
+    SHARE / 100 needs (100 + SHARE) * least >= SHARE * (na + nb).
+    """
+    return f"{100 + SHARE} * least({ca}, {cb}) >= {SHARE} * ({na} + {nb})"
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar enough, checked exactly."""
-    left = sets.select(F.col("sid").alias("a"), F.col("set").alias("x"), F.col("n").alias("na"))
-    right = sets.select(F.col("sid").alias("b"), F.col("set").alias("y"), F.col("n").alias("nb"))
-    size = sets.select(F.col("sid").alias("a"), F.col("n").alias("na0"))
-    other = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb0"))
-    near = pairs.join(size, "a").join(other, "b").where(f"100 * least(na0, nb0) >= {SHARE} * greatest(na0, nb0)").select("a", "b")
-    return near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+    """Of the pairs (a, b) those whose sets are similar enough, checked exactly.
+
+    Sizes and shared shingles rule pairs out first.  While the pairs are few they are broadcast, so
+    that only the sets they name are shuffled, and of a hub one copy.
+    """
+    size = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"))
+    other = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"))
+    near = stash(pairs.join(size, "a").join(other, "b").where(_can_link("na", "ca", "nb", "cb")).select("a", "b"), "pairs")
+    small = near.count() <= BROADCAST_PAIRS
+    sent = F.broadcast if small else lambda df: df
+    members = sets.select(F.col("sid").alias("b"), F.col("set").alias("y")).join(sent(near), "b")
+    hubs = sets.select(F.col("sid").alias("a"), F.col("set").alias("x")).join(sent(near.select("a").distinct()), "a", "left_semi")
+    return members.join(hubs, "a").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
 def _with_components(rows: DataFrame, column: str, comps: DataFrame, out: str) -> DataFrame:
@@ -248,46 +399,65 @@ def _with_components(rows: DataFrame, column: str, comps: DataFrame, out: str) -
     return rows.join(c, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
+def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: the graph between the components there are is contracted, and all ids follow."""
+    between = _with_components(_with_components(links, "a", comps, "u"), "b", comps, "v").where("u <> v").select("u", "v").distinct()
+    top = stash(connected_components(between, "u", "v"), "joined")
+    lower = comps.join(top.select(F.col("id").alias("component_id"), F.col("component_id").alias("up")), "component_id", "left").select("id", F.coalesce("up", "component_id").alias("component_id"))
+    fresh = top.join(comps, "id", "left_anti")
+    return stash(lower.unionByName(fresh.select("id", "component_id")), "components")
+
+
 def jaccard_components(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of `docs` (columns doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    sigs = stash(docs.mapInArrow(_signatures, "doc_id long, n long, sid long, check long, prefix array<long>"), "signatures")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(64, 1 + int(total) // BUCKET_BYTES)
+    sigs = stash(docs.mapInArrow(_signatures, "doc_id long, n long, sid long"), "signatures")
     # equal sets: one id, the digest; its smallest document stands for the text
     sets_of_docs = sigs.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
-    index = sigs.where("n > 1").select(F.explode("prefix").alias("key"), "sid")
-    single = sigs.where("n = 1").select(F.explode("prefix").alias("key"), "sid")
-    buckets = stash(_buckets(index.unionByName(single), rare), "buckets")
+    packed = docs.mapInArrow(_prefixes(n_buckets), _PACKED)
+    index = stash(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key long, sid long"), "index")
+    # a set with a link shares more than b of its prefix's shingles, b at its own rung or more
+    least = sets_of_docs.mapInArrow(_least_shared, "sid long, least long")
+    some = index.groupBy("sid").agg(F.count(F.lit(1)).alias("shared")).join(least, "sid").where("shared >= least").select("sid")
+    texts = sets_of_docs.join(some, "sid").select("doc_id", F.col("sid").alias("set_id"))
+    some_sets = docs.join(texts, "doc_id").select("set_id", "text")
+    some_sets = stash(some_sets.mapInArrow(_sets_of, "sid long, set binary").dropDuplicates(["sid"]), "some_sets")
+    # of the sets left, how many of all their shingles another one has; too few for any partner, and the set leaves
+    whole = some_sets.mapInArrow(_whole_sets(n_buckets), _PACKED)
+    common = whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_counts, "sid long, common long").groupBy("sid").agg(F.sum("common").alias("common"))
+    sizes = stash(common.join(sets_of_docs.select("sid", "n"), "sid").where(f"100 * common >= {SHARE} * n"), "sizes")
+    sets = some_sets.join(sizes, "sid")
+    alive = sizes.select("sid")
+    buckets = stash(_buckets(index.join(alive, "sid", "left_semi").select("key", "sid"), rare), "buckets")
     frequent = buckets.where("kind = 1").groupBy("sid").agg(F.collect_list("key").alias("grams"))
     pairs = frequent.join(sets_of_docs.select("sid", "n"), "sid").select("sid", "n", "grams").mapInArrow(_combinations, "key long, sid long")
     pair_buckets = stash(_buckets(pairs, rare), "pair_buckets")
     members = buckets.where("kind = 0").unionByName(pair_buckets).select("key", "hub", "sid")
 
     stars = stash(members.where("hub <> sid").groupBy("hub", "sid").agg(F.count(F.lit(1)).alias("shared")), "stars")
-    used = stars.select("sid").unionByName(stars.select(F.col("hub").alias("sid"))).distinct()
-    texts = sets_of_docs.join(used, "sid").select("doc_id", F.col("sid").alias("set_id"))
-    sets = docs.join(texts, "doc_id").select(F.col("set_id"), "text")
-    sets = stash(sets.mapInArrow(_sets_of, "sid long, set binary").dropDuplicates(["sid"]).withColumn("n", (F.length("set") / 8).cast("long")), "sets")
-
     best = stars.groupBy("sid").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     links = stash(verified(best.select(F.col("hub").alias("a"), F.col("sid").alias("b")), sets), "links1")
-    comps = connected_components(links)
+    comps = stash(connected_components(links), "components")
 
     rest = _with_components(_with_components(stars.select("hub", "sid"), "hub", comps, "ca"), "sid", comps, "cb").where("ca <> cb")
     rest = rest.join(best, ["sid", "hub"], "left_anti").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
     links2 = stash(verified(rest, sets), "links2")
-    comps = connected_components(links.unionByName(links2))
-
-    # buckets that still hold several components: all sets outside the largest component against all others
-    placed = _with_components(members.select("key", "sid"), "sid", comps, "c")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    placed = stash(placed.join(mixed, "key", "left_semi"), "mixed")
-    largest = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    outside = placed.join(largest, "key").where("c <> main").select("key", F.col("sid").alias("s"), F.col("c").alias("cs"))
-    met = outside.join(placed, "key").where("cs <> c").select(F.least("s", "sid").alias("a"), F.greatest("s", "sid").alias("b")).distinct()
+    comps = joined_components(comps, links2)
+
+    # buckets that still hold several components: all sets outside the largest component against those of the others that they can link with
+    placed = _with_components(members.select("key", "sid"), "sid", comps, "c").join(sizes, "sid")
+    smallest_n = placed.groupBy("key").agg(F.min("n").alias("least_n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "least_n")
+    placed = placed.join(smallest_n, "key").where(_can_link("n", "common", "least_n", "common")).select("key", "sid", "c", "n", "common")
+    placed = stash(placed, "mixed")
+    largest = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+    outside = placed.join(largest, "key").where("c <> main").select("key", F.col("sid").alias("s"), F.col("c").alias("cs"), F.col("n").alias("ns"), F.col("common").alias("ms"))
+    met = outside.join(placed, (outside["key"] == placed["key"]) & (outside["cs"] != placed["c"]) & F.expr(_can_link("ns", "ms", "n", "common"))).select(F.least("s", "sid").alias("a"), F.greatest("s", "sid").alias("b")).distinct()
     done = stars.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"))
     links3 = stash(verified(met.join(done, ["a", "b"], "left_anti"), sets), "links3")
-    comps = connected_components(links.unionByName(links2).unionByName(links3))
+    comps = joined_components(comps, links3)
 
     of_set = stash(_with_components(sets_of_docs.select("sid", "doc_id"), "sid", comps, "c"), "components")
     smallest = of_set.groupBy("c").agg(F.min("doc_id").alias("component_id"))
