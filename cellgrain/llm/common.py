@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+#: Links of a graph that one task takes.
+LINKS_PER_TASK = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -154,36 +156,41 @@ def group_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 80) -> DataFrame:
     """Smallest reachable id for each id that occurs in `links`: rows (id, component_id).
 
-    Rounds of contraction: every vertex points to the neighbour (or itself) with
-    the smallest hash of the round, pointers are followed twice more, and links are
-    rewritten to where they lead.  Hashes are new in each round, so about two
-    thirds of the vertices of any shape, long chains too, go in a round, and the
-    number of rounds is logarithmic.  Each round is checkpointed to the shared
-    folder.  Neighbours are pre-aggregated map-side (min), never gathered.
+    Rounds of contraction: every vertex points to the smallest neighbour (or
+    itself), pointers are followed twice more, and links are rewritten to where
+    they lead.  Rounds take turns between the order of ids, in which stars around a
+    smallest id collapse at once, and a fresh hash order, in which a constant share
+    of the vertices of chains goes, so the number of rounds is logarithmic.  Each round is checkpointed to the shared
+    folder.  Neighbours are pre-aggregated map-side (min), never gathered.  Tables
+    shrink from round to round, and their partitions with them (`LINKS_PER_TASK`).
     """
     scratch_dir(links.sparkSession)
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
-    labels = None
+    labels, parts = None, 0
     for k in range(max_rounds):
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
             break
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
+        now = 8 + n // LINKS_PER_TASK
+        parts = parts or now
+        edges = edges.coalesce(now)
+        rank = lambda c: F.struct((F.col(c) if k % 3 == 0 else F.xxhash64(F.col(c), F.lit(k))).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select(F.col("u").alias("id"), F.least(F.col("m"), rank("u"))["x"].alias("label")).checkpoint()
+        near = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select(F.col("u").alias("id"), F.least(F.col("m"), rank("u"))["x"].alias("label")).coalesce(now).checkpoint()
         for _ in range(2):
             hop = near.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            near = near.join(hop, "label").select("id", F.col("next").alias("label"))
+            near = near.join(hop, "label").select("id", F.col("next").alias("label")).coalesce(now)
         near = near.checkpoint()
         if labels is None:
             labels = near
         else:
             step = near.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            labels = labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")).checkpoint()
+            labels = labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")).coalesce(parts).checkpoint()
         lu = near.select(F.col("id").alias("u"), F.col("label").alias("lu"))
         lv = near.select(F.col("id").alias("v"), F.col("label").alias("lv"))
-        edges = edges.join(lu, "u").join(lv, "v").where("lu <> lv")
-        edges = edges.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct().checkpoint()
+        edges = edges.join(lu, "u").coalesce(now).join(lv, "v").where("lu <> lv").coalesce(now)
+        edges = edges.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct().coalesce(now).checkpoint()
     else:
         raise RuntimeError("component labels did not settle")
     if labels is None:
