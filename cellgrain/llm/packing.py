@@ -18,7 +18,7 @@ running sums of those give each block's place in its queue, then every
 document is cut into pieces where it stands.  Token ids are never shuffled
 unless the table of block offsets outgrows the session's broadcast threshold.
 
-Defined results: null text counts as empty and gives the one end id; a null
+Defined results: rows without an id are left out; null text counts as empty and gives the one end id; a null
 source is a queue of its own; repeated rows are packed one by one; an empty
 table gives no rows.
 """
@@ -43,10 +43,14 @@ LENGTH = 2048
 SEQUENCES = 64
 #: Queues with a share of their own; more sources than this share queues by a hash of their name.
 QUEUES = 4096
+#: Up to so many block offsets (about 50 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 END_ID = 1
 BLOCK_TEXTS = 4000
 
 _WORD = re.compile(r"[^ \n\t\r]+")
+#: Letters that NFC leaves alone and whose lower case is one letter, then ASCII signs other than the apostrophe and the brackets of special tokens.
+_PARTED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;=?@^_`{}~-]*)")
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window_id long"
 
 
@@ -59,7 +63,7 @@ class WordEncoder:
 
     SEP = "\x00"
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,6 +83,15 @@ class WordEncoder:
         if len(self.words) + len(new) > self.keep:
             self.words.clear()
             new = words
+        # letters and the signs after them are encoded apart, whatever the letters' case
+        parted = {w: (m[1].lower(), m[2]) for w in new if (m := _PARTED.fullmatch(w))}
+        todo = {part for parts in parted.values() for part in parts if part}.union(w for w in new if w not in parted)
+        self._learn_parts(todo - self.words.keys())
+        get = self.words
+        for w, (letters, signs) in parted.items():
+            get[w] = get[letters] + get[signs] if signs else get[letters]
+
+    def _learn_parts(self, new: set[str]) -> None:
         odd = [w for w in new if self.SEP in w or any(s in w for s in self.special)] if len(self.sep_ids) == 1 else list(new)
         plain = list(new.difference(odd))
         for w, ids in zip(odd, self._encode(odd), strict=True):
@@ -87,8 +100,9 @@ class WordEncoder:
             part = plain[k : k + 2000]
             ids = np.array(self._encode([f" {self.SEP} ".join(part)])[0], np.uint16)
             cuts = np.flatnonzero(ids == self.sep_ids[0])
-            for w, run in zip(part, np.split(ids, cuts), strict=True):
-                self.words[w] = (run[1:] if len(run) and run[0] == self.sep_ids[0] else run).tobytes()
+            raw = ids.tobytes()
+            starts, ends = [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)]
+            self.words.update((w, raw[x:y]) for w, x, y in zip(part, starts, ends, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
@@ -214,6 +228,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, sequences: int = SEQU
     token shares by source; by default each source keeps its natural share.
     """
     spark = docs.sparkSession
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     if docs.isEmpty():
         return spark.createDataFrame([], _PIECE)
     n_sources = docs.select("source").distinct().count()
@@ -222,6 +237,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, sequences: int = SEQU
     in_order = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_block.select("queue", "block", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
     totals = {r["queue"]: r["n"] for r in by_block.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most QUEUES + 1 rows
+    # a row for each block of BLOCK_TEXTS documents and queue: sent to all tasks while small, else joined by key
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
     names = sorted(totals)
     number = {name: k for k, name in enumerate(names)}
     share = None if weights is None else [float(weights.get(name.removeprefix("s:"), 0.0)) for name in names]
