@@ -27,6 +27,8 @@ from .common import bucket_of, crc_mod
 PROFILE = 300
 #: Characters whose n-grams are counted at one time; longer texts are counted in parts that overlap.
 PART = 1 << 18
+#: Up to so many distinct languages their sampling rates are broadcast.
+MANY_LANGUAGES = 10_000
 
 
 def _letter_table() -> np.ndarray:
@@ -121,6 +123,8 @@ def fit_profiles(docs: DataFrame, train, text: str = "text", lang: str = "lang",
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 30)).alias("h"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     cut = sizes.select("lang", (F.lit(float(per_language << 30)) / F.col("n")).alias("cut"))
+    # one row for each language: sent to all tasks while that stays small, so that texts aren't shuffled before the cut
+    cut = F.broadcast(cut) if cut.count() <= MANY_LANGUAGES else cut
     sample = rows.join(cut, "lang").where("h < cut").select("lang", "text")
     counts = sample.mapInArrow(_train_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # within a language a code's rank needs only the most frequent ones: a bounded aggregate, no sort of all codes
@@ -161,7 +165,7 @@ def rank_table(profiles: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray,
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", doc_id: str = "doc_id", size: int = PROFILE, modulus: int = 5, held: int = 0) -> DataFrame:
-    """Rows (doc_id, held_out, lang_pred, score), one for each row of `docs`; no shuffle."""
+    """Rows (doc_id, held_out, lang_pred, score), one for each row of `docs` with an id; no shuffle."""
     langs, union, ranks = rank_table(profiles)
 
     def score(batches):
@@ -171,7 +175,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
             held_out = crc_mod(ids.to_pylist(), modulus) == held
             yield pa.RecordBatch.from_arrays([ids, pa.array(held_out, pa.bool_()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify_language(docs: DataFrame, per_language: int = 1500) -> DataFrame:
