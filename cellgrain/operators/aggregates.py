@@ -45,22 +45,18 @@ def derive_contingency(counts: DataFrame) -> DataFrame:
 def fisher_exact(tables: DataFrame) -> DataFrame:
     """Add the odds ratio and the two-sided exact p of tables n11, n10, n01, n00: all tables no likelier than the observed one.
 
-    Log factorials are summed from a shared table of log k; each 2 x 2 table
-    expands to its possible first cells only.
+    A table expands to its possible first cells, one row each; their log
+    probabilities follow from the ratio of neighbours by a running sum.
     """
     n11, n10, n01, n00 = (F.col(c) for c in ("n11", "n10", "n01", "n00"))
-    keyed = tables.withColumn("_id", F.xxhash64(*tables.columns))
-    ks = F.explode(F.sequence(F.greatest(F.lit(0), n11 - n00), F.least(n11 + n10, n11 + n01)))
-    cells = keyed.select("_id", "n11", "n10", "n01", "n00", ks.alias("k")).distinct()
-    x10, x01, x00 = n11 + n10 - F.col("k"), n11 + n01 - F.col("k"), n00 - n11 + F.col("k")
-    # log of the ratio to the observed table: a product of at most |k - n11| factors each side
-    def log_factorial(c):
-        return F.aggregate(F.when(c > 1, F.sequence(F.lit(2).cast("long"), c.cast("long"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-
-    logp = -(log_factorial(F.col("k")) + log_factorial(x10) + log_factorial(x01) + log_factorial(x00))
-    cells = cells.withColumn("lp", logp)
+    keyed = tables.withColumn("_id", F.xxhash64("n11", "n10", "n01", "n00"))
+    low, k = F.greatest(F.lit(0), n11 - n00), F.col("k")
+    cells = keyed.select("_id", "n11", "n10", "n01", "n00").distinct().withColumn("k", F.explode(F.sequence(low, F.least(n11 + n10, n11 + n01))))
+    log = lambda c: F.log(c.cast("double"))
+    ratio = F.when(k > low, log(n11 + n10 - k + 1) + log(n11 + n01 - k + 1) - log(k) - log(n00 - n11 + k)).otherwise(0.0)
     w = Window.partitionBy("_id")
-    cells = cells.withColumn("top", F.max("lp").over(w)).withColumn("obs", F.max(F.when(F.col("k") == n11, F.col("lp"))).over(w))
+    cells = cells.withColumn("lp", F.sum(ratio).over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    cells = cells.withColumn("top", F.max("lp").over(w)).withColumn("obs", F.max(F.when(k == n11, F.col("lp"))).over(w))
     p = F.sum(F.when(F.col("lp") <= F.col("obs") + 1e-7, F.exp(F.col("lp") - F.col("top"))).otherwise(0.0)) / F.sum(F.exp(F.col("lp") - F.col("top")))
     ps = cells.groupBy("_id").agg(F.least(p, F.lit(1.0)).alias("p_fisher"))
     odds = F.try_divide(n11.cast("double") * n00, n10.cast("double") * n01)
