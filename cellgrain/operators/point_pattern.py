@@ -101,9 +101,20 @@ def cross_k_torus(a: DataFrame, b: DataFrame, by: list[str], width: float, heigh
     return curve.select(*by, "r_idx", "r", F.coalesce(F.try_divide(F.lit(width * height), F.col("n_a") * F.col("n_b")) * F.col("total"), F.lit(0.0)).alias("k"))
 
 
+def permuted_k(a: DataFrame, b: DataFrame, moved: DataFrame, perms: DataFrame, by: list[str], area: float, rmax: float, step: float) -> DataFrame:
+    """(by.., perm_id, r_idx, r, k) of a against `moved`, the points of b redrawn for each of perms(perm_id).
+
+    a is the same in every permutation, so it is listed in its nine bins once and the redrawn points stand in theirs;
+    perms are broadcast, bounded by the number of permutations.
+    """
+    pairs = range_join(moved.withColumn("pt_id", F.col("perm_id")), a, rmax, by).withColumnRenamed("a_id", "perm_id")
+    sizes = group_sizes(a, b, by)
+    curve = radius_profile(pairs, sizes.crossJoin(F.broadcast(perms)), [*by, "perm_id"], rmax, step).join(sizes, by)
+    return curve.select(*by, "perm_id", "r_idx", "r", F.coalesce(F.try_divide(F.lit(area), F.col("n_a") * F.col("n_b")) * F.col("total"), F.lit(0.0)).alias("k"))
+
+
 def toroidal_null(a: DataFrame, b: DataFrame, shifts: DataFrame, by: list[str], width: float, height: float, rmax: float, step: float) -> DataFrame:
     """(by.., perm_id, r_idx, r, k) for rigid wrapped shifts of b given by shifts(perm_id, dx, dy); shifts are broadcast, bounded by the number of permutations."""
     s = F.broadcast(shifts)
     moved = b.crossJoin(s).withColumn("x", F.pmod(F.col("x") + F.col("dx"), F.lit(width))).withColumn("y", F.pmod(F.col("y") + F.col("dy"), F.lit(height))).drop("dx", "dy")
-    still = a.crossJoin(s.select("perm_id"))
-    return cross_k(still, moved, [*by, "perm_id"], width * height, rmax, step).select(*by, "perm_id", "r_idx", "r", "k")
+    return permuted_k(a, b, moved, shifts.select("perm_id"), by, width * height, rmax, step)

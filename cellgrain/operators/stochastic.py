@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .point_pattern import cross_k
+from .point_pattern import permuted_k
 
 
 def uniform(*key) -> Column:
@@ -31,8 +31,8 @@ def permutations(df: DataFrame, n_perm: int) -> DataFrame:
     return df.withColumn("perm_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))))
 
 
-def _curves(a: DataFrame, moved: DataFrame, by: list[str], area: float, n_perm: int, rmax: float, step: float) -> DataFrame:
-    return cross_k(permutations(a, n_perm), moved, [*by, "perm_id"], area, rmax, step).select(*by, "perm_id", "r_idx", "r", "k")
+def _curves(a: DataFrame, b: DataFrame, moved: DataFrame, by: list[str], area: float, n_perm: int, rmax: float, step: float) -> DataFrame:
+    return permuted_k(a, b, moved, a.sparkSession.range(n_perm).select(F.col("id").alias("perm_id")), by, area, rmax, step)
 
 
 def csr_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, seed: int = 0) -> DataFrame:
@@ -40,7 +40,7 @@ def csr_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: fl
     p = permutations(b, n_perm)
     key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
     moved = p.withColumn("x", uniform(*key, F.lit("x")) * width).withColumn("y", uniform(*key, F.lit("y")) * height)
-    return _curves(a, moved, by, width * height, n_perm, rmax, step)
+    return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
 def support_null(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, jitter: float = 2.0, seed: int = 0) -> DataFrame:
@@ -52,7 +52,7 @@ def support_null(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str],
     px, py = F.col("sx") + jitter * normal(*key, F.lit("x")), F.col("sy") + jitter * normal(*key, F.lit("y"))
     inside = px.between(0, width) & py.between(0, height)
     moved = drawn.withColumn("x", F.when(inside, px).otherwise(F.col("sx"))).withColumn("y", F.when(inside, py).otherwise(F.col("sy"))).drop("_k", "_n", "sx", "sy")
-    return _curves(a, moved, by, width * height, n_perm, rmax, step)
+    return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
 def intensity_grid(pts: DataFrame, by: list[str], width: float, height: float, cell: float, sigma: float) -> DataFrame:
@@ -78,7 +78,7 @@ def kde_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: fl
     drawn = permutations(b.select(*by, "pt_id"), n_perm).join(steps, by).withColumn("_u", uniform(*key, F.lit("c")))
     picked = F.coalesce(F.try_element_at(F.filter("steps", lambda s: s["hi"] > F.col("_u")), F.lit(1)), F.element_at("steps", -1))
     moved = drawn.withColumn("_c", picked).select(*by, "perm_id", "pt_id", F.least((F.col("_c.gx") + uniform(*key, F.lit("x"))) * cell, F.lit(width)).alias("x"), F.least((F.col("_c.gy") + uniform(*key, F.lit("y"))) * cell, F.lit(height)).alias("y"))
-    return _curves(a, moved, by, width * height, n_perm, rmax, step)
+    return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
 def tile_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, tile: float, n_perm: int, rmax: float, step: float, seed: int = 0) -> DataFrame:
@@ -86,7 +86,7 @@ def tile_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: f
     key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
     draw = lambda c, top: F.least((F.floor(F.col(c) / tile) + uniform(*key, F.lit(c))) * tile, F.lit(top))
     moved = permutations(b, n_perm).withColumn("x", draw("x", width)).withColumn("y", draw("y", height))
-    return _curves(a, moved, by, width * height, n_perm, rmax, step)
+    return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
 # ---- two-component mixture of an image's signal -------------------------------------------------
