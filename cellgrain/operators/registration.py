@@ -30,14 +30,21 @@ def residuals(lm: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
 
 
 def leave_one_out(lm: DataFrame, by: list[str]) -> DataFrame:
-    """Error of each landmark under the fit of the others: by.., lm_id, loo_err.
+    """Error of each landmark under the fit of the others: by.., lm_id, loo_err; null where one other is left.
 
-    Landmark sets are a few dozen rows a pair, so a self-join within the pair stays small.
+    With coordinates taken from the pair's means, the sums without a landmark are those of all less n / (n - 1) times its
+    own products, and its error is n / (n - 1) times what the fit of the others leaves at it.
     """
-    held = lm.select(*by, F.col("lm_id").alias("held"))
-    fits = similarity_fit(held.join(lm, by).where("held <> lm_id"), [*by, "held"])
-    out = residuals(lm.withColumn("held", F.col("lm_id")), fits, [*by, "held"])
-    return out.select(*by, "lm_id", F.col("err").alias("loo_err"))
+    c = lm.join(lm.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(k).alias(f"_{k}") for k in ("rx", "ry", "mx", "my")]), by).where("_n > 1")
+    c = c.select(*by, "lm_id", "_n", *[(F.col(k) - F.col(f"_{k}")).alias(k) for k in ("rx", "ry", "mx", "my")])
+    mx, my, rx, ry, n = (F.col(k) for k in ("mx", "my", "rx", "ry", "_n"))
+    dot, turn, size = mx * rx + my * ry, mx * ry - my * rx, mx * mx + my * my
+    c = c.join(c.groupBy(*by).agg(F.sum(dot).alias("_dot"), F.sum(turn).alias("_turn"), F.sum(size).alias("_size")), by)
+    more = n / (n - 1)
+    spread = F.when(n > 2, F.col("_size") - more * size)
+    a, b = F.try_divide(F.col("_dot") - more * dot, spread), F.try_divide(F.col("_turn") - more * turn, spread)
+    ex, ey = a * mx - b * my - rx, b * mx + a * my - ry
+    return c.select(*by, "lm_id", (more * F.sqrt(ex * ex + ey * ey)).alias("loo_err"))
 
 
 def landmark_noise(res: DataFrame, by: list[str]) -> DataFrame:

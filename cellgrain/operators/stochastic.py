@@ -179,23 +179,26 @@ def architecture_scale(pts: DataFrame, by: list[str], width: float, height: floa
 
 
 def calibrate_loo(cells: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:
-    """Leave-one-out F1 of the best-F1 cut: by.., n, loo_f1 (null with fewer than two of a class or four in all)."""
+    """Leave-one-out F1 of the best-F1 cut: by.., n, loo_f1 (null with fewer than two of a class or four in all).
 
-    def loo(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, y = pdf["_s"].to_numpy(float), pdf["_y"].to_numpy(int)
-        out = None
-        if len(s) >= 4 and 2 <= y.sum() <= len(y) - 2:
-            pred = np.zeros(len(s), int)
-            for i in range(len(s)):
-                keep = np.arange(len(s)) != i
-                t = np.unique(s[keep])
-                above = s[keep][None, :] > t[:, None]
-                tp, all_ = (above & (y[keep] == 1)).sum(axis=1), above.sum(axis=1)
-                f1 = 2 * tp / np.maximum(all_ + y[keep].sum(), 1)
-                pred[i] = s[i] > t[f1.argmax()]
-            tp = int((pred & y).sum())
-            out = 2 * tp / max(1, int(pred.sum() + y.sum()))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [len(s)], "loo_f1": [out]}).astype({"loo_f1": "float64"})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
-    return cells.select(*by, F.col(score).cast("double").alias("_s"), F.col(truth).cast("int").alias("_y")).groupBy(*by).applyInPandas(loo, f"{schema}, n long, loo_f1 double")
+    Cells of equal score and truth are left out alike, so everything comes from counts by score.  Without a cell of
+    score v and truth y, a cut below v loses y hits and one call, a cut from v on loses neither; the cell is called where
+    the best cut below v is at least as good as the best from v on, as the lowest of equal cuts is taken.  A cell without
+    a score lies above no cut.
+    """
+    s = F.col(score).cast("double")
+    c = cells.select(*by, F.when(~F.isnan(s), s).alias("_s"), F.col(truth).cast("long").alias("_y")).groupBy(*by, "_s").agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    up, whole = Window.partitionBy(*by).orderBy("_s"), Window.partitionBy(*by)
+    beyond, below = up.rowsBetween(1, Window.unboundedFollowing), up.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_tp", F.coalesce(F.sum("_p").over(beyond), F.lit(0))).withColumn("_all", F.coalesce(F.sum("_n").over(beyond), F.lit(0)))
+    c = c.withColumn("_pos", F.sum("_p").over(whole))
+    scored = F.col("_s").isNotNull()
+    f1 = lambda y, lost: F.when(scored, 2.0 * (F.col("_tp") - y * lost) / F.greatest(F.col("_all") - lost + F.col("_pos") - y, F.lit(1)))
+    for y in (0, 1):
+        c = c.withColumn("_own", f1(y, 0))
+        low, high = F.max(f1(y, 1)).over(below), F.greatest(F.max("_own").over(beyond), F.when(F.col("_n") > 1, F.col("_own")))
+        c = c.withColumn(f"_call{y}", F.coalesce(scored & low.isNotNull() & (high.isNull() | (low >= high)), F.lit(False)).cast("long"))
+    hits = F.sum(F.col("_call1") * F.col("_p"))
+    called = hits + F.sum(F.col("_call0") * (F.col("_n") - F.col("_p")))
+    n, pos = F.sum("_n"), F.sum("_p")
+    return c.groupBy(*by).agg(n.alias("n"), F.when((n >= 4) & pos.between(2, n - 2), 2 * hits / F.greatest(called + pos, F.lit(1))).alias("loo_f1"))
