@@ -16,7 +16,10 @@ here the ranks that prove most positions unique are taken first:
 3. *Doubling in what is left.*  First occurrences of contexts that differ but
    share a rank are dealt out by rank with their bytes; the strings in them are
    ranked at 16 bytes, by rank pairs 16 apart at 32 and by pairs 18 apart at
-   LENGTH, and a string is dropped as soon as its rank is unique.
+   LENGTH, and a string is dropped as soon as its rank is unique.  A rank of
+   more than `MOST` contexts isn't compared in one task: each of its strings
+   becomes a row with a 128-bit hash, and Spark finds the smallest document of
+   each hash.
 
 Shuffled rows are packed: one row holds all entries of a slice of documents for
 one bucket of ranks, so a bucket grows with the corpus only through the number
@@ -44,6 +47,8 @@ K = 20
 #: Text bytes for each bucket of ranks and each bucket of documents.
 BUCKET_BYTES = 12 << 20
 SLICE = 4 << 20
+#: Contexts of one rank that are compared in one task.
+MOST = 60_000
 #: Longest run of string starts worked on at once; longer documents are cut there.
 LONGEST = 8 << 20
 
@@ -205,8 +210,12 @@ def _by_document(doc: np.ndarray, key: np.ndarray, mask: np.ndarray, n_docs: int
     return _rows(bucket[order], [doc, key, mask, np.zeros((len(mask), 0), np.uint8)])
 
 
-def _mark_runs(n_docs: int):
-    """Reduce side of steps 1 and 2, for a bucket of ranks: marks by document bucket."""
+#: The bucket of rows that hold no marks but (in a) the ranks with too many contexts for one task.
+_HOT = -1
+
+
+def _mark_runs(n_docs: int, most: int):
+    """Reduce side of steps 1 and 2, for a bucket of ranks: marks by document bucket, and the hot ranks."""
 
     def run(batches):
         for _, (steps, contexts, docs, heads) in _grouped(batches, 4):
@@ -234,6 +243,10 @@ def _mark_runs(n_docs: int):
             mask = np.where(full, FULL, DETAIL)
             if keep.any():
                 yield _by_document(doc[keep], key[keep], mask[keep], n_docs)
+            hot = rank[starts][np.add.reduceat(detail.astype(np.int64), starts) > most]
+            if len(hot):
+                none = np.zeros((len(hot), 0), np.uint8)
+                yield _rows(np.full(len(hot), _HOT), [hot, none, none, none])
 
     return run
 
@@ -291,19 +304,37 @@ def _masks(r: Runs, ids: np.ndarray, marks) -> np.ndarray:
     return out
 
 
-def _details(n_buckets: int):
-    """Task side of step 3: the contexts to compare, packed by rank."""
+def _hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row's LENGTH bytes."""
+    words = [np.ascontiguousarray(text[:, k : k + 8]).view("<u8").ravel() for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    one, two = np.full(len(text), 1, np.uint64), np.full(len(text), _R, np.uint64)
+    for w in words:
+        one, two = mix64(one * np.uint64(_R) ^ w), mix64((two + w) * np.uint64(0xD6E8FEB86659FD93))
+    return one, two
+
+
+def _details(n_buckets: int, hot: np.ndarray, apart: bool = False):
+    """Task side of step 3: the contexts to compare, packed by rank; or, `apart`, the strings in contexts of the hot ranks, a row each."""
 
     def work(ids, data, offsets, marks):
         for lo, hi, begin, end in pieces(data, offsets):
             r = _runs(data, offsets, lo, hi, begin, end)
             if not len(r.doc):
                 continue
-            chosen = np.flatnonzero(_masks(r, ids[lo:hi], marks) & DETAIL)
+            chosen = np.flatnonzero((_masks(r, ids[lo:hi], marks) & DETAIL > 0) & (np.isin(r.rank, hot) == apart))
             if not len(chosen):
                 continue
             _, once = np.unique((r.doc[chosen].astype(np.uint64) << np.uint64(48)) | r.key[chosen], return_index=True)
             chosen = chosen[once]
+            if apart:
+                for k in range(0, len(chosen), 10_000):
+                    some = chosen[k : k + 10_000]
+                    count = (r.last - r.first + 1)[some]
+                    row = np.repeat(some, count)
+                    col = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                    one, two = _hashes(r.data[(r.first[row] + col)[:, None] + np.arange(LENGTH)[None, :]])
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[lo:hi][r.doc[row]].astype(np.int64)), pa.array(r.key[row].view(np.int64)), pa.array(col.astype(np.int32))], ["one", "two", "doc", "key", "col"])
+                continue
             chosen = chosen[np.argsort(r.rank[chosen], kind="stable")]
             take = r.first[chosen][:, None] + np.arange(_WIDE)[None, :]
             size = (r.last - r.first)[chosen] + LENGTH
@@ -366,7 +397,23 @@ def doubled(text: np.ndarray, rank: np.ndarray, doc: np.ndarray, before: np.ndar
     return out
 
 
-def _compare(n_docs: int, most: int = 60_000):
+def _packed_marks(n_docs: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _by_document(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.uint32), n_docs)
+
+    return run
+
+
+def _compare_apart(strings: DataFrame, n_docs: int) -> DataFrame:
+    """Step 3 for strings as rows: those of a hash combine before they are dealt, to the smallest and largest document."""
+    again = strings.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least")
+    hits = strings.join(again, ["one", "two"]).where("doc > least")
+    return hits.groupBy("doc", "key").agg(F.expr("bit_or(shiftleft(1L, col))").alias("mask")).mapInArrow(_packed_marks(n_docs), _PACKED)
+
+
+def _compare(n_docs: int, most: int):
     """Reduce side of step 3."""
 
     def run(batches):
@@ -431,7 +478,7 @@ def _dealt(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, bucket_bytes: int = BUCKET_BYTES, most: int = MOST) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]), one for each row of `docs` with an id.
 
     `kept_text` leaves out the bytes of characters of which only a part was removed.
@@ -442,15 +489,21 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, bucket_bytes: int =
     n_buckets, n_docs = max(16, n), max(17, n | 1)
 
     ranks = docs.mapInArrow(_ranks(n_buckets), _PACKED)
-    marks = stash(_dealt(ranks).mapInArrow(_mark_runs(n_docs), _PACKED), "marks")
+    marked = stash(_dealt(ranks).mapInArrow(_mark_runs(n_docs, most), _PACKED), "marks")
+    # bounded: each of these ranks has more than `most` contexts
+    hot = np.frombuffer(b"".join(r["a"] for r in marked.where(F.col("bucket") == _HOT).select("a").collect()), np.uint64)
+    marks = marked.where(F.col("bucket") != _HOT)
     texts = docs.select(F.pmod("doc_id", F.lit(n_docs)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", F.col("text").cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
 
     def joined(rows: DataFrame) -> DataFrame:
         marked = rows.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "a", "b", "c")
         return texts.unionByName(marked).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
-    details = joined(marks).mapInArrow(_details(n_buckets), _PACKED)
-    found = stash(_dealt(details).mapInArrow(_compare(n_docs), _PACKED), "found")
+    details = joined(marks).mapInArrow(_details(n_buckets, hot), _PACKED)
+    found = stash(_dealt(details).mapInArrow(_compare(n_docs, most), _PACKED), "found")
+    if len(hot):
+        strings = stash(joined(marks).mapInArrow(_details(n_buckets, hot, True), "one long, two long, doc long, key long, col int"), "strings")
+        found = found.unionByName(stash(_compare_apart(strings, n_docs), "hot"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return joined(marks.unionByName(found)).mapInArrow(_removed(keep_text), schema)
 
