@@ -73,26 +73,20 @@ def nearest_match(truth: DataFrame, found: DataFrame, by: list[str], tol: float)
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], tol: float) -> DataFrame:
-    """One-to-one matching of all pairs within tol, nearest first, inside each group.
+    """One-to-one matching of all pairs within tol, nearest first (ties: smallest ids), inside each group.
 
-    The order is sequential within a group, so a group's candidate pairs (not
-    its points) go to one Arrow batch.
+    A pair that is the first of both its points is taken whatever else is, so rounds take all such pairs and drop the
+    other pairs of their points, until none is left.  Every round is checkpointed.
     """
-    import pandas as pd
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "a_id", "b_id"], kind="stable")
-        a, b, keep = set(), set(), []
-        for i, j in zip(pdf["a_id"], pdf["b_id"], strict=True):
-            ok = i not in a and j not in b
-            keep.append(ok)
-            if ok:
-                a.add(i)
-                b.add(j)
-        return pdf[keep]
-
-    pairs = range_join(truth, found, tol, by).select(*by, "a_id", "b_id", "d")
-    return pairs.groupBy(*by).applyInPandas(match, pairs.schema)
+    left, out = range_join(truth, found, tol, by).select(*by, "a_id", "b_id", "d").localCheckpoint(), None
+    while not left.isEmpty():
+        rank = F.struct("d", "a_id", "b_id")
+        of_a = left.groupBy(*by, "a_id").agg(F.min(rank).alias("_m")).select(*by, "_m.a_id", "_m.b_id", "_m.d")
+        of_b = left.groupBy(*by, "b_id").agg(F.min(rank).alias("_m")).select(*by, "_m.a_id", "_m.b_id")
+        taken = of_a.join(of_b, [*by, "a_id", "b_id"]).select(left.columns).localCheckpoint()
+        left = left.join(taken.select(*by, "a_id"), [*by, "a_id"], "left_anti").join(taken.select(*by, "b_id"), [*by, "b_id"], "left_anti").select(left.columns).localCheckpoint()
+        out = taken if out is None else out.unionByName(taken)
+    return left if out is None else out
 
 
 def agreeing(pairs: DataFrame, truth: DataFrame, by: list[str], lookup: float, tol: float) -> DataFrame:

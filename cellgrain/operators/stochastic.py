@@ -97,28 +97,37 @@ def _density(x, mean, var):
     return np.exp(-((x - mean) ** 2) / (2 * var)) / math.sqrt(2 * math.pi * var)
 
 
-def two_gaussians(x: np.ndarray, rounds: int = 200, tol: float = 1e-7) -> dict | None:
-    """EM from a median split; None where a side has fewer than two values or there are fewer than ten."""
-    x = x[np.isfinite(x)]
-    n = len(x)
+def two_gaussians(x: np.ndarray, count: np.ndarray | None = None, rounds: int = 200, tol: float = 1e-7) -> dict | None:
+    """EM from a median split, each value `count` times; None where a side has fewer than two values or there are fewer than ten."""
+    count = np.ones(len(x), np.int64) if count is None else count
+    fine = np.isfinite(x)
+    order = np.argsort(x[fine], kind="stable")
+    x, count = x[fine][order], count[fine][order]
+    n = int(count.sum())
     if n < 10:
         return None
-    one = np.log(np.maximum(_density(x, x.mean(), x.var() + 1e-9), 1e-300)).sum()
-    low, high = x[x <= np.median(x)], x[x > np.median(x)]
-    if min(len(low), len(high)) < 2:
+    moments = lambda v, c: (m := (c * v).sum() / c.sum(), (c * (v - m) ** 2).sum() / c.sum())
+    m, s2 = moments(x, count)
+    one = (count * np.log(np.maximum(_density(x, m, s2 + 1e-9), 1e-300))).sum()
+    upto = np.cumsum(count)
+    median = (x[np.searchsorted(upto, (n - 1) // 2, side="right")] + x[np.searchsorted(upto, n // 2, side="right")]) / 2
+    sides = [(x[k], count[k]) for k in (x <= median, x > median)]
+    sizes = [int(c.sum()) for _, c in sides]
+    if min(sizes) < 2:
         return None
-    mean, var, share = [low.mean(), high.mean()], [low.var() + 1e-6, high.var() + 1e-6], [len(low) / n, len(high) / n]
+    mean, var = (list(v) for v in zip(*(moments(*k) for k in sides), strict=True))
+    var, share = [v + 1e-6 for v in var], [k / n for k in sizes]
     before = -math.inf
     for _ in range(rounds):
         parts = [share[k] * _density(x, mean[k], var[k]) for k in (0, 1)]
         both = parts[0] + parts[1]
         both[both <= 0] = 1e-300
-        resp = [1 - parts[1] / both, parts[1] / both]
+        resp = [count * (1 - parts[1] / both), count * (parts[1] / both)]
         size = [max(r.sum(), 1e-9) for r in resp]
         share = [s / n for s in size]
         mean = [(r * x).sum() / s for r, s in zip(resp, size, strict=True)]
         var = [max((r * (x - m) ** 2).sum() / s, 1e-6) for r, m, s in zip(resp, mean, size, strict=True)]
-        now = np.log(np.maximum(both, 1e-300)).sum()
+        now = (count * np.log(np.maximum(both, 1e-300))).sum()
         if abs(now - before) < tol:
             break
         before = now
@@ -138,18 +147,18 @@ def crossover(m0, v0, w0, m1, v1, w1) -> float | None:
 def nuclear_thresholds(cells: DataFrame, by: list[str], v: str, fixed: float = 0.2, least: int = 20, ashman_min: float = 1.25) -> DataFrame:
     """by.., n, threshold, method, ashman, abstain for each image.
 
-    An image's values are one group; EM needs them several times, so they go to
-    one Arrow batch as doubles (8 bytes a cell).
+    EM needs an image's values several times, so they go to one Arrow group, but
+    as one row for each distinct value with its count.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["_v"].to_numpy(float)
-        x = x[np.isfinite(x)]
-        g = two_gaussians(x) if len(x) >= least else None
+        x, count = pdf["_v"].to_numpy(float), pdf["_n"].to_numpy()
+        n = int(count[np.isfinite(x)].sum())
+        g = two_gaussians(x, count) if n >= least else None
         good = g is not None and g["bic2"] < g["bic1"] and g["ashman"] >= ashman_min
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [len(x)], "threshold": [g["cut"] if good else fixed], "method": ["gmm" if good else "fixed"], "ashman": [g["ashman"] if g else 0.0], "abstain": [not good]})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [n], "threshold": [g["cut"] if good else fixed], "method": ["gmm" if good else "fixed"], "ashman": [g["ashman"] if g else 0.0], "abstain": [not good]})
 
-    src = cells.select(*by, F.col(v).cast("double").alias("_v")).where("_v is not null")
+    src = cells.select(*by, F.col(v).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
     return src.groupBy(*by).applyInPandas(fit, f"{schema}, n long, threshold double, method string, ashman double, abstain boolean")
 
