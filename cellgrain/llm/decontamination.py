@@ -125,8 +125,8 @@ class Items:
     """The benchmark's items: their tokens and a sorted table of seeds."""
 
     def __init__(self, ids: list[int], texts: list[str], least: int = MATCH):
-        raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-        tokens, bounds = tokens_of(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
+        # lower-cased as documents are: str.lower() differs for a final sigma and the dotted I
+        tokens, bounds = tokens_of(*flat_utf8(pc.utf8_lower(pc.fill_null(pa.array(texts, pa.string()), ""))))
         self.least = least
         self.ids = ids
         self.tokens = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -250,8 +250,7 @@ def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float) -> D
             out = []
             for doc, item_id, text, item_text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 one = Items([item_id], [item_text], match)
-                raw = (text or "").lower().encode("utf-8", "surrogatepass")
-                tokens, bounds = tokens_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                tokens, bounds = tokens_of(*flat_utf8(pc.utf8_lower(pa.array([text or ""], pa.string()))))
                 for _, _, tiles in one.matches(tokens, bounds, coverage):
                     covered, size = sum(t[2] for t in tiles), len(one.tokens[0])
                     out.append((doc, item_id, size, covered, covered / size, len(tiles), tiles[0][2]))
