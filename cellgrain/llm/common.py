@@ -9,7 +9,10 @@ size of the Arrow batch.
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
+import sys
 import tempfile
 import uuid
 import zlib
@@ -40,20 +43,39 @@ def bucket_of(doc_id: str, modulus: int):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; where none is set, a temporary one in local mode, else an error."""
     conf = spark.sparkContext.getConf()
     shared = conf.get("spark.checkpoint.dir", None)
     if shared is None:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         shared = jvm_dir.get() if jvm_dir.isDefined() else None
     if shared is None:
-        shared = tempfile.mkdtemp(prefix="spark-cellgrain-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(f"file://{shared}")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        return f"file://{shared}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-cellgrain-', dir='/tmp')}"
+        spark.sparkContext.setCheckpointDir(shared)
+        atexit.register(shutil.rmtree, shared.removeprefix("file://"), ignore_errors=True)
     return shared
 
 
+#: Scratch folders of this process, by application.
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def release_scratch() -> None:
+    """Delete what `stash` has written in this process; called at its end, and by whoever needs no result any more."""
+    while _FOLDERS:
+        folder, spark = _FOLDERS.popitem()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception as error:  # the session has ended; say where the files are
+            print(f"left in place: {folder} ({type(error).__name__})", file=sys.stderr)
+
+
+atexit.register(release_scratch)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared scratch folder and read it back.
 
@@ -61,11 +83,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     rows whose content depends on how tasks were cut (block ids) stay fixed.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/cellgrain-{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_dir(spark)}/cellgrain-{spark.sparkContext.applicationId}"
+    _FOLDERS[folder] = spark
+    path = f"{folder}/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def flat_utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string (or binary) column end to end, and n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -153,47 +183,72 @@ def group_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 80) -> DataFrame:
+def _forest(batches):
+    """A spanning forest of each task's links: (u, smallest vertex that u reaches within the task)."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not ends:
+        return
+    u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:  # smallest label of both ends, then of the labels themselves
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        for end in (label[i], label[j], i, j):
+            np.minimum.at(after, end, low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    far = label != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], ["u", "v"])
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 80, one_task: int = LINKS_PER_TASK) -> DataFrame:
     """Smallest reachable id for each id that occurs in `links`: rows (id, component_id).
 
-    Rounds of contraction: every vertex points to the smallest neighbour (or
-    itself), pointers are followed twice more, and links are rewritten to where
-    they lead.  Rounds take turns between the order of ids, in which stars around a
-    smallest id collapse at once, and a fresh hash order, in which a constant share
-    of the vertices of chains goes, so the number of rounds is logarithmic.  Each round is checkpointed to the shared
-    folder.  Neighbours are pre-aggregated map-side (min), never gathered.  Tables
-    shrink from round to round, and their partitions with them (`LINKS_PER_TASK`).
+    Each task first replaces its links by a spanning forest.  While more than
+    `one_task` links are left, rounds of contraction follow: every vertex points
+    to the smallest neighbour (or itself), pointers are followed twice, and links
+    are rewritten to where they lead.  Rounds take turns between the order of ids,
+    in which stars around a smallest id collapse at once, and a fresh hash order,
+    in which a constant share of the vertices of chains goes, so the number of
+    rounds is logarithmic.  Neighbours are pre-aggregated map-side (min), never
+    gathered; tables shrink from round to round.  At most `one_task` links (16
+    bytes each) are finished by one task.  Each step is written to the shared folder.
     """
-    scratch_dir(links.sparkSession)
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
-    labels, parts = None, 0
+    pair = "u long, v long"
+    edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    edges = stash(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().mapInArrow(_forest, pair), "edges")
+    labels = None
     for k in range(max_rounds):
         n = edges.count()
-        if not n:
+        if n <= one_task:
             break
-        now = 8 + n // LINKS_PER_TASK
-        parts = parts or now
-        edges = edges.coalesce(now)
+        parts = 8 + n // LINKS_PER_TASK
         rank = lambda c: F.struct((F.col(c) if k % 3 == 0 else F.xxhash64(F.col(c), F.lit(k))).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select(F.col("u").alias("id"), F.least(F.col("m"), rank("u"))["x"].alias("label")).coalesce(now).checkpoint()
+        near = stash(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select(F.col("u").alias("id"), F.least(F.col("m"), rank("u"))["x"].alias("label")).coalesce(parts), "near")
         for _ in range(2):
             hop = near.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            near = near.join(hop, "label").select("id", F.col("next").alias("label")).coalesce(now)
-        near = near.checkpoint()
-        if labels is None:
-            labels = near
-        else:
-            step = near.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            labels = labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")).coalesce(parts).checkpoint()
-        lu = near.select(F.col("id").alias("u"), F.col("label").alias("lu"))
-        lv = near.select(F.col("id").alias("v"), F.col("label").alias("lv"))
-        edges = edges.join(lu, "u").coalesce(now).join(lv, "v").where("lu <> lv").coalesce(now)
-        edges = edges.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct().coalesce(now).checkpoint()
+            near = near.join(hop, "label").select("id", F.col("next").alias("label"))
+        near = stash(near.coalesce(parts), "pointers")
+        labels = near if labels is None else _followed(labels, near)
+        lu, lv = (near.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
+        edges = edges.join(lu, "u").join(lv, "v").where("lu <> lv")
+        edges = stash(edges.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct().coalesce(parts).mapInArrow(_forest, pair), "edges")
     else:
         raise RuntimeError("component labels did not settle")
+    last = edges.coalesce(1).mapInArrow(_forest, pair)
+    last = stash(last.unionByName(last.select(F.col("v").alias("u"), "v")).distinct().select(F.col("u").alias("id"), F.col("v").alias("label")), "last")
     if labels is None:
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+        return last.withColumnRenamed("label", "component_id")
+    labels = _followed(labels, last)
     smallest = labels.groupBy("label").agg(F.min("id").alias("component_id"))
     return labels.join(smallest, "label").select("id", "component_id")
+
+
+def _followed(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """Labels (id, label) after each has followed `step` (id, label) where it has an entry there."""
+    step = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
+    return stash(labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")

@@ -120,7 +120,7 @@ def test_embeddings(spark, leaf):
         centres = rng.normal(size=(6, 16))
         for _ in range(160):
             rows.append((len(rows) * 3 + 5, (centres[rng.integers(6)] + rng.normal(size=16) * rng.choice([0, 0.1, 0.25, 0.4])).astype(np.float32).tolist(), label))
-    got = {r[0]: (r[1], r[2]) for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), leaf=leaf).collect()}
+    got = {r[0]: (r[1], r[2]) for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), values=16 * leaf).collect()}
     u, links = Union([r[0] for r in rows]), Counter()
     for k, (i, x, a) in enumerate(rows):
         for j, y, b in rows[:k]:
