@@ -91,7 +91,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished steps: its cleaner acts when the driver collects garbage."""
+    """Have Spark delete the shuffle files of finished steps: its cleaner acts when the driver collects garbage.
+
+    Spark refers to the last query until another one has run, so a small one runs first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

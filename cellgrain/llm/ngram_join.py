@@ -1,36 +1,45 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
-A document's set is its distinct 5-word shingles (64-bit hashes).  Two sets
-with Jaccard similarity of at least t share, in a prefix of length p + b of
-each under one global order (p = n - ceil(t n) + 1, order by hash), at least
-b + 1 shingles.  So
-
-* a shingle that few sets have in their prefix is *rare* and indexes those sets
-  by itself;
-* two sets that share no rare shingle share b + 1 *frequent* ones; frequent
-  shingles fall into b classes by hash, two of the b + 1 are in one class, and
-  each set is indexed by its pairs of frequent shingles within a class.  A set
-  with at most b frequent shingles in its prefix needs no pair.
-
-b is about half of p, taken from a ladder of set sizes whose rungs are t apart;
-every set is indexed at its own rung and the next, so similar sets meet at one
-at least.  Index pairs grow linearly with a set's size.
-
-A set that has fewer than b + 1 shingles in common with any others within
-prefixes has no link and leaves at once; of the rest all shingles are counted,
-and a set that shares too few of them with any others for a similarity of t
-leaves too.  The same count rules out most pairs of heavily edited copies.  Equal sets are collapsed first.  What is wanted is the components of the link
-graph, so in each index bucket candidates are first paired with the bucket's
-smallest set (one verification for each set, chosen by how many buckets the two
-share, then the others whose ends still lie in different components), and then,
-in buckets that still hold several components, every set outside the largest
-one is verified against all sets of the other components.  No true link between
-different components is lost, and a bucket of one group of copies costs no more
-than its size.
+A document's set is its distinct 5-word shingles, as 64-bit hashes: shingles with
+equal hashes are taken as equal, and sets with equal 64-bit digests as well.
+
+**A first sieve** needs no counts of shingles.  Under an order by hash, a set that
+is similar to another by at least t shares at least (s - (1 - t)) n of the first
+s n shingles of its n with the first part of that one; a set that has fewer in
+common with any others leaves at once.  Shingles that several sets of one slice of texts hold are
+settled in that slice, which sends one entry on for all of them, so a line that
+every document carries makes one entry for each slice.
+
+**The index** takes what is left under another order, rarest shingle first; a set
+that shares fewer than t n of all its shingles with others leaves too.  Two similar
+sets share at least b + 1 shingles within their first p + b (p = n - ceil(t n) + 1).
+
+* A shingle that few sets have in their prefix is *rare* and indexes them by itself.
+* Two sets that share no rare shingle share b + 1 *frequent* ones; these fall into
+  b classes by hash, two of the b + 1 are in one class, and each set is indexed by
+  its pairs of frequent shingles within a class.
+
+b is about 1/32 of p, taken from a ladder of set sizes whose rungs are t apart;
+every set is indexed at its own rung and the next, so similar sets meet at one at
+least.  Index pairs grow linearly with a set's size.
+
+Only the components of the link graph are wanted.  So in each bucket of a single
+shingle candidates are first paired with the bucket's hub, the set in which the shingle
+stands foremost (one verification for each set, chosen by how many buckets the two
+share, then the others whose ends still lie in different components).  Buckets of one component
+are done, however large.  In the others an entry leaves if its shingle stands too
+far back in its set for an overlap with even the smallest set there; what remains
+is split into rare and frequent as above, and every set outside a bucket's largest
+component is verified against the sets of other components that positions and
+sizes allow.  No link between different components is lost.  Rarest-first order is
+what keeps this small: an edited copy's prefix holds the shingles its edits made.
 
 Defined results: null or empty text and text of white space only have no
 shingles and are components of their own; texts shorter than five words are one
-shingle, the whole sequence; repeated rows are equal sets.
+shingle, the whole sequence; repeated rows are equal sets; rows without an id are
+left out; of an empty table nothing is returned; columns beyond doc_id and text
+are not looked at.  Rows that share an id but not a text each keep their own set;
+`keep_representatives` then keeps the first of their texts in order.
 """
 
 from __future__ import annotations
@@ -39,19 +48,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, SLICE_BYTES, connected_components, doc_slices, flat_utf8, mix64, stash, token_hashes, words_of
+from .common import IS_SPACE, LOWER, SLICE_BYTES, connected_components, doc_slices, flat_utf8, free_shuffles, mix64, stash, texts_of, token_hashes, words_of
 
 WORDS = 5
 #: Similarity threshold as a fraction SHARE / 100.
 SHARE = 75
-#: Sets that may hold a shingle in their prefix before it counts as frequent.
+#: Entries of a bucket up to which a shingle counts as rare.
 RARE = 32
+#: The first part of a set that the sieve looks at, in hundredths.
+SIEVE = 45
+#: A prefix is extended by one shingle for so many.
+EXTENDED = 32
 #: Up to so many candidate pairs (16 bytes each) are broadcast.
 BROADCAST_PAIRS = 500_000
-#: Text bytes for each bucket of index keys.
+#: Text bytes for each bucket of the first sieve.
 BUCKET_BYTES = 12 << 20
 
 _P = np.uint64(0x2545F4914F6CDD1D)
@@ -89,29 +102,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> t
     return h, np.searchsorted(owner, np.arange(n_docs + 1))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """p: so many first shingles hold a shared one for any partner."""
-    return n - -(-(n * SHARE) // 100) + 1
-
-
-def rung(n) -> np.ndarray:
-    """The step of the ladder of set sizes that n stands on."""
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / SHARE) + 1e-9).astype(np.int64)
-
-
-def classes(level) -> np.ndarray:
-    """b, the number of classes of frequent shingles at a rung."""
-    least = np.power(100 / SHARE, level)
-    return np.maximum(1, np.floor(least * (100 - SHARE) / 100 / 2).astype(np.int64))
-
-
 def _signed(data: np.ndarray, offsets: np.ndarray):
-    """(hashes, bounds, sizes, set ids) of a slice of texts; a set's id is a digest of its shingles."""
+    """(hashes, bounds, sizes, set ids) of a slice of texts; a set's id is a digest of its shingles, never 0."""
     h, bounds = shingle_sets(data, offsets)
     n = np.diff(bounds)
     sid = np.zeros(len(n), np.uint64)
     np.add.at(sid, np.repeat(np.arange(len(n)), n), mix64(h ^ np.uint64(0x5851F42D4C957F2D)))
-    return h, bounds, n, mix64(sid + n.astype(np.uint64))
+    return h, bounds, n, np.maximum(mix64(sid + n.astype(np.uint64)), np.uint64(1))
 
 
 def _signatures(batches):
@@ -123,274 +120,148 @@ def _signatures(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sid.view(np.int64))], ["doc_id", "n", "sid"])
 
 
-_M40 = np.uint64((1 << 40) - 1)
-_PACKED = "bucket int, first long, steps binary, owners binary, sids binary"
+_PACKED = "bucket int, keys binary, owners binary, sids binary"
+#: Texts of a slice, so that 16 bits number them.
+SLICE_TEXTS = 60_000
 
 
 def _prefixes(n_buckets: int):
-    """Task side of the index: (40 bits of a shingle, set) of all prefixes, a row for each slice and bucket of shingles.
+    """The first sieve's entries (shingle, set), a row for each slice and bucket of shingles, and counts settled in the slice.
 
-    Shingles are sorted, so a row holds their steps; a set that the task has sent already is left out.
+    A set that the task has sent already is left out.  Of a shingle that several sets of the slice hold, one entry is
+    sent for all, with set 0; the sets' counts of such shingles go out as rows without keys.
     """
 
     def run(batches):
         sent: set[int] = set()
         for batch in batches:
             data, offsets = flat_utf8(batch.column(1))
-            for lo, hi in doc_slices(offsets, 2 * SLICE_BYTES):
-                at = offsets[lo : hi + 1]
-                h, bounds, n, sid = _signed(data[at[0] : at[-1]], at - at[0])
-                new = np.zeros(len(n), bool)
-                for k, s in enumerate(sid.tolist()):
-                    if n[k] and s not in sent:
-                        sent.add(s)
-                        new[k] = True
-                if len(sent) > 2_000_000:
-                    sent.clear()
-                m = np.where(new, np.minimum(n, prefix_length(n) + classes(rung(n) + 1)), 0)
-                inside = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(m, n)
-                if inside.any():
-                    yield _packed(mix64(h[inside]) & _M40, np.repeat(np.arange(len(n)), m), sid, n_buckets)
+            for begin, end in doc_slices(offsets, 2 * SLICE_BYTES):
+                for lo in range(begin, end, SLICE_TEXTS):
+                    at = offsets[lo : min(end, lo + SLICE_TEXTS) + 1]
+                    h, bounds, n, sid = _signed(data[at[0] : at[-1]], at - at[0])
+                    new = np.zeros(len(n), bool)
+                    for k, s in enumerate(sid.tolist()):
+                        if n[k] and s not in sent:
+                            sent.add(s)
+                            new[k] = True
+                    if len(sent) > 2_000_000:
+                        sent.clear()
+                    m = np.where(new, (n * SIEVE + 99) // 100, 0)
+                    inside = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(m, n)
+                    if inside.any():
+                        yield _packed(mix64(h[inside]), np.repeat(np.arange(len(n)), m), sid, n_buckets)
 
     return run
 
 
-def _unpacked(batches):
-    """From packed rows sorted by bucket: sorted distinct (key, set) of the keys that several sets have, a bucket at a time."""
+def _packed(key: np.ndarray, owner: np.ndarray, sid: np.ndarray, n_buckets: int):
+    """Rows of a slice: keys as the first one and steps of 6 bytes (8 if one is wider), owners as numbers into sids."""
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    settled = np.repeat(size > 1, size)
+    own, common = np.unique(owner[settled], return_counts=True)
+    holder = np.where(size > 1, -1, owner[first])
+    key = key[first]
+    bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    with_none = np.r_[sid, np.uint64(0)]  # number -1
+    rows = [[], [], [], []]
+    for x, y in zip(cuts, np.r_[cuts[1:], len(key)], strict=True):
+        steps = np.diff(key[x:y])
+        narrow = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if (steps >> np.uint64(48)).any() else 6]
+        held, number = np.unique(holder[x:y], return_inverse=True)
+        for column, value in zip(rows, (int(bucket[x]), key[x : x + 1].tobytes() + narrow.tobytes(), number.astype(np.uint16).tobytes(), with_none[held].tobytes()), strict=True):
+            column.append(value)
+    if len(own):
+        for column, value in zip(rows, (int(sid[own[0]] % np.uint64(n_buckets)), None, common.astype(np.int64).tobytes(), sid[own].tobytes()), strict=True):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "keys", "owners", "sids"])
+
+
+def _keys_of(raw: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[0] = np.frombuffer(raw[:8], np.uint8)
+    steps = np.frombuffer(raw[8:], np.uint8).reshape(n - 1, -1) if n > 1 else wide[1:]
+    wide[1:, : steps.shape[1]] = steps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _shared_counts(batches):
+    """(sid, shingles of its prefix that some other set has too, at least) from rows sorted by bucket."""
 
     def several(held):
-        key, sid = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
+        key, sid = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((sid, key))
         key, sid = key[order], sid[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        new = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]
         key, sid = key[new], sid[new]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
-        keep = np.repeat(size > 1, size)
-        return key[keep], sid[keep]
+        own, n = np.unique(sid[np.repeat(size > 1, size) & (sid != 0)], return_counts=True)
+        return out(own, n)
+
+    def out(own, n):
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["sid", "common"])
 
     now, held = None, []
     for batch in batches:
-        for bucket, first, steps, owners, sids in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for bucket, keys, owners, sids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            sids = np.frombuffer(sids, np.uint64)
+            if keys is None:
+                yield out(sids, np.frombuffer(owners, np.int64))
+                continue
             if bucket != now and held:
                 yield several(held)
                 held = []
             now = bucket
-            sids = np.frombuffer(sids, np.uint64)
-            owners = np.frombuffer(owners, np.uint16 if len(sids) < 1 << 16 else np.uint32)
-            steps = np.frombuffer(steps, np.uint64 if len(steps) == 8 * len(owners) else np.uint32).astype(np.uint64)
-            steps[0] = np.uint64(first)
-            held.append((np.cumsum(steps, dtype=np.uint64), sids[owners]))
+            owners = np.frombuffer(owners, np.uint16)
+            held.append((_keys_of(keys, len(owners)), sids[owners]))
     if held:
         yield several(held)
 
 
-def _shared_keys(batches):
-    for key, sid in _unpacked(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid.view(np.int64))], ["key", "sid"])
-
-
-def _shared_counts(batches):
-    """(sid, shingles that some other set has too) of each bucket."""
-    for _, sid in _unpacked(batches):
-        own, n = np.unique(sid, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["sid", "common"])
-
-
-def _packed(key: np.ndarray, owner: np.ndarray, sid: np.ndarray, n_buckets: int):
-    """Rows of (key, owner) entries, one for each bucket of keys; `sid` are the owners' sets."""
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    bucket = ((key >> np.uint64(8)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-    first = np.r_[True, bucket[1:] != bucket[:-1]]
-    steps = np.r_[key[:1], np.diff(key)]
-    steps[first] = 0
-    steps = steps if (steps >> np.uint64(32)).any() else steps.astype(np.uint32)
-    own, owner = np.unique(owner, return_inverse=True)
-    owner = owner.astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
-    cuts = np.flatnonzero(first)
-    ends = np.r_[cuts[1:], len(key)]
-    columns = [pa.array(bucket[cuts].astype(np.int32)), pa.array(key[cuts].view(np.int64))]
-    columns += [pa.array([c[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)], pa.binary()) for c in (steps, owner)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([sid[own].tobytes()] * len(cuts), pa.binary())], ["bucket", "first", "steps", "owners", "sids"])
-
-
-def _whole_sets(n_buckets: int):
-    """Rows (sid, set) as packed entries of all their shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                sets = [_from_six(x) for x in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                if len(owner):
-                    yield _packed(mix64(np.concatenate(sets)) & _M40, owner, part.column(0).to_numpy().view(np.uint64), n_buckets)
-
-    return run
-
-
-def _bucket_reader(rare: int):
-    """Reads rows (key, sid) sorted by both; rows (kind, key, hub, sid) for keys with several sets.
-
-    kind 0: at most `rare` sets have the key; kind 1: more.  hub is the key's smallest set.
-    A key's rows stream through; only the first `rare` are held.
-    """
-
-    def run(batches):
-        key, held, kind, last = None, [], 0, None
-        for batch in batches:
-            keys, sids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
-            if len(keys) and key is not None and keys[0] == key and sids[0] == last:
-                new[0] = False
-            keys, sids = keys[new], sids[new]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            ends = np.r_[first[1:], len(keys)]
-            out: list[tuple] = []
-            inner = np.ones(len(first), bool)  # runs that neither begin before this batch nor reach its end
-            if len(first):
-                inner[-1] = False
-                if key is not None:
-                    if keys[0] == key:
-                        inner[0] = False
-                    else:
-                        if kind == 0 and len(held) > 1:
-                            out.append(_rows(0, key, held[0], np.array(held)))
-                        key, held, kind = None, [], 0
-            size = ends - first
-            some = inner & (size > 1)
-            if some.any():
-                at = np.repeat(some, size)
-                hub = np.repeat(sids[first], size)[at]
-                out.append((np.repeat((size > rare).astype(np.int32), size)[at], keys[at], hub, sids[at]))
-            for k in np.flatnonzero(~inner):
-                run_key, run_sids = keys[first[k]], sids[first[k] : ends[k]]
-                if key is not None and run_key != key:
-                    if kind == 0 and len(held) > 1:
-                        out.append(_rows(0, key, held[0], np.array(held)))
-                    key, held, kind = None, [], 0
-                key, last = run_key, run_sids[-1]
-                if kind == 1:
-                    out.append(_rows(1, key, held[0], run_sids))
-                else:
-                    held += run_sids.tolist()
-                    if len(held) > rare:
-                        kind = 1
-                        out.append(_rows(1, key, held[0], np.array(held)))
-                        del held[1:]
-            if out:
-                yield _batch(out)
-        if key is not None and kind == 0 and len(held) > 1:
-            yield _batch([_rows(0, key, held[0], np.array(held))])
-
-    return run
-
-
-def _rows(kind, key, hub, sids):
-    return np.full(len(sids), kind, np.int32), np.full(len(sids), key, np.int64), np.full(len(sids), hub, np.int64), sids.astype(np.int64)
-
-
-def _batch(parts):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["kind", "key", "hub", "sid"])
-
-
-def _buckets(rows: DataFrame, rare: int) -> DataFrame:
-    """(kind, key, hub, sid) of all keys that several sets have, from rows (key, sid)."""
-    return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_bucket_reader(rare), "kind int, key long, hub long, sid long")
-
-
-def _least_shared(batches):
-    """(sid, shingles that a link needs in common within prefixes, at least) from (sid, doc_id, n).
-
-    A partner's set stands at most one rung lower, so its b is that of this
-    set's rung or more; sets of up to four shingles need one.
-    """
-    for batch in batches:
-        n = batch.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(n <= 4, 1, classes(rung(n)) + 1).astype(np.int64))], ["sid", "least"])
-
-
-def _combinations(batches):
-    """From rows (sid, n, frequent shingles): rows (key, sid), a key for each pair of frequent shingles in one class."""
-    for batch in batches:
-        keys, owners = [], []
-        for sid, n, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            grams = np.sort(np.array(grams, np.int64).view(np.uint64))
-            level = int(rung(n))
-            for at in (level, level + 1):
-                b = int(classes(at))
-                if len(grams) <= b:
-                    continue
-                cls = mix64(grams) % np.uint64(b)
-                order = np.lexsort((grams, cls))
-                g, cls = grams[order], cls[order]
-                for d in range(1, len(g)):
-                    same = cls[d:] == cls[:-d]
-                    if not same.any():
-                        break
-                    key = mix64(g[:-d][same] * _P + g[d:][same] + np.uint64(at))
-                    keys.append(key.view(np.int64))
-                    owners.append(np.full(len(key), sid, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "sid"])
-
-
-def _six(h: np.ndarray) -> bytes:
-    """Hashes cut to 48 bits: of two sets of a thousand shingles, one pair in 300 million would have a false match."""
-    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _sets_of(batches):
+    """(sid, n, shingle hashes) of the texts whose set is the one asked for."""
     for batch in batches:
-        ids, (data, offsets) = batch.column(0), flat_utf8(batch.column(1))
+        asked, (data, offsets) = batch.column(0).to_numpy(), flat_utf8(batch.column(1))
         for lo, hi in doc_slices(offsets):
             at = offsets[lo : hi + 1]
-            h, bounds = shingle_sets(data[at[0] : at[-1]], at - at[0])
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([_six(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["sid", "set"])
+            h, bounds, n, sid = _signed(data[at[0] : at[-1]], at - at[0])
+            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+            rows = pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), pa.array(n, pa.int64()), sets], ["sid", "n", "grams"])
+            yield rows.filter(pa.array(sid.view(np.int64) == asked[lo:hi]))
 
 
-def _linked(batches):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = _from_six(x), _from_six(y)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * shared >= SHARE * (len(x) + len(y) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+# Column expressions over a set's size n.
+_PREFIX = f"(n - (n * {SHARE} + 99) div 100 + 1)"
+_RUNG = f"cast(floor(ln(n) / {math.log(100 / SHARE)!r} + 1e-9) as int)"
 
 
-def _can_link(na: str, ca: str, nb: str, cb: str) -> str:
-    """SQL for: two sets of these sizes and numbers of shingles that others have too can be similar enough.
+def _classes(level: str) -> str:
+    return f"greatest(1, cast(floor(pow({100 / SHARE!r}, {level}) * {(100 - SHARE) / 100} / {EXTENDED}) as int))"
 
-    Their overlap is at most the smaller of the two numbers, so similarity
-    SHARE / 100 needs (100 + SHARE) * least >= SHARE * (na + nb).
-    """
-    return f"{100 + SHARE} * least({ca}, {cb}) >= {SHARE} * ({na} + {nb})"
+
+def _overlap(na: str, nb: str) -> str:
+    """Least overlap of sets of these sizes that are similar enough."""
+    return f"(({SHARE} * ({na} + {nb}) + {99 + SHARE}) div {100 + SHARE})"
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar enough, checked exactly.
+    """Of the pairs (a, b) those whose sets (sid, n, grams) are similar enough, by all their shingles.
 
-    Sizes and shared shingles rule pairs out first.  While the pairs are few they are broadcast, so
-    that only the sets they name are shuffled, and of a hub one copy.
+    Sizes rule pairs out first.  While the pairs are few they are broadcast, so that only the sets they name are
+    shuffled, and of a hub one copy.
     """
-    size = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"))
-    other = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"))
-    near = stash(pairs.join(size, "a").join(other, "b").where(_can_link("na", "ca", "nb", "cb")).select("a", "b"), "pairs")
-    small = near.count() <= BROADCAST_PAIRS
-    sent = F.broadcast if small else lambda df: df
-    members = sets.select(F.col("sid").alias("b"), F.col("set").alias("y")).join(sent(near), "b")
-    hubs = sets.select(F.col("sid").alias("a"), F.col("set").alias("x")).join(sent(near.select("a").distinct()), "a", "left_semi")
-    return members.join(hubs, "a").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+    size = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"))
+    other = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"))
+    near = stash(pairs.join(size, "a").join(other, "b").where(f"100 * least(na, nb) >= {SHARE} * greatest(na, nb)").select("a", "b"), "pairs")
+    sent = F.broadcast if near.count() <= BROADCAST_PAIRS else lambda df: df
+    members = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y")).join(sent(near), "b")
+    hubs = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x")).join(sent(near.select("a").distinct()), "a", "left_semi")
+    return members.join(hubs, "a").where(f"size(array_intersect(x, y)) >= {_overlap('na', 'nb')}").select("a", "b")
 
 
 def _with_components(rows: DataFrame, column: str, comps: DataFrame, out: str) -> DataFrame:
@@ -402,64 +273,91 @@ def _with_components(rows: DataFrame, column: str, comps: DataFrame, out: str) -
 def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links: the graph between the components there are is contracted, and all ids follow."""
     between = _with_components(_with_components(links, "a", comps, "u"), "b", comps, "v").where("u <> v").select("u", "v").distinct()
-    top = stash(connected_components(between, "u", "v"), "joined")
+    top = connected_components(between, "u", "v")
     lower = comps.join(top.select(F.col("id").alias("component_id"), F.col("component_id").alias("up")), "component_id", "left").select("id", F.coalesce("up", "component_id").alias("component_id"))
     fresh = top.join(comps, "id", "left_anti")
     return stash(lower.unionByName(fresh.select("id", "component_id")), "components")
 
 
+def indexed(sets: DataFrame) -> DataFrame:
+    """Prefixes under rarest-first order: rows (key, sid, n, i, slack), i the shingle's position in its set.
+
+    Sets (sid, n, grams) that share too few shingles with others have none.  slack is b of the next rung.
+    """
+    grams = sets.select("sid", "n", F.explode("grams").alias("key"))
+    held = grams.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    of_set = Window.partitionBy("sid")
+    ranked = grams.join(held, "key").select("sid", "n", "key", F.row_number().over(of_set.orderBy("held", "key")).alias("r"), F.count(F.lit(1)).over(of_set).alias("common"))
+    # the shingles of no other set come first and need no entry
+    placed = ranked.where(f"100 * common >= {SHARE} * n").select("key", "sid", "n", (F.col("n") - F.col("common") + F.col("r") - 1).alias("i"), F.expr(_classes(f"{_RUNG} + 1")).alias("slack"))
+    return placed.where(f"i < {_PREFIX} + slack")
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """The entries (key, sid, c, n, i, slack) that can have a partner in another component of their bucket, and the bucket's size."""
+    bucket = entries.groupBy("key").agg(F.min("n").alias("least_n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "least_n")
+    able = entries.join(bucket, "key").where(f"i <= n - {_overlap('n', 'least_n')} + slack").drop("least_n")
+    left = able.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+    return able.join(left, "key")
+
+
+def combined(frequent: DataFrame) -> DataFrame:
+    """Buckets of pairs of frequent shingles: rows (key, sid, c, n, i, slack), i the later one's position, slack its b."""
+    levels = frequent.select("key", "sid", "c", "n", "i", F.explode(F.expr(f"array({_RUNG}, {_RUNG} + 1)")).alias("level"))
+    levels = levels.withColumn("slack", F.expr(_classes("level"))).where(f"i < {_PREFIX} + slack")
+    grouped = levels.groupBy("sid", "c", "n", "level", "slack", F.pmod(F.xxhash64("key"), F.col("slack")).alias("class")).agg(F.sort_array(F.collect_list(F.struct("key", "i"))).alias("g")).where("size(g) > 1")
+    one = grouped.select("*", F.posexplode("g").alias("at", "x")).select("sid", "c", "n", "level", "slack", "x", F.explode(F.expr("slice(g, at + 2, size(g))")).alias("y"))
+    return one.select(F.xxhash64("level", "x.key", "y.key").alias("key"), "sid", "c", "n", F.greatest("x.i", "y.i").alias("i"), "slack")
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in a bucket at positions and sizes that allow a link.
+
+    Of each bucket, the sets outside its largest component are paired, so a bucket of one large group costs no more
+    than its size for each set beyond it.
+    """
+    largest = entries.groupBy("key", "c").agg(F.count(F.lit(1)).alias("of_c")).groupBy("key").agg(F.max_by("c", F.struct("of_c", "c")).alias("main"))
+    outside = entries.join(largest, "key").where("c <> main").select("key", *(F.col(x).alias(f"{x}2") for x in ("sid", "c", "n", "i", "slack")))
+    b = "least(slack, slack2)"
+    meets = F.expr(f"c <> c2 and i <= n - {_overlap('n', 'n2')} + {b} and i2 <= n2 - {_overlap('n', 'n2')} + {b}")
+    return outside.join(entries, (outside["key"] == entries["key"]) & meets).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, rare: int = RARE) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of `docs` (columns doc_id, text)."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    """Rows (doc_id, n_shingles, component_id), one for each row of `docs` (columns doc_id, text) with an id."""
+    docs = texts_of(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(64, 1 + int(total) // BUCKET_BYTES)
+    n_buckets = 12 + int(total) // BUCKET_BYTES
     sigs = stash(docs.mapInArrow(_signatures, "doc_id long, n long, sid long"), "signatures")
     # equal sets: one id, the digest; its smallest document stands for the text
     sets_of_docs = sigs.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
     packed = docs.mapInArrow(_prefixes(n_buckets), _PACKED)
-    index = stash(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key long, sid long"), "index")
-    # a set with a link shares more than b of its prefix's shingles, b at its own rung or more
-    least = sets_of_docs.mapInArrow(_least_shared, "sid long, least long")
-    some = index.groupBy("sid").agg(F.count(F.lit(1)).alias("shared")).join(least, "sid").where("shared >= least").select("sid")
-    texts = sets_of_docs.join(some, "sid").select("doc_id", F.col("sid").alias("set_id"))
-    some_sets = docs.join(texts, "doc_id").select("set_id", "text")
-    some_sets = stash(some_sets.mapInArrow(_sets_of, "sid long, set binary").dropDuplicates(["sid"]), "some_sets")
-    # of the sets left, how many of all their shingles another one has; too few for any partner, and the set leaves
-    whole = some_sets.mapInArrow(_whole_sets(n_buckets), _PACKED)
-    common = whole.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_counts, "sid long, common long").groupBy("sid").agg(F.sum("common").alias("common"))
-    sizes = stash(common.join(sets_of_docs.select("sid", "n"), "sid").where(f"100 * common >= {SHARE} * n"), "sizes")
-    sets = some_sets.join(sizes, "sid")
-    alive = sizes.select("sid")
-    buckets = stash(_buckets(index.join(alive, "sid", "left_semi").select("key", "sid"), rare), "buckets")
-    frequent = buckets.where("kind = 1").groupBy("sid").agg(F.collect_list("key").alias("grams"))
-    pairs = frequent.join(sets_of_docs.select("sid", "n"), "sid").select("sid", "n", "grams").mapInArrow(_combinations, "key long, sid long")
-    pair_buckets = stash(_buckets(pairs, rare), "pair_buckets")
-    members = buckets.where("kind = 0").unionByName(pair_buckets).select("key", "hub", "sid")
-
-    stars = stash(members.where("hub <> sid").groupBy("hub", "sid").agg(F.count(F.lit(1)).alias("shared")), "stars")
+    shared = packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_counts, "sid long, common long").groupBy("sid").agg(F.sum("common").alias("common"))
+    some = sets_of_docs.join(shared, "sid").where(f"100 * common >= {SIEVE + SHARE - 100} * n")
+    texts = docs.join(some.select("doc_id", "sid"), "doc_id").dropDuplicates(["doc_id", "sid", "text"]).select("sid", "text")
+    sets = stash(texts.mapInArrow(_sets_of, "sid long, n long, grams array<long>"), "sets")
+    free_shuffles(docs.sparkSession)
+    index = stash(indexed(sets), "index")
+    free_shuffles(docs.sparkSession)
+
+    # the hub is the set with the fewest rarer shingles before this one: of edited copies, the one nearest to the original
+    hubs = index.groupBy("key").agg(F.min_by("sid", F.struct("i", "sid")).alias("hub"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key", "hub")
+    stars = stash(index.select("key", "sid").join(hubs, "key").where("hub <> sid").groupBy("hub", "sid").agg(F.count(F.lit(1)).alias("shared")), "stars")
     best = stars.groupBy("sid").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-    links = stash(verified(best.select(F.col("hub").alias("a"), F.col("sid").alias("b")), sets), "links1")
-    comps = stash(connected_components(links), "components")
-
+    comps = connected_components(verified(best.select(F.col("hub").alias("a"), F.col("sid").alias("b")), sets))
     rest = _with_components(_with_components(stars.select("hub", "sid"), "hub", comps, "ca"), "sid", comps, "cb").where("ca <> cb")
     rest = rest.join(best, ["sid", "hub"], "left_anti").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
-    links2 = stash(verified(rest, sets), "links2")
-    comps = joined_components(comps, links2)
-
-    # buckets that still hold several components: all sets outside the largest component against those of the others that they can link with
-    placed = _with_components(members.select("key", "sid"), "sid", comps, "c").join(sizes, "sid")
-    smallest_n = placed.groupBy("key").agg(F.min("n").alias("least_n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "least_n")
-    placed = placed.join(smallest_n, "key").where(_can_link("n", "common", "least_n", "common")).select("key", "sid", "c", "n", "common")
-    placed = stash(placed, "mixed")
-    largest = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-    outside = placed.join(largest, "key").where("c <> main").select("key", F.col("sid").alias("s"), F.col("c").alias("cs"), F.col("n").alias("ns"), F.col("common").alias("ms"))
-    met = outside.join(placed, (outside["key"] == placed["key"]) & (outside["cs"] != placed["c"]) & F.expr(_can_link("ns", "ms", "n", "common"))).select(F.least("s", "sid").alias("a"), F.greatest("s", "sid").alias("b")).distinct()
+    comps = joined_components(comps, verified(rest, sets))
+
+    mixed = stash(_mixed(_with_components(index, "sid", comps, "c")), "mixed")
+    single = _met(mixed.where(F.col("m") <= rare).drop("m"))
+    pairs = stash(_mixed(combined(mixed.where(F.col("m") > rare))), "combined")
+    met = single.unionByName(_met(pairs.drop("m"))).distinct()
     done = stars.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"))
-    links3 = stash(verified(met.join(done, ["a", "b"], "left_anti"), sets), "links3")
-    comps = joined_components(comps, links3)
+    comps = joined_components(comps, verified(met.join(done, ["a", "b"], "left_anti"), sets))
 
-    of_set = stash(_with_components(sets_of_docs.select("sid", "doc_id"), "sid", comps, "c"), "components")
+    of_set = stash(_with_components(sets_of_docs.select("sid", "doc_id"), "sid", comps, "c"), "of_set")
     smallest = of_set.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     final = of_set.join(smallest, "c").select("sid", "component_id")
     rows = sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
@@ -467,7 +365,9 @@ def jaccard_components(docs: DataFrame, rare: int = RARE) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose id is the smallest of its component; one row for each id."""
-    found = jaccard_components(docs.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of `docs`, all columns, whose id is the smallest of its component; one row for each id, that with the first text in order."""
+    found = jaccard_components(docs)
+    kept = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id = component_id").select("doc_id")
+    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), F.coalesce("text", F.lit(""))).alias("_row"))
+    return first.select("_row.*")
