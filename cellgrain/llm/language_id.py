@@ -8,18 +8,23 @@ language with the smallest mean cost wins; equal costs go to the
 alphabetically first language.
 
 Text is lower-cased; everything that is no letter becomes one space, runs of
-spaces collapse, so n-grams see word edges.
+spaces collapse, so n-grams see word edges.  A letter is what Unicode calls one,
+in the basic plane and beyond it; those beyond count as two units.
 
 Defined results: null text or text without a letter -> ``und`` with score 0;
-no usable training row -> ``und`` for every document; columns beyond those
-named are ignored; repeated rows are scored one by one.
+no usable training row -> ``und`` for every document; rows without an id are left
+out; columns beyond those named are ignored; repeated rows are scored one by one;
+equal distances (ties) go to the first language by name; an empty table gives no
+rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, crc_mod
@@ -32,18 +37,23 @@ MANY_LANGUAGES = 10_000
 
 
 def _letter_table() -> np.ndarray:
-    """Each UTF-16 unit: its lower-case letter, or a space."""
+    """Each UTF-16 unit: its lower-case letter, or a space; halves of code points beyond the basic plane stay."""
     table = np.full(1 << 16, 32, np.uint16)
+    table[0xD800:0xE000] = np.arange(0xD800, 0xE000)
     for c in range(1 << 16):
-        if 0xD800 <= c < 0xE000:
-            table[c] = c  # halves of letters beyond the basic plane
-        elif (s := chr(c)).isalpha():
+        if (s := chr(c)).isalpha():
             low = s.lower()
             table[c] = ord(low) if len(low) == 1 else c
     return table
 
 
 _TABLE: list[np.ndarray] = []
+_BEYOND = re.compile("[\ud800-\udfff\U00010000-\U0010ffff]")
+
+
+def _letters_beyond(text: str) -> str:
+    """Text whose code points beyond the basic plane are lower-case letters or spaces; halves that stand alone are spaces."""
+    return _BEYOND.sub(lambda m: m[0].lower() if m[0].isalpha() else " ", text)
 
 
 def normalized(text: str | None) -> np.ndarray:
@@ -51,6 +61,8 @@ def normalized(text: str | None) -> np.ndarray:
     if not _TABLE:
         _TABLE.append(_letter_table())
     units = np.frombuffer((" " + (text or "") + " ").encode("utf-16-le", "surrogatepass"), np.uint16)
+    if ((units & 0xF800) == 0xD800).any():
+        units = np.frombuffer((" " + _letters_beyond(text) + " ").encode("utf-16-le"), np.uint16)
     units = _TABLE[0][units]
     keep = units != 32
     keep[1:] |= keep[:-1]
@@ -127,16 +139,14 @@ def fit_profiles(docs: DataFrame, train, text: str = "text", lang: str = "lang",
     cut = F.broadcast(cut) if cut.count() <= MANY_LANGUAGES else cut
     sample = rows.join(cut, "lang").where("h < cut").select("lang", "text")
     counts = sample.mapInArrow(_train_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # within a language a code's rank needs only the most frequent ones: a bounded aggregate, no sort of all codes
-    key = F.struct((-F.col("n")).alias("neg"), F.col("code"))
-    per_part = counts.where("n > 1").groupBy("lang", F.pmod(F.xxhash64("code"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(key)), 1, size).alias("top"))
-    best = per_part.select("lang", F.explode("top").alias("g")).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list("g")), 1, size).alias("top"))
+    # the most frequent codes of each part of a language, then of the language: sorts that can spill, at most 64 * size rows at the end
+    order = [F.col("n").desc(), F.col("code") < 0, "code"]  # codes are unsigned
+    first = counts.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(64))).withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("k") <= size)
+    best = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= size)
     profiles = {}
-    for row in best.collect():
-        codes = np.array([g["code"] for g in row["top"]], np.int64).view(np.uint64)
-        n = np.array([-g["neg"] for g in row["top"]], np.int64)
-        profiles[row["lang"]] = codes[np.lexsort((codes, -n))]
-    return dict(sorted(profiles.items()))
+    for row in best.orderBy("lang", "k").select("lang", "code").collect():
+        profiles.setdefault(row["lang"], []).append(row["code"])
+    return {lang: np.array(codes, np.int64).view(np.uint64) for lang, codes in profiles.items()}
 
 
 def classify(text: str | None, langs: list[str], union: np.ndarray, ranks: np.ndarray, size: int) -> tuple[str, float]:
