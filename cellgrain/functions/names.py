@@ -20,10 +20,6 @@ def by_length(tokens: list[str]) -> list[str]:
     return sorted(tokens, key=len, reverse=True)
 
 
-def _quoted(token: str) -> str:
-    return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in token)
-
-
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -33,18 +29,53 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+def _words(text: Column) -> Column:
+    """The runs of letters and digits of a lower-case name, in order, with the marks between them as words of their own."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+|[^a-z0-9]+)"), F.lit(1)), lambda w: w != "")
+
+
+def _token_words(token: str) -> list[str]:
+    """A marker as the words it is made of: "pd-l1" is pd, -, l1."""
+    parts, now = [], ""
+    for c in token:
+        if now and c.isalnum() != now[-1].isalnum():
+            parts.append(now)
+            now = ""
+        now += c
+    return [*parts, now]
+
+
+def _place_of(words: Column, token: str) -> Column:
+    """Where a marker's words first stand in a row in a name's words (from 1), 0 if nowhere."""
+    parts = _token_words(token)
+    if len(parts) == 1:
+        return F.array_position(words, token)
+    here = lambda k: F.slice(words, k, len(parts)) == F.array(*[F.lit(p) for p in parts])
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), here)
+    return F.when(F.size(words) >= len(parts), F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(0))).otherwise(0)
+
+
 def stain_of(text: Column, tokens: list[str] = STAINS) -> Column:
-    """The first token, longest first, that stands between other than letters and digits; null without one."""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(f"(?<![a-z0-9]){_quoted(t)}(?![a-z0-9])"), F.lit(t)) for t in by_length(tokens)])
+    """The longest marker whose words stand in a name, the first of equally long ones; null without one."""
+    words = _words(text)
+    return F.coalesce(*[F.when(_place_of(words, t) > 0, F.lit(t)) for t in by_length(tokens)])
 
 
 def pairing_key(text: Column, tokens: list[str] = STAINS) -> Column:
-    """Lower-case stem without its stain, separators collapsed to one underscore, x10 written 10x."""
-    low = F.lower(text)
-    cut = F.coalesce(*[F.when(low.rlike(p := f"(?<![a-z0-9]){_quoted(t)}(?![a-z0-9])"), F.regexp_replace(low, p, "")) for t in by_length(tokens)], low)
-    flat = F.regexp_replace(F.regexp_replace(cut, r"[\-_\s.]+", "_"), r"^_+|_+$", "")
-    return F.regexp_replace(flat, r"(?<!\d)x(\d+)(?!\d)", "$1x")
+    """A name's words in lower case without its marker's, joined by underscores; x10 is written 10x.
+
+    Every occurrence of the marker goes; separators (hyphens, underscores, dots, white space) join words, other marks stay.
+    """
+    found, words = stain_of(text, tokens), _words(text)
+    single = F.filter(words, lambda w: found.isNull() | (w != found))
+    bare = single
+    for t in tokens:  # a marker of several words: drop each stretch of its words
+        if len(parts := _token_words(t)) > 1:
+            inside = lambda k, n=len(parts), p=parts: F.exists(F.sequence(F.greatest(k - (n - 1), F.lit(1)), k), lambda at: F.slice(words, at, n) == F.array(*[F.lit(x) for x in p]))
+            kept = F.transform(F.filter(F.transform(words, lambda w, k: F.struct(w.alias("w"), (k + 1).alias("k"))), lambda x: ~inside(x["k"])), lambda x: x["w"])  # noqa: B023
+            bare = F.when(found == t, kept).otherwise(bare)
+    joined = F.regexp_replace(F.array_join(bare, ""), r"[\s_.-]+", "_")
+    return F.regexp_replace(F.trim(joined, F.lit("_")), r"(^|[^0-9])x([0-9]+)(?![0-9])", "$1$2x")
 
 
 def pixel_size_of(name: Column) -> Column:
@@ -72,10 +103,19 @@ def tissue_of(text: Column) -> Column:
     return F.regexp_replace(text, r"_\d+$", "")
 
 
+# fixed values: marks that set a log line's level, strongest level first; upper and lower case differ
+LOG_LEVELS = [
+    ("error", ["ERROR", "FAILED", "TIMEOUT"]),
+    ("warn", ["⚠", "WARNING"]),
+    ("ok", ["✓", "COMPLETE", "FINISHED", "saved", "exported", "complete"]),
+    ("info", ["Running", "Processing", "Detecting", "Rerunning", "QC", "Generating"]),
+]
+
+
 def log_level(line: Column) -> Column:
-    """Level of a log line by its first matching keyword."""
-    low = F.lower(line)
-    return F.when(low.rlike("error|failed|traceback"), "error").when(low.rlike("warn"), "warning").when(low.rlike("done|saved|complete"), "success").otherwise("info")
+    """Level of a log line: the strongest one of which it holds a mark, else normal; null for null."""
+    holds = [(level, F.greatest(*[line.contains(mark) for mark in marks])) for level, marks in LOG_LEVELS]
+    return F.when(line.isNotNull(), F.coalesce(*[F.when(hit, F.lit(level)) for level, hit in holds], F.lit("normal")))
 
 
 def metrics_json(line: Column) -> Column:

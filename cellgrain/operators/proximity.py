@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import scratch_folder
+
 
 def distance_sq(ax, ay, bx, by):
     return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
@@ -20,15 +22,15 @@ def _bins(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumn("_ix", F.floor(F.col(x) / size)).withColumn("_iy", F.floor(F.col(y) / size))
 
 
-def range_join(a: DataFrame, b: DataFrame, r: float, by: list[str]) -> DataFrame:
-    """All pairs of a(by.., pt_id, x, y) and b with distance <= r: by.., a_id, b_id, ax, ay, bx, by_, d.
+def range_join(a: DataFrame, b: DataFrame, r: float, by: list[str], of_a: tuple[str, ...] = (), of_b: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of a(by.., pt_id, x, y) and b with distance <= r: by.., a_id, b_id, ax, ay, bx, by_, d, and the columns of_a and of_b.
 
     Points without coordinates pair with nothing.
     """
-    left = _bins(a.where("x is not null and y is not null"), "x", "y", r).select(*by, F.col("pt_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), "_ix", "_iy")
+    left = _bins(a.where("x is not null and y is not null"), "x", "y", r).select(*by, F.col("pt_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), *of_a, "_ix", "_iy")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     right = _bins(b.where("x is not null and y is not null"), "x", "y", r).withColumn("_n", F.explode(around))
-    right = right.select(*by, F.col("pt_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by_"), (F.col("_ix") + F.col("_n.i")).alias("_ix"), (F.col("_iy") + F.col("_n.j")).alias("_iy"))
+    right = right.select(*by, F.col("pt_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by_"), *of_b, (F.col("_ix") + F.col("_n.i")).alias("_ix"), (F.col("_iy") + F.col("_n.j")).alias("_iy"))
     pairs = left.join(right, [*by, "_ix", "_iy"]).drop("_ix", "_iy")
     return pairs.withColumn("d", F.sqrt(distance_sq(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_")))).where(F.col("d") <= r)
 
@@ -78,13 +80,14 @@ def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], tol: float)
     A pair that is the first of both its points is taken whatever else is, so rounds take all such pairs and drop the
     other pairs of their points, until none is left.  Every round is checkpointed.
     """
-    left, out = range_join(truth, found, tol, by).select(*by, "a_id", "b_id", "d").localCheckpoint(), None
+    scratch_folder(truth.sparkSession)
+    left, out = range_join(truth, found, tol, by).select(*by, "a_id", "b_id", "d").checkpoint(), None
     while not left.isEmpty():
         rank = F.struct("d", "a_id", "b_id")
         of_a = left.groupBy(*by, "a_id").agg(F.min(rank).alias("_m")).select(*by, "_m.a_id", "_m.b_id", "_m.d")
         of_b = left.groupBy(*by, "b_id").agg(F.min(rank).alias("_m")).select(*by, "_m.a_id", "_m.b_id")
-        taken = of_a.join(of_b, [*by, "a_id", "b_id"]).select(left.columns).localCheckpoint()
-        left = left.join(taken.select(*by, "a_id"), [*by, "a_id"], "left_anti").join(taken.select(*by, "b_id"), [*by, "b_id"], "left_anti").select(left.columns).localCheckpoint()
+        taken = of_a.join(of_b, [*by, "a_id", "b_id"]).select(left.columns).checkpoint()
+        left = left.join(taken.select(*by, "a_id"), [*by, "a_id"], "left_anti").join(taken.select(*by, "b_id"), [*by, "b_id"], "left_anti").select(left.columns).checkpoint()
         out = taken if out is None else out.unionByName(taken)
     return left if out is None else out
 

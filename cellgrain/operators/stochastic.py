@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .point_pattern import permuted_k
+from .point_pattern import group_sizes, loo_intensity, permuted_k, radius_profile
+from .proximity import range_join
 
 
 def uniform(*key) -> Column:
@@ -43,15 +44,23 @@ def csr_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: fl
     return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
+#: Jittered positions tried for a drawn point before it stays on its support point.
+REDRAWS = 16
+
+
 def support_null(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, jitter: float = 2.0, seed: int = 0) -> DataFrame:
-    """K under b redrawn from the sample's support points with Gaussian jitter, kept inside the window."""
+    """K under b redrawn from the sample's support points with Gaussian jitter, kept inside the window.
+
+    A position outside the window is drawn again, jitter and all, up to REDRAWS times.
+    """
     s = support.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("pt_id")) - 1).select(*by, "_k", F.col("x").alias("sx"), F.col("y").alias("sy"))
     n = support.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
     drawn = permutations(b, n_perm).join(n, by).withColumn("_k", F.floor(uniform(*key, F.lit("s")) * F.col("_n")).cast("int")).join(s, [*by, "_k"])
-    px, py = F.col("sx") + jitter * normal(*key, F.lit("x")), F.col("sy") + jitter * normal(*key, F.lit("y"))
-    inside = px.between(0, width) & py.between(0, height)
-    moved = drawn.withColumn("x", F.when(inside, px).otherwise(F.col("sx"))).withColumn("y", F.when(inside, py).otherwise(F.col("sy"))).drop("_k", "_n", "sx", "sy")
+    tries = F.transform(F.sequence(F.lit(0), F.lit(REDRAWS - 1)), lambda t: F.struct((F.col("sx") + jitter * normal(*key, F.lit("x"), t)).alias("x"), (F.col("sy") + jitter * normal(*key, F.lit("y"), t)).alias("y")))
+    inside = F.filter(tries, lambda p: p["x"].between(0, width) & p["y"].between(0, height))
+    drawn = drawn.withColumn("_p", F.try_element_at(inside, F.lit(1)))
+    moved = drawn.withColumn("x", F.coalesce("_p.x", "sx")).withColumn("y", F.coalesce("_p.y", "sy")).drop("_k", "_n", "_p", "sx", "sy")
     return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
@@ -70,6 +79,20 @@ def intensity_grid(pts: DataFrame, by: list[str], width: float, height: float, c
 
 def kde_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, cell: float = 25.0, sigma: float = 50.0, seed: int = 0) -> DataFrame:
     """K under b redrawn from its own smoothed intensity: a cell by its share, then uniform within the cell."""
+    return _curves(a, b, redrawn(b, by, width, height, n_perm, cell, sigma, seed), by, width * height, n_perm, rmax, step)
+
+
+def kde_sweep(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, sigma: float = 50.0, factors: tuple[float, ...] = (0.5, 1.0, 2.0), seed: int = 0) -> DataFrame:
+    """The curves of `kde_null` at several bandwidths: by.., factor, perm_id, r_idx, r, k."""
+    parts = [kde_null(a, b, by, width, height, n_perm, rmax, step, sigma * f / 2, sigma * f, seed).withColumn("factor", F.lit(f)) for f in factors]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def redrawn(b: DataFrame, by: list[str], width: float, height: float, n_perm: int, cell: float, sigma: float, seed: int = 0) -> DataFrame:
+    """b drawn anew from its smoothed intensity in each permutation: by.., perm_id, pt_id, x, y."""
     grid = intensity_grid(b, by, width, height, cell, sigma)
     run = Window.partitionBy(*by).orderBy("gx", "gy")
     cum = grid.withColumn("hi", F.sum("lam").over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("lam").over(Window.partitionBy(*by)))
@@ -77,8 +100,48 @@ def kde_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: fl
     key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
     drawn = permutations(b.select(*by, "pt_id"), n_perm).join(steps, by).withColumn("_u", uniform(*key, F.lit("c")))
     picked = F.coalesce(F.try_element_at(F.filter("steps", lambda s: s["hi"] > F.col("_u")), F.lit(1)), F.element_at("steps", -1))
-    moved = drawn.withColumn("_c", picked).select(*by, "perm_id", "pt_id", F.least((F.col("_c.gx") + uniform(*key, F.lit("x"))) * cell, F.lit(width)).alias("x"), F.least((F.col("_c.gy") + uniform(*key, F.lit("y"))) * cell, F.lit(height)).alias("y"))
-    return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
+    return drawn.withColumn("_c", picked).select(*by, "perm_id", "pt_id", F.least((F.col("_c.gx") + uniform(*key, F.lit("x"))) * cell, F.lit(width)).alias("x"), F.least((F.col("_c.gy") + uniform(*key, F.lit("y"))) * cell, F.lit(height)).alias("y"))
+
+
+def reweighted_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, bandwidth: float = 75.0, seed: int = 0) -> DataFrame:
+    """Inhomogeneous K under b redrawn from its smoothed intensity, whose own intensity is estimated anew in each permutation: by.., perm_id, r_idx, r, k.
+
+    a and its leave-one-out intensity are the same throughout; each pair counts 1 / (lambda_a lambda_b*).
+    """
+    area = width * height
+    moved = redrawn(b, by, width, height, n_perm, max(bandwidth / 3, width / 160), bandwidth, seed)
+    own = loo_intensity(moved, [*by, "perm_id"], bandwidth, area)
+    moved = moved.join(own.withColumnRenamed("lam", "lb"), [*by, "perm_id", "pt_id"])
+    fixed = a.join(loo_intensity(a, by, bandwidth, area).withColumnRenamed("lam", "la"), [*by, "pt_id"])
+    pairs = range_join(moved, fixed, rmax, by, of_a=("perm_id", "lb"), of_b=("la",))
+    grid = group_sizes(a, b, by).crossJoin(F.broadcast(a.sparkSession.range(n_perm).select(F.col("id").alias("perm_id"))))
+    curve = radius_profile(pairs, grid, [*by, "perm_id"], rmax, step, 1 / (F.col("la") * F.col("lb")))
+    return curve.select(*by, "perm_id", "r_idx", "r", (F.col("total") / area).alias("k"))
+
+
+def attracted(a: DataFrame, b: DataFrame, by: list[str], share: float, sigma: float, seed: int = 0) -> DataFrame:
+    """b with a share of its points moved beside points of a (Gaussian offsets): planted attraction, for power studies."""
+    n = a.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    anchors = a.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("pt_id")) - 1).select(*by, "_k", F.col("x").alias("_ax"), F.col("y").alias("_ay"))
+    key = [F.lit(seed), *[F.col(c) for c in by], F.col("pt_id")]
+    drawn = b.join(n, by, "left").withColumn("_k", F.floor(uniform(*key, F.lit("anchor")) * F.col("_n")).cast("int")).join(anchors, [*by, "_k"], "left")
+    near = (uniform(*key, F.lit("share")) < share) & F.col("_ax").isNotNull()
+    moved = {"x": F.col("_ax") + sigma * normal(*key, F.lit("dx")), "y": F.col("_ay") + sigma * normal(*key, F.lit("dy"))}
+    return drawn.withColumns({c: F.when(near, v).otherwise(F.col(c)) for c, v in moved.items()}).select(b.columns)
+
+
+def displaced(pts: DataFrame, by: list[str], error: float, width: float, height: float, seed: int = 0) -> DataFrame:
+    """Points moved by Gaussian errors of a registration, without those that leave the window."""
+    key = [F.lit(seed), *[F.col(c) for c in by], F.col("pt_id")]
+    moved = pts.withColumns({"x": F.col("x") + error * normal(*key, F.lit("ex")), "y": F.col("y") + error * normal(*key, F.lit("ey"))})
+    return moved.where(F.col("x").between(0, width) & F.col("y").between(0, height))
+
+
+def rotated(pts: DataFrame, degrees: float, dx: float, dy: float, cx: float, cy: float) -> DataFrame:
+    """Points turned around (cx, cy) and shifted: a known warp to recover."""
+    t = math.radians(degrees)
+    x, y = F.col("x") - cx, F.col("y") - cy
+    return pts.withColumns({"x": math.cos(t) * x - math.sin(t) * y + cx + dx, "y": math.sin(t) * x + math.cos(t) * y + cy + dy})
 
 
 def tile_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, tile: float, n_perm: int, rmax: float, step: float, seed: int = 0) -> DataFrame:
@@ -92,88 +155,124 @@ def tile_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: f
 # ---- two-component mixture of an image's signal -------------------------------------------------
 
 
-def _density(x, mean, var):
-    var = max(var, 1e-9)
-    return np.exp(-((x - mean) ** 2) / (2 * var)) / math.sqrt(2 * math.pi * var)
-
-
-def two_gaussians(x: np.ndarray, count: np.ndarray | None = None, rounds: int = 200, tol: float = 1e-7) -> dict | None:
-    """EM from a median split, each value `count` times; None where a side has fewer than two values or there are fewer than ten."""
-    count = np.ones(len(x), np.int64) if count is None else count
-    fine = np.isfinite(x)
-    order = np.argsort(x[fine], kind="stable")
-    x, count = x[fine][order], count[fine][order]
-    n = int(count.sum())
-    if n < 10:
-        return None
-    moments = lambda v, c: (m := (c * v).sum() / c.sum(), (c * (v - m) ** 2).sum() / c.sum())
-    m, s2 = moments(x, count)
-    one = (count * np.log(np.maximum(_density(x, m, s2 + 1e-9), 1e-300))).sum()
-    upto = np.cumsum(count)
-    median = (x[np.searchsorted(upto, (n - 1) // 2, side="right")] + x[np.searchsorted(upto, n // 2, side="right")]) / 2
-    sides = [(x[k], count[k]) for k in (x <= median, x > median)]
-    sizes = [int(c.sum()) for _, c in sides]
-    if min(sizes) < 2:
+#: Bins of an image's values that the mixture is fitted to; each keeps the count, sum and sum of squares of its values.
+MIXTURE_BINS = 4096
+# fixed values: least cells for a fit, variance floor, rounds and gain in log likelihood at which rounds end
+LEAST_CELLS, VARIANCE_FLOOR, ROUNDS, GAIN = 10, 1e-6, 200, 1e-7
+
+
+def binned(cells: DataFrame, by: list[str], v: str) -> DataFrame:
+    """The finite values of each image in bins of equal width: by.., bin, n, s1, s2."""
+    x = F.col(v).cast("double")
+    fine = cells.select(*by, x.alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
+    edge = fine.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * MIXTURE_BINS), F.lit(MIXTURE_BINS - 1))).otherwise(F.lit(0))
+    return fine.join(edge, by).groupBy(*by, place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s1"), F.sum(F.col("_v") * F.col("_v")).alias("s2"))
+
+
+class TwoNormals:
+    """A mixture of two normal distributions fitted to binned values: state is (log share, mean, variance) of both."""
+
+    def __init__(self, n: np.ndarray, s1: np.ndarray, s2: np.ndarray):
+        self.n, self.x = n.astype(float), s1 / n
+        self.inner = np.maximum(s2 / n - self.x**2, 0)  # variance within a bin
+        self.total = self.n.sum()
+
+    def moments(self, weight: np.ndarray) -> np.ndarray:
+        """Rows (log share, mean, variance) of weighted bins; `weight` has a row for each component."""
+        size = np.maximum(weight.sum(axis=1), 1e-9)
+        mean = weight @ self.x / size
+        spread = (weight * ((self.x - mean[:, None]) ** 2 + self.inner)).sum(axis=1) / size
+        return np.array([np.log(size / self.total), mean, spread])
+
+    def log_joint(self, state: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        x = self.x if x is None else x
+        share, mean, var = (c[:, None] for c in state)
+        return share - (np.log(2 * math.pi * var) + (x - mean) ** 2 / var) / 2
+
+    def single(self) -> float:
+        """Log likelihood of one normal distribution."""
+        state = self.moments(self.n[None, :]) + np.array([[0], [0], [1e-9]])
+        return float((self.n * np.maximum(self.log_joint(state)[0], math.log(1e-300))).sum())
+
+    def fit(self) -> tuple[np.ndarray, float] | None:
+        """(state, log likelihood), from a start at the median; None where a side has fewer than two cells."""
+        upto = np.cumsum(self.n)
+        middle = [self.x[np.searchsorted(upto, k, side="right")] for k in ((self.total - 1) // 2, self.total // 2)]
+        low = self.x <= sum(middle) / 2
+        sides = np.array([self.n * low, self.n * ~low])
+        if sides.sum(axis=1).min() < 2:
+            return None
+        state, held = self.moments(sides) + np.array([[0], [0], [VARIANCE_FLOOR]]), -math.inf
+        for _ in range(ROUNDS):
+            joint = self.log_joint(state)
+            both = np.maximum(np.logaddexp(*joint), math.log(1e-300))
+            state = self.moments(self.n * np.exp(joint - both))
+            state[2] = np.maximum(state[2], VARIANCE_FLOOR)
+            reached = float((self.n * both).sum())
+            if abs(reached - held) < GAIN:
+                break
+            held = reached
+        return state[:, np.argsort(state[1])], held
+
+    def cut(self, state: np.ndarray) -> float:
+        """Where both components are equally likely between their means, by halving; the middle where the odds don't change sign there."""
+        odds = lambda v: float(np.subtract(*self.log_joint(state, np.array([v]))[:, 0]))
+        lo, hi = state[1]
+        if not (odds(lo) > 0 > odds(hi)):
+            return float(lo + hi) / 2
+        for _ in range(100):
+            middle = (lo + hi) / 2
+            lo, hi = (middle, hi) if odds(middle) > 0 else (lo, middle)
+        return float(lo + hi) / 2
+
+
+def mixture(n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> dict | None:
+    """cut, Ashman's D, and BIC of one and of two components of binned values; None where there are too few."""
+    model = TwoNormals(*(np.asarray(v)[np.argsort(np.asarray(s1) / np.asarray(n), kind="stable")] for v in (n, s1, s2)))
+    if model.total < LEAST_CELLS or (fitted := model.fit()) is None:
         return None
-    mean, var = (list(v) for v in zip(*(moments(*k) for k in sides), strict=True))
-    var, share = [v + 1e-6 for v in var], [k / n for k in sizes]
-    before = -math.inf
-    for _ in range(rounds):
-        parts = [share[k] * _density(x, mean[k], var[k]) for k in (0, 1)]
-        both = parts[0] + parts[1]
-        both[both <= 0] = 1e-300
-        resp = [count * (1 - parts[1] / both), count * (parts[1] / both)]
-        size = [max(r.sum(), 1e-9) for r in resp]
-        share = [s / n for s in size]
-        mean = [(r * x).sum() / s for r, s in zip(resp, size, strict=True)]
-        var = [max((r * (x - m) ** 2).sum() / s, 1e-6) for r, m, s in zip(resp, mean, size, strict=True)]
-        now = (count * np.log(np.maximum(both, 1e-300))).sum()
-        if abs(now - before) < tol:
-            break
-        before = now
-    (m0, v0, w0), (m1, v1, w1) = sorted(zip(mean, var, share, strict=True))
-    cut = crossover(m0, v0, w0, m1, v1, w1)
-    return {"cut": (m0 + m1) / 2 if cut is None else cut, "ashman": math.sqrt(2) * (m1 - m0) / math.sqrt(v0 + v1), "bic1": -2 * one + 2 * math.log(n), "bic2": -2 * before + 5 * math.log(n)}
-
-
-def crossover(m0, v0, w0, m1, v1, w1) -> float | None:
-    """Where the weighted densities are equal between the means."""
-    a, b = (1 / v0 - 1 / v1) / 2, m1 / v1 - m0 / v0
-    c = (m0 * m0 / v0 - m1 * m1 / v1) / 2 + math.log(w0 / math.sqrt(v0)) - math.log(w1 / math.sqrt(v1)) if w0 > 0 and w1 > 0 else math.nan
-    roots = [-c / b] if abs(a) < 1e-12 and abs(b) >= 1e-12 else ([] if abs(a) < 1e-12 or (d := b * b - 4 * a * c) < 0 or math.isnan(d) else [(-b + math.sqrt(d)) / (2 * a), (-b - math.sqrt(d)) / (2 * a)])
-    return next((r for r in roots if m0 < r < m1), None)
+    state, likelihood = fitted
+    apart = math.sqrt(2) * (state[1, 1] - state[1, 0]) / math.sqrt(state[2].sum())
+    return {"cut": model.cut(state), "ashman": apart, "bic1": 2 * math.log(model.total) - 2 * model.single(), "bic2": 5 * math.log(model.total) - 2 * likelihood}
 
 
 def nuclear_thresholds(cells: DataFrame, by: list[str], v: str, fixed: float = 0.2, least: int = 20, ashman_min: float = 1.25) -> DataFrame:
-    """by.., n, threshold, method, ashman, abstain for each image.
+    """by.., n, threshold, method, ashman, abstain for each image with a value.
 
-    EM needs an image's values several times, so they go to one Arrow group, but
-    as one row for each distinct value with its count.
+    Rounds of EM need an image's values again and again, so they go to one group as at most MIXTURE_BINS bins,
+    however many cells there are.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, count = pdf["_v"].to_numpy(float), pdf["_n"].to_numpy()
-        n = int(count[np.isfinite(x)].sum())
-        g = two_gaussians(x, count) if n >= least else None
+        n = int(pdf["n"].sum())
+        g = mixture(*(pdf[c].to_numpy() for c in ("n", "s1", "s2"))) if n >= least else None
         good = g is not None and g["bic2"] < g["bic1"] and g["ashman"] >= ashman_min
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [n], "threshold": [g["cut"] if good else fixed], "method": ["gmm" if good else "fixed"], "ashman": [g["ashman"] if g else 0.0], "abstain": [not good]})
 
-    src = cells.select(*by, F.col(v).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
-    return src.groupBy(*by).applyInPandas(fit, f"{schema}, n long, threshold double, method string, ashman double, abstain boolean")
+    return binned(cells, by, v).groupBy(*by).applyInPandas(fit, f"{schema}, n long, threshold double, method string, ashman double, abstain boolean")
 
 
 def architecture_scale(pts: DataFrame, by: list[str], width: float, height: float, cell: float = 15.0) -> DataFrame:
-    """Autocorrelation length of each pattern's density field: first lag at 1/e of its radial autocorrelation; null under 30 points."""
+    """Autocorrelation length of each pattern's density field: first lag at 1/e of its radial autocorrelation; null under 30 points.
+
+    Points are counted by grid cell first, so a group holds the window's cells and not its points.
+    """
+    nx, ny = max(2, int(width // cell)), max(2, int(height // cell))
+    place = lambda c, top, k: F.least(F.floor(F.col(c) / top * k), F.lit(k - 1)).cast("int")
+    counts = pts.withColumn("_in", F.col("x").between(0, width) & F.col("y").between(0, height)).groupBy(*by, F.when(F.col("_in"), place("x", width, nx)).alias("gx"), F.when(F.col("_in"), place("y", height, ny)).alias("gy")).agg(F.count(F.lit(1)).alias("c"))
 
     def scale(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        if len(pdf) >= 30:
-            field, _, _ = np.histogram2d(pdf["x"], pdf["y"], bins=[max(2, int(width // cell)), max(2, int(height // cell))], range=[[0, width], [0, height]])
-            field = field - field.mean()
-            n = [2 * s for s in field.shape]
-            auto = np.fft.irfft2(abs(np.fft.rfft2(field, n)) ** 2, n)
-            r = np.hypot(*np.meshgrid(*[np.minimum(np.arange(s), s - np.arange(s)) for s in n], indexing="ij"))
+        n, out = int(pdf["c"].sum()), None
+        if n >= 30:
+            inside = pdf.dropna(subset=["gx", "gy"])
+            field = np.zeros((nx, ny))
+            field[inside["gx"].to_numpy(int), inside["gy"].to_numpy(int)] = inside["c"]
+            field -= field.mean()
+            size = [2 * k for k in field.shape]
+            auto = np.fft.irfft2(abs(np.fft.rfft2(field, size)) ** 2, size)
+            r = np.hypot(*np.meshgrid(*[np.minimum(np.arange(k), k - np.arange(k)) for k in size], indexing="ij"))
             k = np.rint(r).astype(int).ravel()
             prof = np.bincount(k, auto.ravel())[:40] / np.maximum(np.bincount(k)[:40], 1)
             prof = prof / prof[0] if prof[0] > 0 else prof
@@ -181,10 +280,10 @@ def architecture_scale(pts: DataFrame, by: list[str], width: float, height: floa
             if len(below) and below[0] > 0:
                 i = below[0]
                 out = cell * (i - 1 + (prof[i - 1] - 1 / math.e) / (prof[i - 1] - prof[i]))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [len(pdf)], "scale": [out]}).astype({"scale": "float64"})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [n], "scale": [out]}).astype({"scale": "float64"})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pts.select(*by).schema)
-    return pts.select(*by, "x", "y").groupBy(*by).applyInPandas(scale, f"{schema}, n long, scale double").withColumn("scale", F.when(~F.isnan("scale"), F.col("scale")))
+    return counts.groupBy(*by).applyInPandas(scale, f"{schema}, n long, scale double").withColumn("scale", F.when(~F.isnan("scale"), F.col("scale")))
 
 
 def calibrate_loo(cells: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:

@@ -298,12 +298,22 @@ def equal_count_pairs(spark, sf_dir, most=30):
     return matching.equal_count_pairs(s)
 
 
-@add("metrics_line", """with l as (select event_id, case when event_id % 4 = 0 then '##METRICS## ' || props when event_id % 4 = 1 then 'Warning: low ' || event_type else 'done ' || event_type end line from events) select event_id, case when event_id % 4 = 0 then json_extract(props, '$.k')::int end k,
-  case when event_id % 4 = 1 then 'warning' when event_id % 4 > 1 then 'success' else 'info' end as level from events""")
+LINES = """l as (select event_id, case event_id % 8 when 0 then '##METRICS## ' || props when 1 then 'WARNING: low ' || event_type when 2 then 'saved ' || event_type when 3 then 'Processing ' || event_type
+  when 4 then 'ERROR after ' || event_type || ' saved' when 5 then 'Warning ' || event_type when 6 then 'QC of ' || event_type || ' complete' else 'done ' || event_type end line from events)"""
+
+
+def _lines(spark, sf_dir):
+    i, kind = F.col("event_id") % 8, F.col("event_type")
+    words = [F.concat(F.lit("##METRICS## "), "props"), F.concat(F.lit("WARNING: low "), kind), F.concat(F.lit("saved "), kind), F.concat(F.lit("Processing "), kind), F.concat(F.lit("ERROR after "), kind, F.lit(" saved")), F.concat(F.lit("Warning "), kind), F.concat(F.lit("QC of "), kind, F.lit(" complete"))]
+    line = F.coalesce(*[F.when(i == k, w) for k, w in enumerate(words)], F.concat(F.lit("done "), kind))
+    return read(spark, sf_dir, "events").select("event_id", line.alias("line"))
+
+
+@add("metrics_line", f"""with {LINES} select event_id, case when line like '##METRICS##%' then cast(json_extract_string(substr(line, 13), '$.k') as int) end k,
+  case when line like '%ERROR%' or line like '%FAILED%' or line like '%TIMEOUT%' then 'error' when line like '%WARNING%' then 'warn' when regexp_matches(line, 'COMPLETE|FINISHED|saved|exported|complete') then 'ok'
+  when regexp_matches(line, 'Running|Processing|Detecting|Rerunning|QC|Generating') then 'info' else 'normal' end as level from l""")
 def metrics_line(spark, sf_dir):
-    i = F.col("event_id") % 4
-    e = read(spark, sf_dir, "events").select("event_id", F.when(i == 0, F.concat(F.lit("##METRICS## "), "props")).when(i == 1, F.concat(F.lit("Warning: low "), "event_type")).otherwise(F.concat(F.lit("done "), "event_type")).alias("line"))
-    return e.select("event_id", F.get_json_object(names.metrics_json(F.col("line")), "$.k").cast("int").alias("k"), names.log_level(F.col("line")).alias("level"))
+    return _lines(spark, sf_dir).select("event_id", F.get_json_object(names.metrics_json(F.col("line")), "$.k").cast("int").alias("k"), names.log_level(F.col("line")).alias("level"))
 
 
 @add("dataset_manifest", """with f as (select page_id % 7 tree, url as name, sha256(html) h from pages) select tree, count(*) n_files, sha256(string_agg(h || '  ' || name, chr(10) order by name, h)) manifest from f group by 1""")

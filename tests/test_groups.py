@@ -40,11 +40,29 @@ def test_manifest_streams_sorted_lines(spark):
     assert {r["tree"]: (r["n_files"], r["manifest"]) for r in out.collect()} == expected
 
 
-def test_counted_values_give_the_same_mixture(spark):
-    x = np.round(np.r_[np.random.default_rng(52).normal(0.1, 0.03, 300), np.random.default_rng(53).normal(0.5, 0.08, 200)], 2)
-    v, n = np.unique(x, return_counts=True)
-    one, two = stochastic.two_gaussians(x), stochastic.two_gaussians(v, n)
-    assert all(one[k] == pytest.approx(two[k], rel=1e-6) for k in one)
-    cells = spark.createDataFrame([("i", float(k)) for k in x], "image string, v double")
-    got = stochastic.nuclear_thresholds(cells, ["image"], "v").first()
-    assert got["n"] == 500 and got["threshold"] == pytest.approx(one["cut"], rel=1e-6) and got["method"] == "gmm"
+def test_bins_give_the_mixture_of_the_cells(spark):
+    """EM over cells one by one, written out plainly, against the fit to bins."""
+    x = np.r_[np.random.default_rng(52).normal(0.1, 0.03, 300), np.random.default_rng(53).normal(0.5, 0.08, 200)]
+    parts = [x[x <= np.median(x)], x[x > np.median(x)]]
+    share, mean, var = [len(p) / len(x) for p in parts], [p.mean() for p in parts], [p.var() for p in parts]
+    for _ in range(200):
+        dens = np.array([w * np.exp(-((x - m) ** 2) / (2 * v)) / np.sqrt(v) for w, m, v in zip(share, mean, var, strict=True)])
+        resp = dens / dens.sum(axis=0)
+        share, mean = resp.mean(axis=1), resp @ x / resp.sum(axis=1)
+        var = [(r * (x - m) ** 2).sum() / r.sum() for r, m in zip(resp, mean, strict=True)]
+    grid = np.linspace(mean[0], mean[1], 200_001)
+    dens = [w * np.exp(-((grid - m) ** 2) / (2 * v)) / np.sqrt(v) for w, m, v in zip(share, mean, var, strict=True)]
+    cut = grid[np.argmin(abs(dens[0] - dens[1]) + (grid == mean[0]))]
+    cells = spark.createDataFrame([("i", float(k)) for k in x] + [("i", None), ("i", float("nan")), ("few", 0.1)], "image string, v double")
+    got = {r["image"]: r for r in stochastic.nuclear_thresholds(cells, ["image"], "v").collect()}
+    assert got["i"]["n"] == 500 and got["i"]["threshold"] == pytest.approx(cut, abs=1e-3) and got["i"]["method"] == "gmm"
+    assert got["few"]["n"] == 1 and got["few"]["abstain"] and got["few"]["threshold"] == 0.2
+
+
+def test_architecture_scale_of_counts(spark):
+    """Clusters of a known width have a scale near it; a pattern of few points has none."""
+    rng = np.random.default_rng(9)
+    centres = rng.uniform(100, 900, (12, 2))
+    rows = [("a", i, *map(float, centres[i % 12] + rng.normal(0, 40, 2))) for i in range(3000)] + [("b", i, float(i), 1.0) for i in range(10)]
+    got = {r["s"]: r for r in stochastic.architecture_scale(spark.createDataFrame(rows, "s string, pt_id long, x double, y double"), ["s"], 1000.0, 1000.0).collect()}
+    assert 30 < got["a"]["scale"] < 120 and got["b"]["scale"] is None and got["b"]["n"] == 10
