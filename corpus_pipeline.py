@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes
 each stage's rows into the shared scratch folder and reads them for the next.
-Rows without an id leave in the first stage that needs ids.
+
+Defined results, in every stage: a null text counts as an empty one (and has no
+language, so the first stage rejects it); of rows that share an id, each is judged
+in the first stage, and the second keeps one, that with the first text in order;
+rows without an id leave in the second stage; equal texts are near duplicates, of
+which the smallest id stays; an empty table gives no rows; columns beyond those of
+`documents` are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellgrain.llm import decontamination, language_id, ngram_join, packing, suffix_dedup
-from cellgrain.llm.common import bucket_of, read, stash
+from cellgrain.llm.common import bucket_of, free_shuffles, read, stash
 from cellgrain.llm.queries import vocabulary
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter, and texts unlike every profile, go."""
+    """Rows whose language can be told; texts without a letter, and texts unlike every profile, go. Only texts and labels of `docs` are learnt from."""
     profiles = language_id.fit_profiles(docs, bucket_of("doc_id", 5) != 0)
     return language_id.keep_identified(docs, profiles)
 
@@ -48,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Tokenizers and tiling have no SQL form; tests/llm checks the rows against a brute-force version.
+#: Tokenizers and tiling have no SQL form; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -56,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        free_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
