@@ -9,6 +9,7 @@ size of the Arrow batch.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Links of a graph that one task takes.
 LINKS_PER_TASK = 100_000
 
@@ -100,6 +101,18 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def released(work):
+    """`work` over batches, after which a task's freed memory goes back to the system: Python workers are used again by later stages."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return run
+
+
 def flat_utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string (or binary) column end to end, and n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

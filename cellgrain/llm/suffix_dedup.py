@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, flat_utf8, mix64, powers, stash, texts_of
+from .common import doc_slices, flat_utf8, mix64, powers, released, stash, texts_of
 
 LENGTH = 50
 K = 20
 #: Text bytes for each bucket of ranks and each bucket of documents.
 BUCKET_BYTES = 12 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Contexts of one rank that are compared in one task.
 MOST = 60_000
 #: Longest run of string starts worked on at once; longer documents are cut there.
@@ -63,7 +63,7 @@ _CACHE: dict[tuple[int, int], np.ndarray] = {}
 def _powers(n: int, base: int) -> np.ndarray:
     key = (base, 1 << max(16, (n - 1).bit_length()))
     if key not in _CACHE:
-        _CACHE.clear() if len(_CACHE) > 3 else None
+        _CACHE.clear() if len(_CACHE) > 1 else None
         _CACHE[key] = powers(key[1], base)
     return _CACHE[key][:n]
 
@@ -113,7 +113,7 @@ class Runs:
         whole = (sums[self.first + size] - sums[self.first]) * back[self.first]
         shape = ((self.at - self.first).astype(np.uint64) << np.uint64(8)) | size.astype(np.uint64)
         self.context = mix64(whole ^ (shape << np.uint64(40))) & _M40
-        self.key = mix64((self.rank << np.uint64(24)) ^ self.context * np.uint64(_R)) & _M48
+        self.key = _key(self.rank, self.context)
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray):
@@ -153,8 +153,12 @@ def _from5(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _key(rank: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix64((rank << np.uint64(24)) ^ context * np.uint64(_R)) & _M48
+
+
 def _ranks(n_buckets: int):
-    """Task side of step 1: the distinct (rank, context) of each document, packed by rank."""
+    """Task side of steps 1 and 2: each (rank, context) with the smallest document of the slice that has it, packed by rank."""
 
     def run(batches):
         for batch in batches:
@@ -163,19 +167,27 @@ def _ranks(n_buckets: int):
                 r = _runs(data, offsets, lo, hi, begin, end)
                 if not len(r.doc):
                     continue
-                order = np.lexsort((r.doc, r.context, r.rank))
-                rank, context, doc = r.rank[order], r.context[order], r.doc[order]
-                new = np.r_[True, (rank[1:] != rank[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1])]
-                rank, context, doc = rank[new], context[new], doc[new]
+                doc = ids[lo:hi][r.doc].astype(np.int64)
+                order = np.lexsort((doc, r.context, r.rank))
+                rank, context, doc = r.rank[order], r.context[order], doc[order]
+                fresh = np.r_[True, (rank[1:] != rank[:-1]) | (context[1:] != context[:-1])]
+                once = fresh | np.r_[True, doc[1:] != doc[:-1]]
+                rank, context, doc, fresh = rank[once], context[once], doc[once], fresh[once]
+                # a context that stands in several documents of the slice goes on for the smallest one; in the others all its strings repeat
+                if not fresh.all():
+                    later = [doc[~fresh].tobytes(), _key(rank[~fresh], context[~fresh]).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(rank[~fresh][0] % np.uint64(n_buckets))], pa.int32()), *(pa.array([c], pa.binary()) for c in (None, *later, None))], ["bucket", "a", "b", "c", "d"])
+                rank, context, doc = rank[fresh], context[fresh], doc[fresh]
                 bucket = ((rank >> np.uint64(8)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 first = np.r_[True, bucket[1:] != bucket[:-1]]
                 step = np.r_[rank[:1], np.diff(rank)]
-                step[first] = 0  # a row's first rank stands in its head
+                step[first] = 0  # a row's first rank stands in its head, before the ids of its documents
                 wide = step.astype(np.uint64) if (step >> np.uint64(32)).any() else step.astype(np.uint32)
                 cuts = np.flatnonzero(first)
-                docs = np.r_[ids[lo : lo + 1], np.diff(ids[lo:hi])].astype(np.int64).tobytes()
-                rows = _rows(bucket, [wide, _bytes5(context), doc.astype(np.uint32), doc[:, None][:, :0]])
-                head = [int(x).to_bytes(8, "little") + docs for x in rank[cuts]]
+                held = [np.unique(doc[x:y], return_inverse=True) for x, y in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)]
+                number = np.concatenate([k for _, k in held]).astype(np.uint32)
+                rows = _rows(bucket, [wide, _bytes5(context), number, number[:, None][:, :0]])
+                head = [int(x).to_bytes(8, "little") + own.tobytes() for x, (own, _) in zip(rank[cuts], held, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), rows.column(3), pa.array(head, pa.binary())], ["bucket", "a", "b", "c", "d"])
 
     return run
@@ -203,8 +215,12 @@ DETAIL = np.uint32(0x80000000)
 FULL = np.uint32(0x7FFFFFFF)
 
 
+#: A document's bucket is id mod _PRIME * _FACTOR mod _PRIME mod the number of buckets, so ids on a stride spread.
+_PRIME, _FACTOR = (1 << 31) - 1, 48_271
+
+
 def _by_document(doc: np.ndarray, key: np.ndarray, mask: np.ndarray, n_docs: int):
-    bucket = np.mod(doc, n_docs)
+    bucket = np.mod(doc, _PRIME) * _FACTOR % _PRIME % n_docs
     order = np.lexsort((key, doc, bucket))
     doc, key, mask = doc[order], key[order], mask[order]
     return _rows(bucket[order], [doc, key, mask, np.zeros((len(mask), 0), np.uint8)])
@@ -221,11 +237,17 @@ def _mark_runs(n_docs: int, most: int):
         for _, (steps, contexts, docs, heads) in _grouped(batches, 4):
             rank, context, doc = [], [], []
             for s, c, d, h in zip(steps, contexts, docs, heads, strict=True):
+                if s is None:  # settled by the slice
+                    later = np.frombuffer(c, np.int64)
+                    yield _by_document(later, np.frombuffer(d, np.uint64), np.full(len(later), FULL), n_docs)
+                    continue
                 s = np.frombuffer(s, np.uint32 if len(s) == len(d) else np.uint64).astype(np.uint64)
                 s[0] = np.frombuffer(h[:8], np.uint64)[0]
                 rank.append(np.cumsum(s, dtype=np.uint64))
                 context.append(_from5(c))
-                doc.append(np.cumsum(np.frombuffer(h[8:], np.int64))[np.frombuffer(d, np.uint32)])
+                doc.append(np.frombuffer(h[8:], np.int64)[np.frombuffer(d, np.uint32)])
+            if not rank:
+                continue
             rank, context, doc = np.concatenate(rank), np.concatenate(context), np.concatenate(doc)
             order = np.lexsort((doc, context, rank))
             rank, context, doc = rank[order], context[order], doc[order]
@@ -239,7 +261,7 @@ def _mark_runs(n_docs: int, most: int):
             full = doc > earliest
             detail = ~full & several & (lo < hi)
             keep = full | detail
-            key = mix64((rank << np.uint64(24)) ^ context * np.uint64(_R)) & _M48
+            key = _key(rank, context)
             mask = np.where(full, FULL, DETAIL)
             if keep.any():
                 yield _by_document(doc[keep], key[keep], mask[keep], n_docs)
@@ -488,24 +510,24 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, bucket_bytes: int =
     n = 1 + int(total) // bucket_bytes
     n_buckets, n_docs = max(16, n), max(17, n | 1)
 
-    ranks = docs.mapInArrow(_ranks(n_buckets), _PACKED)
-    marked = stash(_dealt(ranks).mapInArrow(_mark_runs(n_docs, most), _PACKED), "marks")
+    ranks = docs.mapInArrow(released(_ranks(n_buckets)), _PACKED)
+    marked = stash(_dealt(ranks).mapInArrow(released(_mark_runs(n_docs, most)), _PACKED), "marks")
     # bounded: each of these ranks has more than `most` contexts
     hot = np.frombuffer(b"".join(r["a"] for r in marked.where(F.col("bucket") == _HOT).select("a").collect()), np.uint64)
     marks = marked.where(F.col("bucket") != _HOT)
-    texts = docs.select(F.pmod("doc_id", F.lit(n_docs)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", F.col("text").cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
+    texts = docs.select((F.pmod("doc_id", F.lit(_PRIME).cast("long")) * _FACTOR % _PRIME % n_docs).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", F.col("text").cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
 
     def joined(rows: DataFrame) -> DataFrame:
         marked = rows.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "a", "b", "c")
         return texts.unionByName(marked).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
-    details = joined(marks).mapInArrow(_details(n_buckets, hot), _PACKED)
-    found = stash(_dealt(details).mapInArrow(_compare(n_docs, most), _PACKED), "found")
+    details = joined(marks).mapInArrow(released(_details(n_buckets, hot)), _PACKED)
+    found = stash(_dealt(details).mapInArrow(released(_compare(n_docs, most)), _PACKED), "found")
     if len(hot):
         strings = stash(joined(marks).mapInArrow(_details(n_buckets, hot, True), "one long, two long, doc long, key long, col int"), "strings")
         found = found.unionByName(stash(_compare_apart(strings, n_docs), "hot"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return joined(marks.unionByName(found)).mapInArrow(_removed(keep_text), schema)
+    return joined(marks.unionByName(found)).mapInArrow(released(_removed(keep_text)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
