@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, flat_utf8, mix64, texts_of, token_hashes, words_of
+from .common import doc_slices, flat_utf8, mix64, released, texts_of, token_hashes, words_of
 
 MATCH = 5
 COVERAGE = 0.5
@@ -241,8 +241,8 @@ def _seeds(match: int):
 def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float) -> DataFrame:
     """The same pairs for a benchmark of any size: candidates by a join on seeds, tiled one by one."""
     items = items.where("item_id is not null").select("item_id", F.col("text").alias("item_text"))
-    of_items = items.mapInArrow(_seeds(match), "id long, seed long").select(F.col("id").alias("item_id"), "seed").distinct()
-    of_docs = docs.mapInArrow(_seeds(match), "id long, seed long").select(F.col("id").alias("doc_id"), "seed").distinct()
+    of_items = items.mapInArrow(released(_seeds(match)), "id long, seed long").select(F.col("id").alias("item_id"), "seed").distinct()
+    of_docs = docs.mapInArrow(released(_seeds(match)), "id long, seed long").select(F.col("id").alias("doc_id"), "seed").distinct()
     candidates = of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct()
 
     def run(batches):
@@ -259,4 +259,4 @@ def _joined(docs: DataFrame, items: DataFrame, match: int, coverage: float) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _PAIRS.split(", ")])
 
     pairs = candidates.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item_text")
-    return pairs.mapInArrow(run, _PAIRS)
+    return pairs.mapInArrow(released(run), _PAIRS)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, crc_mod
+from .common import bucket_of, crc_mod, released
 
 PROFILE = 300
 #: Characters whose n-grams are counted at one time; longer texts are counted in parts that overlap.
@@ -138,7 +138,7 @@ def fit_profiles(docs: DataFrame, train, text: str = "text", lang: str = "lang",
     # one row for each language: sent to all tasks while that stays small, so that texts aren't shuffled before the cut
     cut = F.broadcast(cut) if cut.count() <= MANY_LANGUAGES else cut
     sample = rows.join(cut, "lang").where("h < cut").select("lang", "text")
-    counts = sample.mapInArrow(_train_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(released(_train_counts), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # the most frequent codes of each part of a language, then of the language: sorts that can spill, at most 64 * size rows at the end
     order = [F.col("n").desc(), F.col("code") < 0, "code"]  # codes are unsigned
     first = counts.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(64))).withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("k") <= size)
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
             held_out = crc_mod(ids.to_pylist(), modulus) == held
             yield pa.RecordBatch.from_arrays([ids, pa.array(held_out, pa.bool_()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(score), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify_language(docs: DataFrame, per_language: int = 1500) -> DataFrame:
@@ -214,4 +214,4 @@ def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: flo
                     keep.append(len(normalized(text.as_py())) > 0)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

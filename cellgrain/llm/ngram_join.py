@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, SLICE_BYTES, connected_components, doc_slices, flat_utf8, free_shuffles, mix64, stash, texts_of, token_hashes, words_of
+from .common import IS_SPACE, LOWER, SLICE_BYTES, connected_components, doc_slices, flat_utf8, free_shuffles, mix64, released, stash, texts_of, token_hashes, words_of
 
 WORDS = 5
 #: Similarity threshold as a fraction SHARE / 100.
@@ -145,7 +145,7 @@ def _prefixes(n_buckets: int):
                         if n[k] and s not in sent:
                             sent.add(s)
                             new[k] = True
-                    if len(sent) > 2_000_000:
+                    if len(sent) > 500_000:
                         sent.clear()
                     m = np.where(new, (n * SIEVE + 99) // 100, 0)
                     inside = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(m, n)
@@ -328,15 +328,15 @@ def jaccard_components(docs: DataFrame, rare: int = RARE) -> DataFrame:
     docs = texts_of(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = 12 + int(total) // BUCKET_BYTES
-    sigs = stash(docs.mapInArrow(_signatures, "doc_id long, n long, sid long"), "signatures")
+    sigs = stash(docs.mapInArrow(released(_signatures), "doc_id long, n long, sid long"), "signatures")
     # equal sets: one id, the digest; its smallest document stands for the text
     sets_of_docs = sigs.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
-    packed = docs.mapInArrow(_prefixes(n_buckets), _PACKED)
-    shared = packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_counts, "sid long, common long").groupBy("sid").agg(F.sum("common").alias("common"))
+    packed = docs.mapInArrow(released(_prefixes(n_buckets)), _PACKED)
+    shared = packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_shared_counts), "sid long, common long").groupBy("sid").agg(F.sum("common").alias("common"))
     some = sets_of_docs.join(shared, "sid").where(f"100 * common >= {SIEVE + SHARE - 100} * n")
     texts = docs.join(some.select("doc_id", "sid"), "doc_id").dropDuplicates(["doc_id", "sid", "text"]).select("sid", "text")
-    sets = stash(texts.mapInArrow(_sets_of, "sid long, n long, grams array<long>"), "sets")
+    sets = stash(texts.mapInArrow(released(_sets_of), "sid long, n long, grams array<long>"), "sets")
     free_shuffles(docs.sparkSession)
     index = stash(indexed(sets), "index")
     free_shuffles(docs.sparkSession)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import released, stash
 
 LENGTH = 2048
 #: Sequences in a window: the span within which the mixture is met.
@@ -218,7 +218,7 @@ def tokenize(docs: DataFrame, path: str, n_sources: int) -> DataFrame:
                 )
                 k += 1
 
-    return docs.select("doc_id", F.coalesce(queue, F.lit("null")).alias("queue"), "text").mapInArrow(run, "doc_id long, queue string, block string, in_block long, n long, ids binary")
+    return docs.select("doc_id", F.coalesce(queue, F.lit("null")).alias("queue"), "text").mapInArrow(released(run), "doc_id long, queue string, block string, in_block long, n long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, sequences: int = SEQUENCES, weights: dict[str, float] | None = None) -> DataFrame:
@@ -256,4 +256,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, sequences: int = SEQU
             kinds = [pa.int64()] * 7 + [pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in _PIECE.split(", ")])
 
-    return table.join(offsets, ["queue", "block"]).select("doc_id", "queue", "before", "in_block", "n", "ids").mapInArrow(run, _PIECE)
+    return table.join(offsets, ["queue", "block"]).select("doc_id", "queue", "before", "in_block", "n", "ids").mapInArrow(released(run), _PIECE)
