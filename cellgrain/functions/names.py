@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: stain markers in file names
@@ -121,3 +121,25 @@ def log_level(line: Column) -> Column:
 def metrics_json(line: Column) -> Column:
     """The JSON after the metrics mark of a log line, null on other lines."""
     return F.when(line.rlike(r"##METRICS##\s*\{"), F.regexp_extract(line, r"##METRICS##\s*(\{.*\})", 1))
+
+
+def looks_like_scale_image(name: Column) -> Column:
+    """The looser test: "scale" anywhere in the name without its suffix."""
+    return F.lower(stem(name)).contains("scale")
+
+
+def scale_percent(folder: Column) -> Column:
+    """The number N of a folder's scale-Npc; null without one."""
+    return F.try_to_number(F.nullif(F.regexp_extract(folder, r"scale-([0-9]+)(\.[0-9]+)?pc", 1), F.lit("")), F.lit("999999")).cast("double") + F.coalesce(F.nullif(F.regexp_extract(folder, r"scale-[0-9]+(\.[0-9]+)pc", 1), F.lit("")).cast("double"), F.lit(0.0))
+
+
+def microns_per_pixel(description: Column) -> Column:
+    """The value after MPP = in a slide's description; null without one."""
+    return F.nullif(F.regexp_extract(description, r"MPP\s*=\s*([0-9.]+)", 1), F.lit("")).cast("double")
+
+
+def progress(lines: DataFrame, by: list[str], order: str, line: str, total: str) -> DataFrame:
+    """Lines with the percentage shown after each: finished images so far by images in all, of 85."""
+    seen = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    done = F.count_if(F.col(line).contains("PIPELINE FINISHED SUCCESSFULLY")).over(seen)
+    return lines.withColumn("pct", F.when(F.col(total) > 0, F.floor(done * 85 / F.col(total))).cast("int"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,37 +73,232 @@ def morans_i(res: DataFrame, by: list[str], scale: float) -> DataFrame:
     return cross.join(total, by).select(*by, F.try_divide(F.col("n") * F.col("s"), F.col("w") * F.col("q")).alias("moran_i"))
 
 
-def certify(lm: DataFrame, by: list[str], px_um: float, fit_max_um: float = 5.0, loo_max_um: float = 10.0, least: int = 6) -> DataFrame:
-    """Verdict of a landmark pair by ordered rules on count, fit error and leave-one-out error."""
-    res = residuals(lm, similarity_fit(lm, by), by)
-    s = res.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.percentile("err", 0.5) * px_um).alias("fit_um"))
-    loo = leave_one_out(lm, by).groupBy(*by).agg((F.percentile("loo_err", 0.5) * px_um).alias("loo_um"))
-    verdict = F.when(F.col("n") < least, "INSUFFICIENT").when((F.col("fit_um") <= fit_max_um) & (F.col("loo_um") <= loo_max_um), "CERTIFIED").when(F.col("fit_um") <= fit_max_um, "LOCALLY_CERTIFIED").when(F.col("loo_um") <= 2 * loo_max_um, "RADIUS_LIMITED").otherwise("NOT_CERTIFIABLE")
-    return s.join(loo, by).withColumn("verdict", verdict)
+# fixed values: gates of a landmark certificate, in micrometres, shares and landmarks
+GATES = {"min_n": 6, "loo_max_um": 5.0, "deformed_loo_um": 15.0, "min_roi_frac": 0.10, "max_radius_um": 100.0, "min_band_frac": 0.5, "floor_factor": 3.0}
+
+
+def _robust(p: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 30, tune: float = 1.345):
+    """Similarities z p + t ~ q by reweighted least squares, one for each row of 0/1 weights: (z, t, rounds taken).
+
+    Coordinates are complex numbers, so a similarity is one multiplication and one addition.
+    """
+    z, t = np.ones(len(weight), complex), np.zeros(len(weight), complex)
+    taken, going, w = np.zeros(len(weight), int), np.ones(len(weight), bool), weight.astype(float)
+    for k in range(1, rounds + 1):
+        size = w.sum(axis=1)
+        cp, cq = (w @ p) / size, (w @ q) / size
+        dp, dq = p - cp[:, None], q - cq[:, None]
+        spread = (w * abs(dp) ** 2).sum(axis=1)
+        fit = np.divide((w * dq * dp.conj()).sum(axis=1), spread, out=np.ones(len(w), complex), where=spread > 0)
+        r = abs(fit[:, None] * p + (cq - fit * cp)[:, None] - q)
+        still = abs(fit - z) < 1e-12
+        z, t = np.where(going, fit, z), np.where(going, cq - fit * cp, t)
+        taken[going] = k
+        scale = np.nanmedian(np.where(weight > 0, r, np.nan), axis=1) / 0.6745
+        going = going & ~still & (scale > 1e-12)
+        if not going.any():
+            break
+        w = weight * np.minimum(1.0, tune * scale[:, None] / np.maximum(r, 1e-12))
+        w[~going] = weight[~going]
+    return z, t, taken
+
+
+def _complex(pdf: pd.DataFrame):
+    pdf = pdf.sort_values("lm_id")
+    return pdf["mx"].to_numpy(float) + 1j * pdf["my"].to_numpy(float), pdf["rx"].to_numpy(float) + 1j * pdf["ry"].to_numpy(float)
+
+
+def _left_out(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Error of each landmark under the robust fit of the others; none below three landmarks."""
+    n, errors = len(p), []
+    for at in range(0, n if n >= 3 else 0, 256):
+        rows = np.arange(at, min(n, at + 256))
+        weight = np.ones((len(rows), n))
+        weight[np.arange(len(rows)), rows] = 0
+        z, t, _ = _robust(p, q, weight)
+        errors.append(abs(z * p[rows] + t - q[rows]))
+    return np.concatenate(errors) if errors else np.zeros(0)
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of rows (x, y), counter-clockwise: from the two ends of the x range, the farthest point beyond a line, again and again."""
+    pts = np.unique(points, axis=0)
+    if len(pts) < 3:
+        return pts
+
+    def beyond(u, v, some):
+        side = (v[0] - u[0]) * (some[:, 1] - u[1]) - (v[1] - u[1]) * (some[:, 0] - u[0])
+        some = some[side < -1e-12 * (1 + abs(side).max(initial=0))]
+        if not len(some):
+            return [u]
+        top = some[np.argmin(side[side < -1e-12 * (1 + abs(side).max(initial=0))])]
+        return [*beyond(u, top, some), *beyond(top, v, some)]
+
+    return np.array([*beyond(pts[0], pts[-1], pts), *beyond(pts[-1], pts[0], pts)])
+
+
+def polygon_area(corners: np.ndarray) -> float:
+    if len(corners) < 3:
+        return 0.0
+    x, y = corners.T
+    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
+
+
+def hull_area(pts: DataFrame, by: list[str]) -> DataFrame:
+    """Area of the convex hull of each group's points: by.., n, hull_area.
+
+    Every task first keeps the corners of what it has of a group, so that few points meet in one.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pts.select(*by).schema)
+
+    def corners(batches):
+        for pdf in batches:
+            for _, g in pdf.groupby(by, dropna=False):
+                h = hull(g[["x", "y"]].to_numpy(float))
+                out = pd.DataFrame(h, columns=["x", "y"])
+                for c in by:
+                    out[c] = g[c].iloc[0]
+                out["n"] = [len(g)] + [0] * (len(h) - 1)
+                yield out[[*by, "x", "y", "n"]]
+
+    def whole(pdf):
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [int(pdf["n"].sum())], "hull_area": [polygon_area(hull(pdf[["x", "y"]].to_numpy(float)))]})
+
+    few = pts.where("x is not null and y is not null").select(*by, "x", "y").mapInPandas(corners, f"{schema}, x double, y double, n long")
+    return few.groupBy(*by).applyInPandas(whole, f"{schema}, n long, hull_area double")
+
+
+def certify(lm: DataFrame, by: list[str], px_um: float, width: float, height: float) -> DataFrame:
+    """Certificate of each pair of sections from its landmarks: by.., n, fit_um, loo_um, loo_p90_um, loo_max_um, n_good, floor_um, verdict.
+
+    A similarity is fitted robustly; each landmark is then predicted by a fit of the others.  In order: too few landmarks
+    -> NOT_CERTIFIABLE; median held-out error within the gate -> CERTIFIED; enough landmarks within it whose hull takes
+    enough of the field -> LOCALLY_CERTIFIED, with the floor of those; a floor (three times the error) that leaves half of
+    the radii readable -> RADIUS_LIMITED; an error up to the limit for deformation -> DEFORMED; else NOT_CERTIFIABLE.
+    A pair's landmarks, set by hand, are one Arrow group; left-out fits go through it 256 at a time.
+    """
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lm.select(*by).schema)
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = _complex(pdf)
+        n, g = len(p), GATES
+        z, t, _ = _robust(p, q, np.ones((1, n))) if n >= 2 else (None, None, None)
+        fit = float(np.median(abs(z * p + t - q))) * px_um if n >= 2 else math.nan
+        err = _left_out(p, q) * px_um
+        middle, p90, top = (np.median(err), np.percentile(err, 90), err.max()) if len(err) else (math.nan,) * 3
+        middle = round(float(middle), 3)
+        good = q[err <= g["loo_max_um"]] if len(err) else q[:0]
+        floor = round(g["floor_factor"] * middle, 3)
+        if n < g["min_n"] or not len(err):
+            verdict = "NOT_CERTIFIABLE"
+        elif middle <= g["loo_max_um"]:
+            verdict = "CERTIFIED"
+        elif len(good) >= g["min_n"] and polygon_area(hull(np.column_stack([good.real, good.imag]))) / (width * height) >= g["min_roi_frac"]:
+            verdict, floor = "LOCALLY_CERTIFIED", round(g["floor_factor"] * float(np.median(err[err <= g["loo_max_um"]])), 3)
+        elif g["max_radius_um"] - floor >= g["min_band_frac"] * g["max_radius_um"]:
+            verdict = "RADIUS_LIMITED"
+        else:
+            verdict = "DEFORMED" if middle <= g["deformed_loo_um"] else "NOT_CERTIFIABLE"
+        numbers = {"fit_um": fit, "loo_um": middle, "loo_p90_um": p90, "loo_max_um": top}
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [n], **{c: [round(float(v), 3)] for c, v in numbers.items()}, "n_good": [len(good)], "floor_um": [floor], "verdict": [verdict]})
+
+    out = lm.select(*by, "lm_id", "rx", "ry", "mx", "my").groupBy(*by).applyInPandas(judge, f"{key}, n long, fit_um double, loo_um double, loo_p90_um double, loo_max_um double, n_good long, floor_um double, verdict string")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("fit_um", "loo_um", "loo_p90_um", "loo_max_um", "floor_um")})
 
 
 def huber_similarity(lm: DataFrame, by: list[str], rounds: int = 30, tune: float = 1.345) -> DataFrame:
     """Robust similarity by iteratively reweighted least squares: by.., a, b, tx, ty, rounds. A pair is one Arrow group of a few dozen landmarks."""
-    import numpy as np
-    import pandas as pd
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lm_id")
-        p, q = pdf["mx"].to_numpy() + 1j * pdf["my"].to_numpy(), pdf["rx"].to_numpy() + 1j * pdf["ry"].to_numpy()
-        w, z, t, k = np.ones(len(p)), 1 + 0j, 0j, 0
-        for k in range(1, rounds + 1):
-            cp, cq = (w * p).sum() / w.sum(), (w * q).sum() / w.sum()
-            spread = (w * abs(p - cp) ** 2).sum()
-            new = (w * (q - cq) * np.conj(p - cp)).sum() / spread if spread > 0 else 1 + 0j
-            r = abs(new * p + (cq - new * cp) - q)
-            done = abs(new - z) < 1e-12
-            z, t = new, cq - new * cp
-            scale = np.median(r) / 0.6745
-            if done or scale <= 1e-12:
-                break
-            w = np.minimum(1.0, tune * scale / np.maximum(r, 1e-12))
-        key = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame({**key, "a": [z.real], "b": [z.imag], "tx": [t.real], "ty": [t.imag], "rounds": [k]})
+        p, q = _complex(pdf)
+        z, t, k = _robust(p, q, np.ones((1, len(p))), rounds, tune)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "a": z.real, "b": z.imag, "tx": t.real, "ty": t.imag, "rounds": k})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lm.select(*by).schema) + ", a double, b double, tx double, ty double, rounds int"
     return lm.groupBy(*by).applyInPandas(fit, schema)
+
+
+def farthest_points(pts: DataFrame, by: list[str], k: int) -> DataFrame:
+    """k points of each group, each the farthest from those before it, from the one nearest the middle: by.., pick, pt_id, x, y (ties: smallest id).
+
+    A round is one join with the point picked last and one aggregate, so groups of any size are spread over tasks.
+    """
+    middle = pts.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    d2 = (F.col("x") - F.col("_mx")) ** 2 + (F.col("y") - F.col("_my")) ** 2
+    first = pts.join(middle, by).groupBy(*by).agg(F.min(F.struct(d2.alias("d"), "pt_id", "x", "y")).alias("m")).select(*by, F.lit(0).alias("pick"), "m.pt_id", "m.x", "m.y")
+    picked, last, left = first, first, pts.select(*by, "pt_id", "x", "y").withColumn("far", F.lit(float("inf")))
+    for n in range(1, k):
+        near = last.select(*by, F.col("x").alias("_x"), F.col("y").alias("_y"))
+        gap = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
+        left = left.join(near, by).withColumn("far", F.least("far", gap)).drop("_x", "_y").where("far > 0").checkpoint()
+        last = left.groupBy(*by).agg(F.min(F.struct((-F.col("far")).alias("d"), "pt_id", "x", "y")).alias("m")).select(*by, F.lit(n).alias("pick"), "m.pt_id", "m.x", "m.y").checkpoint()
+        picked = picked.unionByName(last)
+    return picked
+
+
+def local_affine(queries: DataFrame, lm: DataFrame, by: list[str], k: int = 6) -> DataFrame:
+    """Where an affine map fitted to the k nearest landmarks takes each query point (x, y): by.., pt_id, px, py, near.
+
+    The normal equations of a point's neighbours are sums, solved in closed form; null where they don't lie in a plane.
+    """
+    near = lm.select(*by, "lm_id", F.col("mx").alias("x"), F.col("my").alias("y"), "rx", "ry")
+    d = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
+    pairs = queries.select(*by, "pt_id", F.col("x").alias("qx"), F.col("y").alias("qy")).join(near, by).withColumn("d", d)
+    best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "pt_id").orderBy("d", "lm_id"))).where(F.col("_k") <= k)
+    u, v = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")  # offsets from the query point, where the map's constant is its image
+    sums = best.groupBy(*by, "pt_id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("near"), F.sum(u).alias("u"), F.sum(v).alias("v"), F.sum(u * u).alias("uu"), F.sum(u * v).alias("uv"), F.sum(v * v).alias("vv"), *[F.sum(F.col(c)).alias(f"s{c}") for c in ("rx", "ry")], *[F.sum(o * F.col(c)).alias(f"{m}{c}") for m, o in (("u", u), ("v", v)) for c in ("rx", "ry")])
+    n, su, sv, uu, uv, vv = (F.col(c) for c in ("n", "u", "v", "uu", "uv", "vv"))
+    det = n * (uu * vv - uv * uv) - su * (su * vv - uv * sv) + sv * (su * uv - uu * sv)
+    at = lambda c: (F.col(f"s{c}") * (uu * vv - uv * uv) - F.col(f"u{c}") * (su * vv - uv * sv) + F.col(f"v{c}") * (su * uv - uu * sv))
+    solid = F.abs(det) > 1e-9 * F.greatest(n * uu * vv, F.lit(1e-300))
+    return sums.select(*by, "pt_id", F.when(solid, at("rx") / det).alias("px"), F.when(solid, at("ry") / det).alias("py"), "near")
+
+
+def prediction_error(lm: DataFrame, grid: DataFrame, by: list[str], sigma: DataFrame) -> DataFrame:
+    """Standard error of the fitted similarity at the points of `grid` (by.., pt_id, x, y), from each pair's noise `sigma` (by.., sigma): by.., pt_id, se.
+
+    For a similarity in the plane it is sigma * sqrt(2 / n + 2 |x - centre|^2 / spread), spread the sum of squared distances from the centre.
+    """
+    centre = lm.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("mx").alias("cx"), F.avg("my").alias("cy"), (F.var_pop("mx") + F.var_pop("my")).alias("var"))
+    at = grid.join(centre, by).join(sigma, by)
+    d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
+    se = F.col("sigma") * F.sqrt(2 / F.col("n") + F.try_divide(2 * d2, F.when(F.col("var") > 0, F.col("n") * F.col("var"))))
+    return at.select(*by, "pt_id", se.alias("se"))
+
+
+def field_grid(pairs: DataFrame, by: list[str], width: float, height: float, k: int = 24) -> DataFrame:
+    """The middles of k x k cells of the field for each pair: by.., pt_id, x, y."""
+    cells = pairs.select(*by).distinct().withColumn("pt_id", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))))
+    return cells.withColumn("x", (F.col("pt_id") % k + 0.5) * width / k).withColumn("y", (F.floor(F.col("pt_id") / k) + 0.5) * height / k)
+
+
+def error_budget(predicted: DataFrame, deformation: DataFrame, by: list[str]) -> DataFrame:
+    """Cell error from prediction error and deformation: by.., tre_p90, cell_p90 over the field's points, sqrt(se^2 + deformation^2)."""
+    both = predicted.join(deformation, by)
+    return both.groupBy(*by).agg(F.percentile("se", 0.9).alias("tre_p90"), F.percentile(F.sqrt(F.col("se") ** 2 + F.col("deformation") ** 2), 0.9).alias("cell_p90"))
+
+
+def deformation_rms(res: DataFrame, by: list[str], fle_um: float, px_um: float, dof: int = 4) -> DataFrame:
+    """What residuals hold beyond localisation error: by.., n, rms_um, detectable.
+
+    Residual variance per coordinate, 2 n - dof degrees of freedom, less that of the two marks of a landmark.
+    """
+    free = 2 * F.count(F.lit(1)) - dof
+    var = F.try_divide(F.sum(F.col("err") ** 2) * (px_um * px_um), F.when(free > 0, free))
+    s = res.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), var.alias("_var"))
+    beyond = F.col("_var") - 2 * fle_um * fle_um
+    return s.select(*by, "n", F.sqrt(2 * F.greatest(beyond, F.lit(0.0))).alias("rms_um"), (beyond > 0).alias("detectable"))
+
+
+def moran_verdict(res: DataFrame, by: list[str], scale: float, n_perm: int, seed: int = 0) -> DataFrame:
+    """Moran's I of residuals with a permutation p: by.., moran_i, p, verdict. Residuals change places by hashed order in each permutation."""
+    w = Window.partitionBy(*by, "perm_id")
+    every = res.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
+    draw = F.when(F.col("perm_id") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "perm_id", "lm_id"))
+    place = every.withColumn("_to", F.row_number().over(w.orderBy("lm_id"))).withColumn("_from", F.row_number().over(w.orderBy(draw, "lm_id")))
+    value = place.select(*by, "perm_id", F.col("_from").alias("_to"), "ex", "ey")
+    moved = place.select(*by, "perm_id", "lm_id", "rx", "ry", "_to").join(value, [*by, "perm_id", "_to"])
+    each = morans_i(moved, [*by, "perm_id"], scale)
+    seen = F.max(F.when(F.col("perm_id") == 0, F.col("moran_i"))).over(Window.partitionBy(*by))
+    out = each.withColumn("_i", seen).groupBy(*by).agg(F.first("_i").alias("moran_i"), ((1 + F.count_if((F.col("perm_id") > 0) & (F.col("moran_i") >= F.col("_i")))) / F.lit(1 + n_perm)).alias("p"))
+    return out.withColumn("verdict", F.when(F.col("moran_i").isNull(), "not_estimable").when((F.col("p") < 0.05) & (F.col("moran_i") > 0), "structured").otherwise("random"))

@@ -155,16 +155,49 @@ def fle_robust(spark, sf_dir):
     return registration.localisation_error(r, ["sample_id"], "spot", "x", "y").select("sample_id", *[F.round(c, 6).alias(c) for c in ("sigma_median", "sigma_ms")])
 
 
-@add("certify_landmarks", f"""with {FIT}, sf as (select pair_id, count(*) n, median(err) * 0.5::double fit_um from er group by 1),
-  h as (select l.pair_id, h.lm_id held, l.* exclude (pair_id) from landmarks l join landmarks h on h.pair_id = l.pair_id and h.lm_id <> l.lm_id),
-  s2 as (select pair_id, held, count(*) n, avg(rx) rx, avg(ry) ry, avg(mx) mx, avg(my) my, sum(mx * rx) xx, sum(my * ry) yy, sum(mx * ry) xy, sum(my * rx) yx, sum(mx * mx + my * my) ss from h group by 1, 2),
-  ab2 as (select *, (xx - n * mx * rx + yy - n * my * ry) / nullif(ss - n * (mx * mx + my * my), 0) a, (xy - n * mx * ry - (yx - n * my * rx)) / nullif(ss - n * (mx * mx + my * my), 0) b from s2),
-  f2 as (select pair_id, held, a, b, rx - a * mx + b * my tx, ry - b * mx - a * my ty from ab2),
-  lo as (select l.pair_id, median(sqrt(power(a * mx - b * my + tx - rx, 2) + power(b * mx + a * my + ty - ry, 2))) * 0.5::double loo_um from landmarks l join f2 on f2.pair_id = l.pair_id and held = lm_id group by 1)
-  select pair_id, n, round(fit_um, 5) fit_um, round(loo_um, 5) loo_um, case when n < 6 then 'INSUFFICIENT' when fit_um <= 5 and loo_um <= 10 then 'CERTIFIED' when fit_um <= 5 then 'LOCALLY_CERTIFIED' when loo_um <= 20 then 'RADIUS_LIMITED' else 'NOT_CERTIFIABLE' end verdict from sf join lo using (pair_id)""")
-def certify_landmarks(spark, sf_dir, most=12):
-    out = registration.certify(landmarks(spark, sf_dir, most), ["pair_id"], 0.5)
-    return out.select("pair_id", "n", F.round("fit_um", 5).alias("fit_um"), F.round("loo_um", 5).alias("loo_um"), "verdict")
+@add("certify_landmarks")
+def certify_landmarks(spark, sf_dir, most=None):
+    return registration.certify(landmarks(spark, sf_dir, most), ["pair_id"], 0.5, 490.0, 1000.0)
+
+
+@add("landmark_hull")
+def landmark_hull(spark, sf_dir):
+    return registration.hull_area(landmarks(spark, sf_dir, None).select("pair_id", F.col("rx").alias("x"), F.col("ry").alias("y")), ["pair_id"])
+
+
+@add("spread_landmarks")
+def spread_landmarks(spark, sf_dir):
+    return registration.farthest_points(landmarks(spark, sf_dir, None).select("pair_id", F.col("lm_id").alias("pt_id"), F.col("rx").alias("x"), F.col("ry").alias("y")), ["pair_id"], 12)
+
+
+@add("local_affine")
+def local_affine(spark, sf_dir):
+    """Where each click of a day lies in the other section, by its six nearest landmarks."""
+    q = points(spark, sf_dir).where("marker = 'purchase'").select(F.col("sample_id").alias("pair_id"), "pt_id", "x", "y")
+    return registration.local_affine(q, landmarks(spark, sf_dir), ["pair_id"])
+
+
+@add("prediction_error")
+def prediction_error(spark, sf_dir):
+    lm = landmarks(spark, sf_dir, None)
+    sigma = registration.landmark_noise(registration.residuals(lm, registration.similarity_fit(lm, ["pair_id"]), ["pair_id"]), ["pair_id"])
+    return registration.prediction_error(lm, registration.field_grid(lm, ["pair_id"], 490.0, 1000.0), ["pair_id"], sigma)
+
+
+@add("error_budget")
+def error_budget(spark, sf_dir):
+    lm, by = landmarks(spark, sf_dir, None), ["pair_id"]
+    res = registration.residuals(lm, registration.similarity_fit(lm, by), by)
+    fle = lm.select(*by).distinct().withColumn("sigma", F.lit(1.5 * 2**0.5))
+    predicted = registration.prediction_error(lm, registration.field_grid(lm, by, 490.0, 1000.0), by, fle)
+    deformation = registration.deformation_rms(res, by, 1.5, 0.5).select(*by, F.col("rms_um").alias("deformation"))
+    return registration.error_budget(predicted, deformation, by)
+
+
+@add("moran_verdict")
+def moran_verdict(spark, sf_dir):
+    """Residuals of the first twelve landmarks of a day (a pair's usual number) and 199 permutations."""
+    return registration.moran_verdict(_residuals(spark, sf_dir, 12), ["pair_id"], 200.0, 199)
 
 
 @add("irls_similarity")
@@ -246,7 +279,7 @@ def worst_status(spark, sf_dir):
 
 @add("null_plan", f"""with {MK}, g as (select sample_id, arg_min(status, {RANK}) worst, min(n) n_min, max(n_support) sup, bool_and(certified) cert from mk group by 1),
   f as (select *, list_filter([case when not cert then 'landmark_certified' end, case when n_min < case when worst = 'underpowered_sparse_marker' then 5 else 30 end then 'min_positive' end, case when sup < 500 then 'min_support' end], lambda x: x is not null) fl from g)
-  select sample_id, worst, case when worst = 'ok' then 'reweighted' when worst in ('dense_tissue', 'caution', 'underpowered_sparse_marker') and len(fl) = 0 then 'dense_morphology' else 'none' end primary_null, coalesce(array_to_string(fl, ','), '') failed from f""")
+  select sample_id, worst, case when worst in ('ok', 'caution') then 'reweighted' when worst in ('dense_tissue', 'underpowered_sparse_marker') and len(fl) = 0 then 'dense_morphology' else 'none' end primary_null, coalesce(array_to_string(fl, ','), '') failed from f""")
 def null_plan(spark, sf_dir):
     return workflows.null_plan(_markers(spark, sf_dir), ["sample_id"])
 

@@ -279,32 +279,27 @@ def qualifying_groups(spark, sf_dir):
     return qualifying(points(spark, sf_dir), BY, "marker", ["click", "view"], 60)
 
 
-def _five_days(spark, sf_dir):
-    a, b = sides(spark, sf_dir)
-    return a, b
-
-
 @add("csr_null")
 def csr_null(spark, sf_dir):
-    a, b = _five_days(spark, sf_dir)
+    a, b = sides(spark, sf_dir)
     return stochastic.csr_null(a, b, BY, WIDTH, HEIGHT, N_PERM, RMAX, STEP)
 
 
 @add("kde_null")
 def kde_null(spark, sf_dir):
-    a, b = _five_days(spark, sf_dir)
+    a, b = sides(spark, sf_dir)
     return stochastic.kde_null(a, b, BY, WIDTH, HEIGHT, N_PERM, RMAX, STEP)
 
 
 @add("dense_null")
 def dense_null(spark, sf_dir):
-    a, b = _five_days(spark, sf_dir)
+    a, b = sides(spark, sf_dir)
     return stochastic.support_null(a, b, points(spark, sf_dir), BY, WIDTH, HEIGHT, N_PERM, RMAX, STEP)
 
 
 @add("tile_null")
 def tile_null(spark, sf_dir):
-    a, b = _five_days(spark, sf_dir)
+    a, b = sides(spark, sf_dir)
     return stochastic.tile_null(a, b, BY, WIDTH, HEIGHT, 50.0, N_PERM, RMAX, STEP)
 
 
@@ -323,5 +318,32 @@ def verdict_table(spark, sf_dir):
     """The association workflow: CSR baseline and support null, two bands, robustness and cohort FDR for each day."""
     from .workflows import association
 
-    a, b = _five_days(spark, sf_dir)
+    a, b = sides(spark, sf_dir)
     return association(a, b, points(spark, sf_dir), BY, WIDTH, HEIGHT, N_PERM, RMAX, STEP)
+
+
+@add("reweighted_null")
+def reweighted_null(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return stochastic.reweighted_null(a, b, BY, WIDTH, HEIGHT, N_PERM, RMAX, STEP)
+
+
+@add("kde_sweep")
+def kde_sweep(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return stochastic.kde_sweep(a, b, BY, WIDTH, HEIGHT, N_PERM, RMAX, STEP)
+
+
+@add("bandwidth_precheck")
+def bandwidth_precheck(spark, sf_dir):
+    from .workflows import precheck
+
+    return precheck(points(spark, sf_dir), BY, ["click", "view", "purchase"], WIDTH, HEIGHT)
+
+
+@add("association_all_pairs")
+def association_all_pairs(spark, sf_dir):
+    """All pairs of three markers of each day, each under the null that the day's plan names."""
+    from .workflows import association_pairs
+
+    return association_pairs(points(spark, sf_dir), BY, ["click", "view", "purchase"], WIDTH, HEIGHT, N_PERM, RMAX, STEP)

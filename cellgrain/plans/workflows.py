@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls
@@ -27,44 +27,111 @@ def coexpression(cells: DataFrame, by: list[str], a: str, b: str, certified: Dat
     return envelopes.adjust(tables, ["_one"]).drop("_one", "ord")
 
 
+#: Bands of the global test, in micrometres; the support null's whole band is narrower.
+BANDS = {"all": (10.0, 50.0), "coloc": (10.0, 20.0), "coinfil": (20.0, 50.0)}
+SUPPORT_BANDS = BANDS | {"all": (10.0, 30.0)}
+
+
+def _verdicts(primary: DataFrame, csr: DataFrame, by: list[str], resolvable: Column) -> DataFrame:
+    """p, robustness and the two band verdicts of each group, from its global tests under the primary null and CSR."""
+    both = primary.select(*by, "band", F.col("p_two").alias("p"), "significant", "direction").join(csr.select(*by, "band", F.col("significant").alias("csr")), [*by, "band"])
+    of = lambda band, c: F.max(F.when(F.col("band") == band, c))
+    word = lambda seen: calls.band_verdict(seen, F.col("significant"), F.col("direction"), F.col("csr"))
+    return both.withColumn("_seen", resolvable).groupBy(*by).agg(
+        of("all", F.col("p")).alias("p"), of("all", F.col("direction")).alias("direction"), of("all", calls.robustness(F.col("significant"), F.col("csr"))).alias("robustness"),
+        of("coloc", word(F.col("_seen"))).alias("coloc"), of("coinfil", word(F.lit(True))).alias("coinfil"),
+    )
+
+
+def _corrected(tests: DataFrame, by: list[str]) -> DataFrame:
+    out = tests.withColumn("ord", F.concat_ws("|", *by)).withColumn("_one", F.lit(1))
+    return envelopes.adjust(out, ["_one"]).drop("_one", "ord")
+
+
 def association(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float) -> DataFrame:
-    """Verdict of each sample: by.., n_a, n_b, power, robustness, band verdicts, p and cohort q.
+    """Verdict of each sample for one pair of markers under the support null: by.., n_a, n_b, power, p, robustness, band verdicts and cohort q.
 
     Samples with an absent marker are routed away before the Monte-Carlo joins and come back as rows without a test.
     """
-    sizes = point_pattern.group_sizes(a, b, by).withColumn("power", F.when(calls.power_grade(F.least("n_a", "n_b")) == "absent", "absent").otherwise(calls.power_grade(F.least("n_a", "n_b"))))
+    sizes = point_pattern.group_sizes(a, b, by).withColumn("power", calls.power_grade(F.least("n_a", "n_b")))
     fit = sizes.where("power <> 'absent'").select(*by)
     a, b, support = (d.join(fit, by, "left_semi") for d in (a, b, support))
     observed = point_pattern.cross_k(a, b, by, width * height, rmax, step).select(*by, "r_idx", "r", "k")
-    bands = {"all": (10.0, 50.0), "coloc": (10.0, 20.0), "coinfil": (20.0, 50.0)}
-    csr = envelopes.global_test(stochastic.csr_null(a, b, by, width, height, n_perm, rmax, step), observed, by, bands)
-    dense = envelopes.global_test(stochastic.support_null(a, b, support, by, width, height, n_perm, rmax, step), observed, by, bands)
-    both = dense.select(*by, "band", F.col("p_two").alias("p"), "significant", "direction").join(csr.select(*by, "band", F.col("significant").alias("csr")), [*by, "band"])
-    word = calls.band_verdict(F.lit(True), F.col("significant"), F.col("direction"), F.col("csr"))
-    wide = both.withColumn("v", word).groupBy(*by).agg(
-        F.max(F.when(F.col("band") == "all", F.col("p"))).alias("p"),
-        F.max(F.when(F.col("band") == "all", calls.robustness(F.col("significant"), F.col("csr")))).alias("robustness"),
-        F.max(F.when(F.col("band") == "coloc", F.col("v"))).alias("coloc"),
-        F.max(F.when(F.col("band") == "coinfil", F.col("v"))).alias("coinfil"),
-    )
-    out = sizes.join(wide, by, "left").withColumn("ord", F.concat_ws("|", *by)).withColumn("_one", F.lit(1))
-    return envelopes.adjust(out, ["_one"]).drop("_one", "ord")
+    csr = envelopes.global_test(stochastic.csr_null(a, b, by, width, height, n_perm, rmax, step), observed, by, BANDS)
+    dense = envelopes.global_test(stochastic.support_null(a, b, support, by, width, height, n_perm, rmax, step), observed, by, BANDS)
+    return _corrected(sizes.join(_verdicts(dense, csr, by, F.lit(True)).drop("direction"), by, "left"), by)
+
+
+def precheck(pts: DataFrame, by: list[str], markers: list[str], width: float, height: float, bandwidth: float = 75.0) -> DataFrame:
+    """State of each marker of each sample before a test: by.., marker, n, n_support, power, scale, status.
+
+    The scale of the tissue's architecture is that of all its points; a marker's own count decides only its power. A
+    marker that a sample lacks counts 0.
+    """
+    tissue = stochastic.architecture_scale(pts, by, width, height).select(*by, F.col("n").alias("n_support"), "scale")
+    n = pts.where(F.col("marker").isin(markers)).groupBy(*by, "marker").agg(F.count(F.lit(1)).alias("n"))
+    every = tissue.withColumn("marker", F.explode(F.array(*[F.lit(m) for m in markers]))).join(n, [*by, "marker"], "left").na.fill(0, ["n"])
+    power = calls.power_grade(F.col("n"))
+    status = F.when(power == "absent", "marker_absent").when(power == "sparse", "underpowered_sparse_marker").otherwise(calls.architecture_verdict(F.col("scale"), bandwidth))
+    return every.withColumn("power", power).withColumn("status", status).select(*by, "marker", "n", "n_support", "power", "scale", "status")
 
 
 def null_plan(markers: DataFrame, by: list[str]) -> DataFrame:
     """Which null a sample gets from its markers' states (status, n, n_support, certified, has_window): by.., worst, primary_null, failed.
 
-    The worst state decides: estimable intensities take the reweighted null; dense or sparse ones the support null if
-    all its gates hold; an absent or unknown one fails closed.
+    The worst state decides: a scale at or above the bandwidth (ok, caution) takes the reweighted null; dense tissue or a
+    sparse marker the support null if all its gates hold; an absent marker or an unknown scale fails closed.
     """
     g = markers.groupBy(*by).agg(F.min_by("status", calls.severity(F.col("status"))).alias("worst"), F.min("n").alias("n_min"), F.max("n_support").alias("n_support"), F.min("certified").alias("certified"), F.min("has_window").alias("has_window"))
     floor = F.when(F.col("worst") == "underpowered_sparse_marker", 5).otherwise(30)
-    gates = F.filter(F.array(F.when(~F.col("certified"), F.lit("landmark_certified")), F.when(~F.col("has_window"), F.lit("analysis_window")), F.when(F.col("n_min") < floor, F.lit("min_positive")), F.when(F.col("n_support") < 500, F.lit("min_support"))), lambda x: x.isNotNull())
-    fallback = F.col("worst").isin("dense_tissue", "caution", "underpowered_sparse_marker")
-    plan = F.when(F.col("worst") == "ok", "reweighted").when(fallback & (F.size("failed") == 0), "dense_morphology").otherwise("none")
+    gates = F.filter(F.array(F.when(~F.col("certified"), F.lit("landmark_certified")), F.when(~F.col("has_window"), F.lit("analysis_window")), F.when(F.coalesce("n_support", F.lit(0)) == 0, F.lit("support_csv")), F.when(F.col("n_min") < floor, F.lit("min_positive")), F.when(F.col("n_support") < 500, F.lit("min_support"))), lambda x: x.isNotNull())
+    fallback = F.col("worst").isin("dense_tissue", "underpowered_sparse_marker")
+    plan = F.when(F.col("worst").isin("ok", "caution"), "reweighted").when(fallback & (F.size("failed") == 0), "dense_morphology").otherwise("none")
     return g.withColumn("failed", gates).withColumn("primary_null", plan).select(*by, "worst", "primary_null", F.array_join("failed", ",").alias("failed"))
 
 
+def association_pairs(pts: DataFrame, by: list[str], markers: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, certificates: DataFrame | None = None, bandwidth: float = 75.0, seed: int = 0) -> DataFrame:
+    """Association of all pairs of markers (in their order) of each sample, each under the null that its plan names.
+
+    pts(by.., marker, pt_id, x, y); certificates(by.., verdict, floor_um), by default all certified without a floor.
+    Rows: by.., pair, n_a, n_b, worst, primary_null, floor_um, error, p, direction, robustness, coloc, coinfil, q.
+
+    A pair has an error and no test where a marker is absent (marker_absent), where the registration error leaves no
+    radius to read (no_interpretable_radius_band) or where no null holds (null_unavailable).  Close proximity is not
+    resolvable where the floor reaches its band.
+    """
+    key = [*by, "pair"]
+    order = [(x, y) for i, x in enumerate(markers) for y in markers[i + 1 :]]
+    named = lambda side: F.explode(F.array(*[F.struct(F.lit(p[side]).alias("marker"), F.lit("__".join(p)).alias("pair")) for p in order]))
+    pairs = pts.select(*by).distinct().withColumn("pair", F.explode(F.array(*[F.lit("__".join(p)) for p in order])))
+    a, b = (pts.join(F.broadcast(pts.sparkSession.range(1).select(named(k).alias("p")).select("p.*")), "marker").select(*key, "pt_id", "x", "y") for k in (0, 1))
+    counts = pairs.join(point_pattern.group_sizes(a, b, key), key, "left").na.fill(0, ["n_a", "n_b"])
+    states = precheck(pts, by, markers, width, height, bandwidth)
+    if certificates is None:
+        certificates = pts.select(*by).distinct().withColumn("verdict", F.lit("CERTIFIED")).withColumn("floor_um", F.lit(None).cast("double"))
+    states = states.join(certificates.select(*by, calls.analysable(F.col("verdict")).alias("certified")), by, "left").na.fill(False, ["certified"]).withColumn("has_window", F.lit(True))
+    table = counts.join(null_plan(states, by).select(*by, "worst", "primary_null"), by).join(certificates.select(*by, "floor_um"), by, "left")
+    error = F.when(F.least("n_a", "n_b") < 5, "marker_absent").when(F.col("floor_um") >= rmax, "no_interpretable_radius_band").when(F.col("primary_null") == "none", "null_unavailable")
+    table = table.withColumn("error", error).checkpoint()
+
+    tested = []
+    for null, bands in (("reweighted", BANDS), ("dense_morphology", SUPPORT_BANDS)):
+        fit = table.where((F.col("primary_null") == null) & F.col("error").isNull()).select(*key, "floor_um")
+        p, q = (d.join(fit.select(*key), key, "left_semi") for d in (a, b))
+        plain = point_pattern.cross_k(p, q, key, width * height, rmax, step).select(*key, "r_idx", "r", "k")
+        csr = envelopes.global_test(stochastic.csr_null(p, q, key, width, height, n_perm, rmax, step, seed), plain, key, bands)
+        if null == "reweighted":
+            curves, observed = stochastic.reweighted_null(p, q, key, width, height, n_perm, rmax, step, bandwidth, seed), point_pattern.cross_k_inhomogeneous(p, q, key, bandwidth, width * height, rmax, step)
+        else:
+            support = pts.select(*by, "pt_id", "x", "y").join(fit.select(*key), by)
+            curves, observed = stochastic.support_null(p, q, support, key, width, height, n_perm, rmax, step, seed=seed), plain
+        primary = envelopes.global_test(curves, observed, key, bands).join(fit, key)
+        seen = F.coalesce(F.col("floor_um") < BANDS["coloc"][1], F.lit(True))
+        csr = csr.join(fit.select(*key), key)
+        tested.append(_verdicts(primary.withColumn("direction", F.col("direction")), csr, key, F.lit(True)).join(fit.select(*key, seen.alias("_seen")), key).withColumn("coloc", F.when(F.col("_seen"), F.col("coloc")).otherwise("not_resolvable")).drop("_seen"))
+    return _corrected(table.join(tested[0].unionByName(tested[1]), key, "left"), key)
+
+
 def worst_status(rows: DataFrame, by: list[str], status: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.min_by(status, calls.severity(F.col(status))).alias("worst"))
 
