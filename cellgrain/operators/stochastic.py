@@ -91,16 +91,24 @@ def kde_sweep(a: DataFrame, b: DataFrame, by: list[str], width: float, height: f
     return out
 
 
+#: Equal parts of [0, 1) by which a draw finds its cell.
+DRAWS = 1024
+
+
 def redrawn(b: DataFrame, by: list[str], width: float, height: float, n_perm: int, cell: float, sigma: float, seed: int = 0) -> DataFrame:
     """b drawn anew from its smoothed intensity in each permutation: by.., perm_id, pt_id, x, y."""
     grid = intensity_grid(b, by, width, height, cell, sigma)
     run = Window.partitionBy(*by).orderBy("gx", "gy")
-    cum = grid.withColumn("hi", F.sum("lam").over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("lam").over(Window.partitionBy(*by)))
-    steps = cum.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("hi", "gx", "gy"))).alias("steps"))  # one entry for each grid cell of the window
+    upto = F.sum("lam").over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("lam").over(Window.partitionBy(*by))
+    cells = grid.select(*by, "gx", "gy", upto.alias("hi"))
+    cells = cells.withColumn("lo", F.coalesce(F.lag("hi").over(run), F.lit(0.0))).withColumn("hi", F.when(F.lead("hi").over(run).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
+    # a cell stands in each of the DRAWS equal parts of [0, 1) that its share overlaps, so a draw meets the few cells of its part
+    part = lambda c: F.least(F.floor(F.col(c) * DRAWS), F.lit(DRAWS - 1))
+    cells = cells.withColumn("_part", F.explode(F.sequence(part("lo"), part("hi"))))
     key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
-    drawn = permutations(b.select(*by, "pt_id"), n_perm).join(steps, by).withColumn("_u", uniform(*key, F.lit("c")))
-    picked = F.coalesce(F.try_element_at(F.filter("steps", lambda s: s["hi"] > F.col("_u")), F.lit(1)), F.element_at("steps", -1))
-    return drawn.withColumn("_c", picked).select(*by, "perm_id", "pt_id", F.least((F.col("_c.gx") + uniform(*key, F.lit("x"))) * cell, F.lit(width)).alias("x"), F.least((F.col("_c.gy") + uniform(*key, F.lit("y"))) * cell, F.lit(height)).alias("y"))
+    drawn = permutations(b.select(*by, "pt_id"), n_perm).withColumn("_u", uniform(*key, F.lit("c"))).withColumn("_part", part("_u"))
+    drawn = drawn.join(cells, [*by, "_part"]).where("_u >= lo and _u < hi")
+    return drawn.select(*by, "perm_id", "pt_id", F.least((F.col("gx") + uniform(*key, F.lit("x"))) * cell, F.lit(width)).alias("x"), F.least((F.col("gy") + uniform(*key, F.lit("y"))) * cell, F.lit(height)).alias("y"))
 
 
 def reweighted_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, bandwidth: float = 75.0, seed: int = 0) -> DataFrame:
