@@ -73,7 +73,7 @@ def test_similarity_recovers_a_transform(spark):
     bent = lm.withColumn("rx", F.when(F.col("lm_id") < 2, F.col("rx") + 300).otherwise(F.col("rx")))
     robust = registration.huber_similarity(bent, ["pair_id"]).first()
     assert abs(robust["a"] - s * math.cos(t)) < 0.02
-    assert registration.certify(lm, ["pair_id"], 0.5).first()["verdict"] == "CERTIFIED"
+    assert registration.certify(lm, ["pair_id"], 0.5, 1000.0, 1000.0).first()["verdict"] == "CERTIFIED"
 
 
 def test_centroids(spark):
