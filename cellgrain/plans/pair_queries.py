@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import calls, geometry, names
@@ -22,21 +20,21 @@ KEYED = f"""{FILES_SQL}, st as (select *, lower(regexp_replace(name, '\\.[^.]*$'
 
 
 @add("normalize_name", f"with {KEYED} select folder, name, norm, stain from keyed")
-def normalize_name(spark, sf_dir, most=60):
-    return matching.keyed_files(files(spark, sf_dir, most)).select("folder", "name", "norm", "stain")
+def normalize_name(spark, sf_dir):
+    return matching.keyed_files(files(spark, sf_dir)).select("folder", "name", "norm", "stain")
 
 
 @add("two_folder_match", f"""with {KEYED}, k as (select * from keyed qualify row_number() over (partition by folder, norm order by name desc) = 1), a as (select * from k where folder = 'a'), b as (select * from k where folder = 'b')
   select coalesce(a.norm, b.norm) norm, a.name name_a, a.stain stain_a, b.name name_b, b.stain stain_b, case when b.name is null then 'only_a' when a.name is null then 'only_b' else 'matched' end status from a full join b on a.norm = b.norm""")
-def two_folder_match(spark, sf_dir, most=60):
-    return matching.match_folders(files(spark, sf_dir, most), "a", "b")
+def two_folder_match(spark, sf_dir):
+    return matching.match_folders(files(spark, sf_dir), "a", "b")
 
 
 @add("single_folder_match", f"""with {KEYED}, n as (select norm, stain, max(name) as name from keyed where stain is not null group by 1, 2), g as (select norm, list({{'stain': stain, 'name': name}} order by stain, name) m from n group by 1)
   select norm, m[1].name name_a, m[2].name name_b, m[1].stain stain_a, m[2].stain stain_b, case when len(m) >= 2 then 'matched' else 'single' end status from g
   union all select norm, name, null, null, null, 'no_stain' from keyed where stain is null""")
-def single_folder_match(spark, sf_dir, most=60):
-    return matching.match_within(files(spark, sf_dir, most))
+def single_folder_match(spark, sf_dir):
+    return matching.match_within(files(spark, sf_dir))
 
 
 BUNDLE = """fl as (select 'case' || (s_suppkey // 4) || '_' || ['hema', 'marka', 'markb', 'mask'][s_suppkey % 4 + 1] || '.tif' as name from supplier where s_suppkey % 11 <> 0)"""
@@ -100,13 +98,13 @@ FIT = f"""{LANDMARKS_SQL}, s as (select pair_id, count(*) n, avg(rx) rx, avg(ry)
 
 
 @add("similarity_fit", f"with {FIT} select pair_id, n, round(a, 8) a, round(b, 8) b, round(tx, 5) tx, round(ty, 5) ty from fit")
-def similarity_fit(spark, sf_dir, most=12):
-    return registration.similarity_fit(landmarks(spark, sf_dir, most), ["pair_id"]).select("pair_id", "n", *[F.round(c, d).alias(c) for c, d in (("a", 8), ("b", 8), ("tx", 5), ("ty", 5))])
+def similarity_fit(spark, sf_dir):
+    return registration.similarity_fit(landmarks(spark, sf_dir), ["pair_id"]).select("pair_id", "n", *[F.round(c, d).alias(c) for c, d in (("a", 8), ("b", 8), ("tx", 5), ("ty", 5))])
 
 
 @add("similarity_defect", f"with {FIT}, m as (select pair_id, a, -b * 1.01::double b, b d, a * 1.02::double e from fit), q as (select *, abs(a * e - b * d) s2 from m) select pair_id, round(sqrt(s2), 8) scale, round(sqrt(power(a * a + d * d - s2, 2) + 2 * power(a * b + d * e, 2) + power(b * b + e * e - s2, 2)) / s2, 8) defect from q")
-def similarity_defect(spark, sf_dir, most=12):
-    f = registration.similarity_fit(landmarks(spark, sf_dir, most), ["pair_id"])
+def similarity_defect(spark, sf_dir):
+    f = registration.similarity_fit(landmarks(spark, sf_dir), ["pair_id"])
     m = (F.col("a"), -F.col("b") * 1.01, F.col("b"), F.col("a") * 1.02)
     return f.select("pair_id", F.round(geometry.affine_scale(*m), 8).alias("scale"), F.round(geometry.similarity_defect(*m), 8).alias("defect"))
 
@@ -119,33 +117,33 @@ LOO = f"""{LANDMARKS_SQL}, h as (select l.pair_id, h.lm_id held, l.* exclude (pa
 
 
 @add("loo_tre_ls", f"with {LOO} select pair_id, lm_id, round(loo_err, 5) loo_err from loo")
-def loo_tre_ls(spark, sf_dir, most=12):
-    return registration.leave_one_out(landmarks(spark, sf_dir, most), ["pair_id"]).withColumn("loo_err", F.round("loo_err", 5))
+def loo_tre_ls(spark, sf_dir):
+    return registration.leave_one_out(landmarks(spark, sf_dir), ["pair_id"]).withColumn("loo_err", F.round("loo_err", 5))
 
 
-def _residuals(spark, sf_dir, most=12):
-    lm = landmarks(spark, sf_dir, most)
+def _residuals(spark, sf_dir):
+    lm = landmarks(spark, sf_dir)
     return registration.residuals(lm, registration.similarity_fit(lm, ["pair_id"]), ["pair_id"])
 
 
 @add("landmark_noise", f"with {FIT} select pair_id, round(sqrt(sum(err * err) / case when count(*) > 2 then 2.0::double * count(*) - 4 end), 6) sigma from er group by 1")
-def landmark_noise(spark, sf_dir, most=12):
-    return registration.landmark_noise(_residuals(spark, sf_dir, most), ["pair_id"]).withColumn("sigma", F.round("sigma", 6))
+def landmark_noise(spark, sf_dir):
+    return registration.landmark_noise(_residuals(spark, sf_dir), ["pair_id"]).withColumn("sigma", F.round("sigma", 6))
 
 
 @add("rtre_summary", f"with {FIT} select pair_id, count(*) n, round(median(err / 1113.0::double), 8) median, round(avg(err / 1113.0::double), 8) mean, round(quantile_cont(err / 1113.0::double, 0.9), 8) p90, round(max(err / 1113.0::double), 8) max from er group by 1")
-def rtre_summary(spark, sf_dir, most=12):
+def rtre_summary(spark, sf_dir):
     from ..operators.aggregates import error_summary
 
-    out = error_summary(_residuals(spark, sf_dir, most).withColumn("rel", F.col("err") / 1113.0), ["pair_id"], "rel")
+    out = error_summary(_residuals(spark, sf_dir).withColumn("rel", F.col("err") / 1113.0), ["pair_id"], "rel")
     return out.select("pair_id", "n", *[F.round(c, 8).alias(c) for c in ("median", "mean", "p90", "max")])
 
 
 @add("moran_observed", f"""with {FIT}, m as (select pair_id, avg(ex) mx_, avg(ey) my_, count(*) n from er group by 1), c as (select er.*, ex - mx_ ux, ey - my_ uy, n from er join m using (pair_id)),
   x as (select a.pair_id, sum(exp(-(power(a.rx - b.rx, 2) + power(a.ry - b.ry, 2)) / 40000.0::double) * (a.ux * b.ux + a.uy * b.uy)) s, sum(exp(-(power(a.rx - b.rx, 2) + power(a.ry - b.ry, 2)) / 40000.0::double)) w from c a join c b on a.pair_id = b.pair_id and a.lm_id <> b.lm_id group by 1),
   t as (select pair_id, sum(ux * ux + uy * uy) q, any_value(n) n from c group by 1) select pair_id, round(n * s / (w * q), 7) moran_i from x join t using (pair_id)""")
-def moran_observed(spark, sf_dir, most=12):
-    return registration.morans_i(_residuals(spark, sf_dir, most), ["pair_id"], 200.0).withColumn("moran_i", F.round("moran_i", 7))
+def moran_observed(spark, sf_dir):
+    return registration.morans_i(_residuals(spark, sf_dir), ["pair_id"], 200.0).withColumn("moran_i", F.round("moran_i", 7))
 
 
 @add("fle_robust", f"""with {POINTS_SQL}, r as (select sample_id, floor(pt_id / 3) spot, x, y from points), d as (select *, power(x - avg(x) over w, 2) + power(y - avg(y) over w, 2) d2, count(*) over w n from r window w as (partition by sample_id, spot)), s as (select *, d2 * n / (n - 1) s2 from d where n > 1)
@@ -156,18 +154,18 @@ def fle_robust(spark, sf_dir):
 
 
 @add("certify_landmarks")
-def certify_landmarks(spark, sf_dir, most=None):
-    return registration.certify(landmarks(spark, sf_dir, most), ["pair_id"], 0.5, 490.0, 1000.0)
+def certify_landmarks(spark, sf_dir):
+    return registration.certify(landmarks(spark, sf_dir), ["pair_id"], 0.5, 490.0, 1000.0)
 
 
 @add("landmark_hull")
 def landmark_hull(spark, sf_dir):
-    return registration.hull_area(landmarks(spark, sf_dir, None).select("pair_id", F.col("rx").alias("x"), F.col("ry").alias("y")), ["pair_id"])
+    return registration.hull_area(landmarks(spark, sf_dir).select("pair_id", F.col("rx").alias("x"), F.col("ry").alias("y")), ["pair_id"])
 
 
 @add("spread_landmarks")
 def spread_landmarks(spark, sf_dir):
-    return registration.farthest_points(landmarks(spark, sf_dir, None).select("pair_id", F.col("lm_id").alias("pt_id"), F.col("rx").alias("x"), F.col("ry").alias("y")), ["pair_id"], 12)
+    return registration.farthest_points(landmarks(spark, sf_dir).select("pair_id", F.col("lm_id").alias("pt_id"), F.col("rx").alias("x"), F.col("ry").alias("y")), ["pair_id"], 12)
 
 
 @add("local_affine")
@@ -179,14 +177,14 @@ def local_affine(spark, sf_dir):
 
 @add("prediction_error")
 def prediction_error(spark, sf_dir):
-    lm = landmarks(spark, sf_dir, None)
+    lm = landmarks(spark, sf_dir)
     sigma = registration.landmark_noise(registration.residuals(lm, registration.similarity_fit(lm, ["pair_id"]), ["pair_id"]), ["pair_id"])
     return registration.prediction_error(lm, registration.field_grid(lm, ["pair_id"], 490.0, 1000.0), ["pair_id"], sigma)
 
 
 @add("error_budget")
 def error_budget(spark, sf_dir):
-    lm, by = landmarks(spark, sf_dir, None), ["pair_id"]
+    lm, by = landmarks(spark, sf_dir), ["pair_id"]
     res = registration.residuals(lm, registration.similarity_fit(lm, by), by)
     fle = lm.select(*by).distinct().withColumn("sigma", F.lit(1.5 * 2**0.5))
     predicted = registration.prediction_error(lm, registration.field_grid(lm, by, 490.0, 1000.0), by, fle)
@@ -202,7 +200,7 @@ def moran_verdict(spark, sf_dir):
 
 @add("irls_similarity")
 def irls_similarity(spark, sf_dir):
-    return registration.huber_similarity(landmarks(spark, sf_dir, None), ["pair_id"])
+    return registration.huber_similarity(landmarks(spark, sf_dir), ["pair_id"])
 
 
 AFF = (0.9, -0.1, 12.0, 0.1, 0.9, -7.0)
@@ -323,11 +321,9 @@ def verdict_tally(spark, sf_dir):
     return out.select("g", "n", "n_significant", F.round("mean_p", 9).alias("mean_p"), F.round("median_p", 9).alias("median_p"), "n_robust", "rate")
 
 
-@add("equal_count_pairs", "with s as (select l_partkey % 20 case_id, l_suppkey stem, count(*) n from lineitem where l_suppkey <= 30 group by 1, 2) select a.case_id, a.stem a, b.stem b, a.n from s a join s b on a.case_id = b.case_id and a.n = b.n and a.stem <> b.stem")
-def equal_count_pairs(spark, sf_dir, most=30):
-    items = read(spark, sf_dir, "lineitem")
-    items = items if most is None else items.where(F.col("l_suppkey") <= most)
-    s = items.groupBy((F.col("l_partkey") % 20).alias("case_id"), F.col("l_suppkey").alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+@add("equal_count_pairs", "with s as (select l_partkey % 20 case_id, l_suppkey stem, count(*) n from lineitem group by 1, 2) select a.case_id, a.stem a, b.stem b, a.n from s a join s b on a.case_id = b.case_id and a.n = b.n and a.stem <> b.stem")
+def equal_count_pairs(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 20).alias("case_id"), F.col("l_suppkey").alias("stem")).agg(F.count(F.lit(1)).alias("n"))
     return matching.equal_count_pairs(s)
 
 
@@ -363,8 +359,3 @@ def scale_image_match(spark, sf_dir):
     images = part.where("p_partkey % 2 = 0").select(folder, F.col("p_name").alias("name"), F.concat(key, F.lit("_"), F.col("p_partkey") % 9).alias("key"))
     scales = part.where("p_partkey % 2 = 1").select(folder, F.col("p_name").alias("name"), key.alias("key"))
     return matching.scale_image_match(images, scales, ["folder"])
-
-
-# The queries above keep the row caps of their DuckDB SQL; these run over whole tables and are tested against brute force.
-for _query in (normalize_name, two_folder_match, single_folder_match, similarity_fit, similarity_defect, loo_tre_ls, landmark_noise, rtre_summary, moran_observed, certify_landmarks, equal_count_pairs):
-    add(f"{_query.__name__}_full")(partial(_query, most=None))

@@ -89,29 +89,28 @@ def cross_k_inhom(spark, sf_dir):
 
 
 # shifts that both engines can write down: a permutation's shift is a multiple of an irrational-like step
-SHIFTS_SQL = "shifts as (select i::bigint perm_id, (i * 137.5::double + 61) % 490 dx, (i * 271.25::double + 97) % 1000 dy from range(19) t(i))"
+SHIFTS_SQL = "shifts as (select i::bigint perm_id, (i * 137.5::double + 61) % 490 dx, (i * 271.25::double + 97) % 1000 dy from range(1000) t(i))"
 
 
-def _shifts(spark, n=19):
-    return spark.range(n).select(F.col("id").alias("perm_id"), F.expr("pmod(id * 137.5D + 61, 490D)").alias("dx"), F.expr("pmod(id * 271.25D + 97, 1000D)").alias("dy"))
+def _shifts(spark):
+    return spark.range(N_PERM).select(F.col("id").alias("perm_id"), F.expr("pmod(id * 137.5D + 61, 490D)").alias("dx"), F.expr("pmod(id * 271.25D + 97, 1000D)").alias("dy"))
 
 
 NULL_SQL = f"""{AB}, {COUNTS}, {K}, {SHIFTS_SQL}, moved as (select sample_id, perm_id, (x + dx) % 490 x, (y + dy) % 1000 y from b cross join shifts),
- hits as (select a.sample_id, perm_id, sqrt((a.x - m.x) * (a.x - m.x) + (a.y - m.y) * (a.y - m.y)) d from a join moved m on a.sample_id = m.sample_id where sqrt((a.x - m.x) * (a.x - m.x) + (a.y - m.y) * (a.y - m.y)) <= 60),
- bucket as (select sample_id, perm_id, ceil(d / 4)::int r_idx, count(*) c from hits group by 1, 2, 3),
- rad as (select i::int r_idx, i * 4.0::double r from range(16) t(i)),
+ hits as (select a.sample_id, perm_id, sqrt((a.x - m.x) * (a.x - m.x) + (a.y - m.y) * (a.y - m.y)) d from a join moved m on a.sample_id = m.sample_id where sqrt((a.x - m.x) * (a.x - m.x) + (a.y - m.y) * (a.y - m.y)) <= 100),
+ bucket as (select sample_id, perm_id, ceil(d / 2)::int r_idx, count(*) c from hits group by 1, 2, 3),
  both_ as (select * from sizes where n_a > 0 and n_b > 0),
  null_k as (select s.sample_id, perm_id, r_idx, r, 490000.0::double / (n_a * n_b) * sum(coalesce(c, 0)) over (partition by s.sample_id, perm_id order by r_idx) k
-   from both_ s cross join shifts cross join rad left join bucket using (sample_id, perm_id, r_idx)),
- obs as (select c.sample_id, (c.r_idx // 2)::int r_idx, c.r, c.k from curve c join both_ using (sample_id) where c.r_idx % 2 = 0 and c.r <= 60)"""
+   from both_ s cross join shifts cross join radii left join bucket using (sample_id, perm_id, r_idx)),
+ obs as (select c.sample_id, c.r_idx, c.r, c.k from curve c join both_ using (sample_id))"""
 
 
-def _null(spark, sf_dir, n=19, rmax=60.0, step=4.0):
+def _null(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     both = a.select("sample_id").distinct().join(b.select("sample_id").distinct(), "sample_id")
     a, b = a.join(both, "sample_id", "left_semi"), b.join(both, "sample_id", "left_semi")
-    null = point_pattern.toroidal_null(a, b, _shifts(spark, n), BY, WIDTH, HEIGHT, rmax, step)
-    return null, point_pattern.cross_k(a, b, BY, WIDTH * HEIGHT, rmax, step).select("sample_id", "r_idx", "r", "k")
+    null = point_pattern.toroidal_null(a, b, _shifts(spark), BY, WIDTH, HEIGHT, RMAX, STEP)
+    return null, point_pattern.cross_k(a, b, BY, WIDTH * HEIGHT, RMAX, STEP).select("sample_id", "r_idx", "r", "k")
 
 
 @add("toroidal_null", f"with {NULL_SQL} select sample_id, perm_id, r_idx, r, k from null_k")
@@ -131,8 +130,8 @@ def null_envelope(spark, sf_dir):
 DCLF = """pool as (select sample_id, perm_id + 1 perm_id, r_idx, r, sqrt(k / pi()) - r l from null_k union all select sample_id, 0, r_idx, r, sqrt(k / pi()) - r from obs),
  bands as (select * from (values {0}) t(band, lo, hi)), inb as (select p.*, band, l - avg(l) over (partition by sample_id, band, r_idx) dev from pool p cross join bands where r between lo and hi),
  u as (select sample_id, band, perm_id, sum(dev * dev) two, sum(case when dev > 0 then dev * dev else 0 end) pos, sum(case when dev < 0 then dev * dev else 0 end) neg, arg_max(r, {{'l': l, 'i': -r_idx}}) peak from inb group by 1, 2, 3),
- ranked as (select u.sample_id, u.band, (1 + count(*) filter (u.two >= o.two - 1e-9)) / (1 + count(*))::double p_two, (1 + count(*) filter (u.pos >= o.pos - 1e-9)) / (1 + count(*))::double p_assoc,
-  (1 + count(*) filter (u.neg >= o.neg - 1e-9)) / (1 + count(*))::double p_seg, any_value(o.peak) peak_r from u join u o on o.sample_id = u.sample_id and o.band = u.band and o.perm_id = 0 where u.perm_id > 0 group by 1, 2)
+ ranked as (select u.sample_id, u.band, (1 + count(*) filter (u.two >= o.two)) / (1 + count(*))::double p_two, (1 + count(*) filter (u.pos >= o.pos)) / (1 + count(*))::double p_assoc,
+  (1 + count(*) filter (u.neg >= o.neg)) / (1 + count(*))::double p_seg, any_value(o.peak) peak_r from u join u o on o.sample_id = u.sample_id and o.band = u.band and o.perm_id = 0 where u.perm_id > 0 group by 1, 2)
  select sample_id, band, p_two, p_assoc, p_seg, peak_r, p_two < 0.05 significant, case when p_two >= 0.05 then 'none' when p_assoc <= p_seg then 'association' else 'segregation' end direction from ranked"""
 
 
@@ -148,32 +147,6 @@ def dclf_bands(spark, sf_dir):
     return envelopes.global_test(null, obs, BY, {"coloc": (10.0, 20.0), "coinfil": (20.0, 50.0)})
 
 
-# The four queries above keep the 19 shifts and 16 radii of their SQL. These take all of production's, on which DuckDB is
-# too slow; the first 19 shifts are the same.
-def _null_full(spark, sf_dir):
-    return _null(spark, sf_dir, N_PERM, RMAX, STEP)
-
-
-@add("toroidal_null_full")
-def toroidal_null_full(spark, sf_dir):
-    return _null_full(spark, sf_dir)[0]
-
-
-@add("null_envelope_full")
-def null_envelope_full(spark, sf_dir):
-    return envelopes.envelope(*_null_full(spark, sf_dir), BY)
-
-
-@add("dclf_global_full")
-def dclf_global_full(spark, sf_dir):
-    return envelopes.global_test(*_null_full(spark, sf_dir), BY, {"all": (10.0, 50.0)})
-
-
-@add("dclf_bands_full")
-def dclf_bands_full(spark, sf_dir):
-    return envelopes.global_test(*_null_full(spark, sf_dir), BY, {"coloc": (10.0, 20.0), "coinfil": (20.0, 50.0)})
-
-
 NN = """nn as (select a.sample_id, a.pt_id a_id, b.pt_id b_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) d from a join b on a.sample_id = b.sample_id),
  fwd as (select * from nn qualify row_number() over (partition by sample_id, a_id order by d, b_id) = 1), bwd as (select * from nn qualify row_number() over (partition by sample_id, b_id order by d, a_id) = 1)"""
 

@@ -61,13 +61,12 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED_SQL = """labelled as (select lang sample_id, doc_id, quality = 1 a, toxic = 1 b, n_chars::double score from documents join labels using (doc_id))"""
 
 
-def landmarks(spark: SparkSession, sf_dir: str, most: int | None = 12) -> DataFrame:
-    """landmarks(pair_id, lm_id, rx, ry, mx, my): the k-th click and the k-th view of a day, k up to `most` (None: all), moved close to each other."""
+def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """landmarks(pair_id, lm_id, rx, ry, mx, my): the k-th click and the k-th view of a day, moved close to each other."""
     from pyspark.sql import Window
 
     pts = points(spark, sf_dir).where(F.col("marker").isin("click", "view"))
     ranked = pts.withColumn("k", F.row_number().over(Window.partitionBy("sample_id", "marker").orderBy("pt_id")))
-    ranked = ranked if most is None else ranked.where(F.col("k") <= most)
     a = ranked.where("marker = 'click'").select(F.col("sample_id").alias("pair_id"), F.col("k").alias("lm_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     b = ranked.where("marker = 'view'").select(F.col("sample_id").alias("pair_id"), F.col("k").alias("lm_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     return a.join(b, ["pair_id", "lm_id"]).select("pair_id", "lm_id", "rx", "ry", (0.98 * F.col("rx") - 0.05 * F.col("ry") + 7 + 0.004 * F.col("bx")).alias("mx"), (0.05 * F.col("rx") + 0.98 * F.col("ry") - 3 + 0.004 * F.col("by")).alias("my"))
@@ -78,14 +77,13 @@ LANDMARKS_SQL = (
     + """, ranked as (select *, row_number() over (partition by sample_id, marker order by pt_id) k from points where marker in ('click', 'view')),
 landmarks as (select a.sample_id pair_id, a.k::int lm_id, a.x rx, a.y ry, 0.98::double * a.x - 0.05::double * a.y + 7 + 0.004::double * b.x mx,
   0.05::double * a.x + 0.98::double * a.y - 3 + 0.004::double * b.y my from ranked a join ranked b on a.sample_id = b.sample_id and a.k = b.k
-  where a.marker = 'click' and b.marker = 'view' and a.k <= 12)"""
+  where a.marker = 'click' and b.marker = 'view')"""
 )
 
 
-def files(spark: SparkSession, sf_dir: str, most: int | None = 60) -> DataFrame:
-    """files(folder, name): image names made from suppliers (keys up to `most`, None: all), in two folders, with markers and separators of all kinds."""
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(folder, name): image names made from suppliers, in two folders, with markers and separators of all kinds."""
     sup = read(spark, sf_dir, "supplier")
-    sup = sup if most is None else sup.where(F.col("s_suppkey") <= most)
     k = F.col("s_suppkey")
     sep = F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit(" ")), (k % 3 + 1).cast("int"))
     case = F.concat(F.lit("LL"), (k % 20).cast("string"), sep, F.lit("Liver"))
@@ -96,6 +94,6 @@ def files(spark: SparkSession, sf_dir: str, most: int | None = 60) -> DataFrame:
 
 FILES_SQL = """files as (select distinct * from (
   select 'a' folder, 'LL' || (s_suppkey % 20) || sep || 'Liver' || sep || case when s_suppkey % 7 = 0 then 'H&E' else 'CD8' end || sep || 'x10.png' as name
-  from (select *, ['_', '-', ' '][s_suppkey % 3 + 1] sep from supplier where s_suppkey <= 60)
+  from (select *, ['_', '-', ' '][s_suppkey % 3 + 1] sep from supplier)
   union all select 'b', lower('LL' || (s_suppkey % 20) || sep || 'Liver') || sep || case when s_suppkey % 2 = 0 then 'PanCK' else 'Tim-3' end || sep || '10X.tif'
-  from (select *, ['_', '-', ' '][s_suppkey % 3 + 1] sep from supplier where s_suppkey <= 60) where s_suppkey % 5 <> 0))"""
+  from (select *, ['_', '-', ' '][s_suppkey % 3 + 1] sep from supplier) where s_suppkey % 5 <> 0))"""

@@ -34,7 +34,7 @@ def counts(a, b, radii):
 
 def test_toroidal_null_equals_brute_force(spark, days):
     got = {}
-    for r in pattern_queries.toroidal_null_full(spark, "").collect():
+    for r in pattern_queries.toroidal_null(spark, "").collect():
         got[r["sample_id"], r["perm_id"], r["r_idx"]] = r["k"]
     assert len(got) == 2 * 1000 * 51
     radii = np.arange(51) * 2.0
@@ -47,9 +47,9 @@ def test_toroidal_null_equals_brute_force(spark, days):
 
 def test_strong_association_is_significant(spark, days):
     """With 19 shifts p was never below 0.05."""
-    test = {r["sample_id"]: r for r in pattern_queries.dclf_global_full(spark, "").collect()}
+    test = {r["sample_id"]: r for r in pattern_queries.dclf_global(spark, "").collect()}
     assert test["near"]["significant"] and test["near"]["direction"] == "association" and test["near"]["p_two"] < 0.01
-    bands = {(r["sample_id"], r["band"]): r for r in pattern_queries.dclf_bands_full(spark, "").collect()}
+    bands = {(r["sample_id"], r["band"]): r for r in pattern_queries.dclf_bands(spark, "").collect()}
     assert bands["near", "coloc"]["direction"] == "association"
 
 

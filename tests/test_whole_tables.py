@@ -61,17 +61,17 @@ def fitted(m, r):
 
 
 def test_all_landmarks_count(spark, day):
-    rows = adapters.landmarks(spark, "", None).orderBy("lm_id").collect()
+    rows = adapters.landmarks(spark, "").orderBy("lm_id").collect()
     m, r = np.array([[x["mx"], x["my"]] for x in rows]), np.array([[x["rx"], x["ry"]] for x in rows])
     z, _ = fitted(m, r)
-    fit = QUERIES["similarity_fit_full"](spark, "").first()
+    fit = QUERIES["similarity_fit"](spark, "").first()
     assert fit["n"] == len(rows) == 18 and math.isclose(fit["a"], z.real, abs_tol=1e-7) and math.isclose(fit["b"], z.imag, abs_tol=1e-7)
-    loo = {x["lm_id"]: x["loo_err"] for x in QUERIES["loo_tre_ls_full"](spark, "").collect()}
+    loo = {x["lm_id"]: x["loo_err"] for x in QUERIES["loo_tre_ls"](spark, "").collect()}
     for i, row in enumerate(rows):
         keep = np.arange(len(rows)) != i
         z, t = fitted(m[keep], r[keep])
         assert math.isclose(loo[row["lm_id"]], abs(z * (m[i] @ [1, 1j]) + t - r[i] @ [1, 1j]), abs_tol=2e-5)
-    assert QUERIES["certify_landmarks_full"](spark, "").first()["n"] == QUERIES["rtre_summary_full"](spark, "").first()["n"] == 18
+    assert QUERIES["certify_landmarks"](spark, "").first()["n"] == QUERIES["rtre_summary"](spark, "").first()["n"] == 18
     assert QUERIES["irls_similarity"](spark, "").count() == 1
 
 
@@ -85,9 +85,8 @@ def test_names_and_counts_come_from_whole_tables(spark, monkeypatch):
     items = spark.createDataFrame([(20 * k, s) for s, n in ((1, 2), (31, 2), (32, 3), (90, 2)) for k in range(n)], "l_partkey long, l_suppkey long")
     monkeypatch.setattr(adapters, "read", lambda *_: suppliers)
     monkeypatch.setattr(pair_queries, "read", lambda *_: items)
-    names = {r["name"] for r in QUERIES["normalize_name_full"](spark, "").collect()}
-    few = {r["name"] for r in QUERIES["normalize_name"](spark, "").collect()}
+    names = {r["name"] for r in QUERIES["normalize_name"](spark, "").collect()}
     sep = "_- "
     a = {f"LL{k % 20}{sep[k % 3]}Liver{sep[k % 3]}{'H&E' if k % 7 == 0 else 'CD8'}{sep[k % 3]}x10.png" for k in range(1, 101)}
-    assert {n for n in names if n.endswith("png")} == a and few < names
-    assert {(r["a"], r["b"]) for r in QUERIES["equal_count_pairs_full"](spark, "").collect()} == {(x, y) for x in (1, 31, 90) for y in (1, 31, 90) if x != y}
+    assert {n for n in names if n.endswith("png")} == a
+    assert {(r["a"], r["b"]) for r in QUERIES["equal_count_pairs"](spark, "").collect()} == {(x, y) for x in (1, 31, 90) for y in (1, 31, 90) if x != y}
