@@ -105,8 +105,10 @@ def permuted_k(a: DataFrame, b: DataFrame, moved: DataFrame, perms: DataFrame, b
     """(by.., perm_id, r_idx, r, k) of a against `moved`, the points of b redrawn for each of perms(perm_id).
 
     a is the same in every permutation, so it is listed in its nine bins once and the redrawn points stand in theirs;
-    perms are broadcast, bounded by the number of permutations.
+    perms are broadcast, bounded by the number of permutations. Redrawn points are dealt out by group and permutation
+    first: they come from a few scan tasks, and so one large group spreads over as many tasks as there are permutations.
     """
+    moved = moved.repartition(*by, "perm_id")
     pairs = range_join(moved.withColumn("pt_id", F.col("perm_id")), a, rmax, by).withColumnRenamed("a_id", "perm_id")
     sizes = group_sizes(a, b, by)
     curve = radius_profile(pairs, sizes.crossJoin(F.broadcast(perms)), [*by, "perm_id"], rmax, step).join(sizes, by)
