@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, language_id, lm_scoring, ngram_join, packing, quality_crf, suffix_dedup, token_counts, toxicity
+from . import ball_kmeans, decontamination, embedding_dedup, histogram_sort, language_id, lm_scoring, ngram_join, packing, prefix_trie, quality_crf, suffix_dedup, token_counts, toxicity
 from .common import read
 
 
@@ -57,6 +57,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster_table(read(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.shard_table(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -69,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_packing": op10_packing,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_sharding": op12_sharding,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -76,7 +91,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _REACH = """reach(id, other) as (select a, b from edges union select r.id, e.b from reach r join edges e on e.a = r.other),
 component as (select id, least(id, min(other)) component_id from reach group by 1)"""
 
+
+def _kmeans_sql(rounds: int = 3) -> str:
+    """Lloyd's rounds over whole numbers, each written out."""
+    steps = [f"""with kept as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings where vec_id is not null and embedding is not null and len(embedding) = 64
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || vec_id), v) - 1 k, v c from kept qualify k < 16)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as (select vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'k': k}}) m from kept, c{i} group by 1, 2)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (select m.k k, p, sum(v[p])::bigint s, count(*) n from a{i}, range(1, 65) r(p) group by 1, 2), n{i} as (select k, list((s - (((s % n) + n) % n)) // n order by p) c from s{i} group by 1)""")
+            steps.append(f"c{i + 1} as (select k, coalesce(n{i}.c, c{i}.c) c from c{i} left join n{i} using (k))")
+    return ", ".join(steps) + f""", t as (select m.k k, sum(m.d)::bigint own from a{rounds} group by 1)
+select vec_id, m.k::int as cluster, m.d distance, own cluster_inertia, (select sum(own)::bigint from t) inertia, sha256(array_to_string(c, ',')) centroid_sha256 from a{rounds} join c{rounds} on c{rounds}.k = m.k join t on t.k = m.k"""
+
+
 ORACLES = {
+    "op11_centroid_clustering": _kmeans_sql(),
+    "op13_prefix_trie": """with tab as (select list(v order by i) t from (select i, list_reduce([i::bigint, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) v from range(256) r(i))),
+own as (select conv_id c, coalesce(role, '') role, coalesce(text, '') body, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) p from conversations where conv_id is not null),
+len as (select c, count(*) n from own group by 1),
+h as (select c, c - c % 5 lender, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ord(x)::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 9 h from len, tab),
+turns as (select h.c, p, role, body from h join own on own.c = lender where p <= h union all select h.c, least(h, coalesce(n, 0)) + p - h, role, body from h join own using (c) left join len on len.c = lender where p > h),
+paths as (select c, 0 p, '' path, 0 bytes from len union all select c, p, string_agg(sha256(strlen(role) || ':' || role || body), '') over (partition by c order by p), strlen(body) from turns),
+ends as (select *, max(p) over (partition by c) n from paths),
+nodes as (select p, path, min(c) m, count(*) n_convs, max(bytes) bytes, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where n = p), '')) ends from ends group by 1, 2),
+spot as (select c, p, m from paths join nodes using (p, path)),
+tree as (select n.*, u.m parent, (select count(*) from nodes k join spot a on a.c = k.m and a.p = k.p - 1 where k.p = n.p + 1 and a.m = n.m) kids from nodes n left join spot u on u.c = n.m and u.p = n.p - 1),
+below as (select a.p, a.m, sum((t.n_convs - 1) * t.bytes)::bigint saved, count(*) filter (where kids = 0) leaves from tree t join spot a on a.c = t.m and a.p <= t.p group by 1, 2)
+select t.m conv_id, t.p::bigint as depth, parent parent_conv_id, n_convs, kids n_children, leaves n_leaves, saved saved_tokens, ends ends_sha256 from tree t join below b on b.p = t.p and b.m = t.m""",
     "op7_embedding_dedup": f"""with recursive ok as (select vec_id, label, embedding::double[] v from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 edges as (select p.vec_id a, q.vec_id b from ok p join ok q on p.label = q.label and len(p.v) = len(q.v) and p.vec_id <> q.vec_id where list_cosine_similarity(p.v, q.v) >= 0.93), {_REACH},
