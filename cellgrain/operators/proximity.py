@@ -40,24 +40,23 @@ def self_range_join(pts: DataFrame, r: float, by: list[str]) -> DataFrame:
     return range_join(pts, pts, r, by).where("a_id < b_id")
 
 
-def nearest(a: DataFrame, b: DataFrame, by: list[str], r: float, rings: int = 4) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, by: list[str], r: float) -> DataFrame:
     """For each point of a the nearest of b (ties: smallest id): by.., a_id, b_id, d.
 
-    Bins grow fourfold from r until every point has its match within the bin
-    size, where nothing nearer can be missed; each round joins only the points
-    still open, and the last compares what is left within its group.
+    Bins grow fourfold from r until every point has its match within the bin size,
+    where nothing nearer can be missed.  Each round joins only the points still open,
+    which are written, as are its matches; points whose group has nothing of b have none.
     """
-    best = Window.partitionBy(*by, "a_id").orderBy("d", "b_id")
-    open_, out = a, None
-    for k in range(rings):
-        hit = range_join(open_, b, r * 4**k, by).withColumn("_k", F.row_number().over(best)).where("_k = 1").select(*by, "a_id", "b_id", "d")
+    scratch_folder(a.sparkSession)
+    b = b.where("x is not null and y is not null")
+    open_, out = a.where("x is not null and y is not null").join(b.select(*by).distinct(), by, "left_semi").checkpoint(), None
+    while out is None or not open_.isEmpty():
+        close = range_join(open_, b, r, by).groupBy(*by, "a_id").agg(F.min(F.struct("d", "b_id")).alias("m"))
+        hit = close.select(*by, "a_id", F.col("m.b_id").alias("b_id"), F.col("m.d").alias("d")).checkpoint()
         out = hit if out is None else out.unionByName(hit)
-        open_ = open_.join(hit.select(*by, F.col("a_id").alias("pt_id")), [*by, "pt_id"], "left_anti")
-    left = open_.select(*by, F.col("pt_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    right = b.select(*by, F.col("pt_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by_"))
-    far = left.join(right, by).withColumn("d", F.sqrt(distance_sq(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"))))
-    closest = far.groupBy(*by, "a_id").agg(F.min(F.struct("d", "b_id")).alias("m")).select(*by, "a_id", F.col("m.b_id").alias("b_id"), F.col("m.d").alias("d"))
-    return out.unionByName(closest)
+        open_ = open_.join(hit.select(*by, F.col("a_id").alias("pt_id")), [*by, "pt_id"], "left_anti").checkpoint()
+        r *= 4
+    return out
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, by: list[str], cap: float) -> DataFrame:
@@ -67,6 +66,33 @@ def mutual_nearest(a: DataFrame, b: DataFrame, by: list[str], cap: float) -> Dat
     return first.where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
+def mutual_null(a: DataFrame, b: DataFrame, shifts: DataFrame, by: list[str], cap: float) -> DataFrame:
+    """How many mutual nearest pairs a group has, and has after rigid moves of b: by.., observed, null_mean, null_std, z, p, n_perm.
+
+    shifts(perm_id, u, v) gives each permutation's move as shares (0 to 1) of the room that b's bounding box has within
+    that of both; it is broadcast, bounded by the number of permutations.  a is binned once for all of them.  z is null
+    where the null doesn't vary; groups that lack a side are left out.
+    """
+    box = lambda d, n: d.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}_{m}") for m, f in (("lo", F.min), ("hi", F.max)) for c in ("x", "y")])
+    room = box(a, "_a").join(box(b, "_b"), by)
+    for c in ("x", "y"):
+        low = F.least(f"_a_{c}_lo", f"_b_{c}_lo")
+        room = room.withColumn(f"_to_{c}", low - F.col(f"_b_{c}_lo")).withColumn(f"_span_{c}", F.greatest(F.greatest(f"_a_{c}_hi", f"_b_{c}_hi") - low - (F.col(f"_b_{c}_hi") - F.col(f"_b_{c}_lo")), F.lit(0.0)))
+    room = room.select(*by, "_to_x", "_span_x", "_to_y", "_span_y")
+    stay = F.col("perm_id").isNull()
+    every = b.join(room, by).crossJoin(F.broadcast(shifts.select("perm_id", "u", "v").unionByName(shifts.sparkSession.range(1).select(F.lit(None).cast("long").alias("perm_id"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v")))))
+    moved = every.select(*by, "pt_id", F.coalesce("perm_id", F.lit(-1)).alias("perm_id"), *[F.when(stay, F.col(c)).otherwise(F.col(c) + F.col(f"_to_{c}") + F.col(s) * F.col(f"_span_{c}")).alias(c) for c, s in (("x", "u"), ("y", "v"))])
+    pairs = range_join(moved.repartition(*by, "perm_id"), a, cap, by, of_a=("perm_id",))
+    first = lambda own, other: F.min(F.struct("d", other)).over(Window.partitionBy(*by, "perm_id", own))[other] == F.col(other)
+    mutual = pairs.select(*by, "perm_id", "a_id", "b_id", "d").withColumn("_one", first("a_id", "b_id")).withColumn("_two", first("b_id", "a_id"))
+    counts = mutual.where("_one and _two").groupBy(*by, "perm_id").agg(F.count(F.lit(1)).alias("n"))
+    grid = room.select(*by).crossJoin(F.broadcast(shifts.select("perm_id").unionByName(shifts.sparkSession.range(1).select(F.lit(-1).cast("long").alias("perm_id")))))
+    n = grid.join(counts, [*by, "perm_id"], "left").select(*by, "perm_id", F.coalesce("n", F.lit(0)).alias("n"))
+    n = n.withColumn("observed", F.max(F.when(F.col("perm_id") == -1, F.col("n"))).over(Window.partitionBy(*by))).where("perm_id >= 0")
+    out = n.groupBy(*by).agg(F.first("observed").alias("observed"), F.avg("n").alias("null_mean"), F.stddev_pop("n").alias("null_std"), ((1 + F.count_if(F.col("n") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p"), F.count(F.lit(1)).alias("n_perm"))
+    return out.withColumn("z", F.try_divide(F.col("observed") - F.col("null_mean"), F.when(F.col("null_std") > 0, F.col("null_std"))))
+
+
 def nearest_match(truth: DataFrame, found: DataFrame, by: list[str], tol: float) -> DataFrame:
     """Each truth offers its one nearest candidate within tol; a candidate takes the nearest of its offers."""
     pairs = range_join(truth, found, tol, by)

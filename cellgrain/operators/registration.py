@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import scratch_folder
+
 
 def similarity_fit(lm: DataFrame, by: list[str]) -> DataFrame:
     """Least-squares similarity that takes (mx, my) to (rx, ry): by.., n, a, b, tx, ty with M = [[a, -b], [b, a]].
@@ -223,6 +226,7 @@ def farthest_points(pts: DataFrame, by: list[str], k: int) -> DataFrame:
 
     A round is one join with the point picked last and one aggregate, so groups of any size are spread over tasks.
     """
+    scratch_folder(pts.sparkSession)
     middle = pts.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
     d2 = (F.col("x") - F.col("_mx")) ** 2 + (F.col("y") - F.col("_my")) ** 2
     first = pts.join(middle, by).groupBy(*by).agg(F.min(F.struct(d2.alias("d"), "pt_id", "x", "y")).alias("m")).select(*by, F.lit(0).alias("pick"), "m.pt_id", "m.x", "m.y")
@@ -290,15 +294,40 @@ def deformation_rms(res: DataFrame, by: list[str], fle_um: float, px_um: float,
     return s.select(*by, "n", F.sqrt(2 * F.greatest(beyond, F.lit(0.0))).alias("rms_um"), (beyond > 0).alias("detectable"))
 
 
+#: Permutations of a pair's residuals that one task takes, and landmarks whose weights it holds at a time.
+PERMUTATIONS_PER_TASK, WEIGHT_ROWS = 125, 512
+
+
 def moran_verdict(res: DataFrame, by: list[str], scale: float, n_perm: int, seed: int = 0) -> DataFrame:
-    """Moran's I of residuals with a permutation p: by.., moran_i, p, verdict. Residuals change places by hashed order in each permutation."""
-    w = Window.partitionBy(*by, "perm_id")
-    every = res.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
-    draw = F.when(F.col("perm_id") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "perm_id", "lm_id"))
-    place = every.withColumn("_to", F.row_number().over(w.orderBy("lm_id"))).withColumn("_from", F.row_number().over(w.orderBy(draw, "lm_id")))
-    value = place.select(*by, "perm_id", F.col("_from").alias("_to"), "ex", "ey")
-    moved = place.select(*by, "perm_id", "lm_id", "rx", "ry", "_to").join(value, [*by, "perm_id", "_to"])
-    each = morans_i(moved, [*by, "perm_id"], scale)
-    seen = F.max(F.when(F.col("perm_id") == 0, F.col("moran_i"))).over(Window.partitionBy(*by))
-    out = each.withColumn("_i", seen).groupBy(*by).agg(F.first("_i").alias("moran_i"), ((1 + F.count_if((F.col("perm_id") > 0) & (F.col("moran_i") >= F.col("_i")))) / F.lit(1 + n_perm)).alias("p"))
-    return out.withColumn("verdict", F.when(F.col("moran_i").isNull(), "not_estimable").when((F.col("p") < 0.05) & (F.col("moran_i") > 0), "structured").otherwise("random"))
+    """Moran's I of residual vectors with a permutation p: by.., moran_i, p, verdict.
+
+    Weights stay where they are while residuals change places, so the products of all permutations come from one weight
+    matrix times a matrix with a column for each.  A pair's landmarks (set by hand) go to one task for every block of
+    permutations; weights are made WEIGHT_ROWS landmarks at a time.  A permutation is drawn from (seed, its number, the
+    pair), whatever the blocks are.  Fewer than two landmarks or residuals without spread: not_estimable.
+    """
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in res.select(*by).schema)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lm_id", kind="stable")
+        name = zlib.crc32("|".join(str(pdf[c].iloc[0]) for c in by).encode())
+        u = pdf[["ex", "ey"]].to_numpy(float)
+        u = (u - u.mean(axis=0)) @ [1, 1j]
+        first = int(pdf["_block"].iloc[0]) * PERMUTATIONS_PER_TASK
+        perms = np.arange(first, min(first + PERMUTATIONS_PER_TASK, n_perm + 1))
+        moved = np.array([u if p == 0 else u[np.random.default_rng([seed, int(p), name]).permutation(len(u))] for p in perms]).T
+        x, y = pdf["rx"].to_numpy(float), pdf["ry"].to_numpy(float)
+        cross, total = np.zeros(len(perms)), 0.0
+        for at in range(0, len(u), WEIGHT_ROWS):
+            w = np.exp(-((x[at : at + WEIGHT_ROWS, None] - x) ** 2 + (y[at : at + WEIGHT_ROWS, None] - y) ** 2) / (scale * scale))
+            w[np.arange(len(w)), at + np.arange(len(w))] = 0
+            total += w.sum()
+            cross += (moved[at : at + WEIGHT_ROWS].conj() * (w @ moved)).real.sum(axis=0)
+        spread = total * float((abs(u) ** 2).sum())
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(perms) for c in by}, "perm_id": perms, "i": len(u) * cross / spread if spread > 0 else np.nan})
+
+    blocks = res.select(*by, "lm_id", "rx", "ry", "ex", "ey", F.explode(F.sequence(F.lit(0), F.lit(n_perm // PERMUTATIONS_PER_TASK))).alias("_block"))
+    each = blocks.groupBy(*by, "_block").applyInPandas(products, f"{key}, perm_id long, i double").withColumn("i", F.when(~F.isnan("i"), F.col("i")))
+    seen = F.max(F.when(F.col("perm_id") == 0, F.col("i"))).over(Window.partitionBy(*by))
+    out = each.withColumn("moran_i", seen).groupBy(*by).agg(F.first("moran_i").alias("moran_i"), ((1 + F.count_if((F.col("perm_id") > 0) & (F.col("i") >= F.col("moran_i")))) / F.lit(1 + n_perm)).alias("p"))
+    return out.withColumn("p", F.when(F.col("moran_i").isNotNull(), F.col("p"))).withColumn("verdict", F.when(F.col("moran_i").isNull(), "not_estimable").when((F.col("p") < 0.05) & (F.col("moran_i") > 0), "structured").otherwise("random"))

@@ -44,23 +44,34 @@ def csr_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: fl
     return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
+def normal_pair(*key) -> tuple[Column, Column]:
+    """Two independent standard normals by Box and Muller, of one pair of uniforms."""
+    u, v = F.greatest(uniform(*key, F.lit("u")), F.lit(1e-16)), uniform(*key, F.lit("v"))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v), F.sqrt(-2 * F.log(u)) * F.sin(2 * math.pi * v)
+
+
 #: Jittered positions tried for a drawn point before it stays on its support point.
-REDRAWS = 16
+REDRAWS = 128
 
 
 def support_null(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, jitter: float = 2.0, seed: int = 0) -> DataFrame:
     """K under b redrawn from the sample's support points with Gaussian jitter, kept inside the window.
 
-    A position outside the window is drawn again, jitter and all, up to REDRAWS times.
+    A position outside the window is drawn again, jitter and all, up to REDRAWS times.  The first position is plain
+    columns; only rows that it takes outside reach the list of further ones.
     """
     s = support.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("pt_id")) - 1).select(*by, "_k", F.col("x").alias("sx"), F.col("y").alias("sy"))
     n = support.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
-    drawn = permutations(b, n_perm).join(n, by).withColumn("_k", F.floor(uniform(*key, F.lit("s")) * F.col("_n")).cast("int")).join(s, [*by, "_k"])
-    tries = F.transform(F.sequence(F.lit(0), F.lit(REDRAWS - 1)), lambda t: F.struct((F.col("sx") + jitter * normal(*key, F.lit("x"), t)).alias("x"), (F.col("sy") + jitter * normal(*key, F.lit("y"), t)).alias("y")))
-    inside = F.filter(tries, lambda p: p["x"].between(0, width) & p["y"].between(0, height))
-    drawn = drawn.withColumn("_p", F.try_element_at(inside, F.lit(1)))
-    moved = drawn.withColumn("x", F.coalesce("_p.x", "sx")).withColumn("y", F.coalesce("_p.y", "sy")).drop("_k", "_n", "_p", "sx", "sy")
+    drawn = permutations(b.join(n, by).select(*by, "pt_id", "_n"), n_perm).withColumn("_k", F.floor(uniform(*key, F.lit("s")) * F.col("_n")).cast("int")).join(s, [*by, "_k"])
+    at = lambda t: [F.col(c) + jitter * z for c, z in zip(("sx", "sy"), normal_pair(*key, t), strict=True)]
+    held = lambda x, y: x.between(0, width) & y.between(0, height)
+    x, y = at(F.lit(0))
+    drawn = drawn.withColumns({"x": x, "y": y})
+    more = F.filter(F.transform(F.sequence(F.lit(1), F.lit(REDRAWS - 1)), lambda t: F.struct(*[v.alias(c) for v, c in zip(at(t), "xy", strict=True)])), lambda p: held(p["x"], p["y"]))
+    again = F.coalesce(F.try_element_at(more, F.lit(1)), F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")))
+    drawn = drawn.withColumn("_p", F.when(~held(F.col("x"), F.col("y")), again))
+    moved = drawn.select(*by, "perm_id", "pt_id", F.coalesce("_p.x", "x").alias("x"), F.coalesce("_p.y", "y").alias("y"))
     return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 

@@ -2,6 +2,6 @@
 
 
 def catalogues():
-    from . import cell_queries, choice_queries, pair_queries, pattern_queries
+    from . import cell_queries, choice_queries, pair_queries, pattern_queries, window_queries
 
-    return [pattern_queries.catalogue, cell_queries.catalogue, pair_queries.catalogue, choice_queries.catalogue]
+    return [pattern_queries.catalogue, cell_queries.catalogue, pair_queries.catalogue, choice_queries.catalogue, window_queries.catalogue]

@@ -194,8 +194,8 @@ def error_budget(spark, sf_dir):
 
 @add("moran_verdict")
 def moran_verdict(spark, sf_dir):
-    """Residuals of the first twelve landmarks of a day (a pair's usual number) and 199 permutations."""
-    return registration.moran_verdict(_residuals(spark, sf_dir, 12), ["pair_id"], 200.0, 199)
+    """All landmarks of each day and 999 permutations."""
+    return registration.moran_verdict(_residuals(spark, sf_dir), ["pair_id"], 200.0, 999)
 
 
 @add("irls_similarity")

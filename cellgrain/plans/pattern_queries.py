@@ -129,9 +129,10 @@ def null_envelope(spark, sf_dir):
 
 DCLF = """pool as (select sample_id, perm_id + 1 perm_id, r_idx, r, sqrt(k / pi()) - r l from null_k union all select sample_id, 0, r_idx, r, sqrt(k / pi()) - r from obs),
  bands as (select * from (values {0}) t(band, lo, hi)), inb as (select p.*, band, l - avg(l) over (partition by sample_id, band, r_idx) dev from pool p cross join bands where r between lo and hi),
- u as (select sample_id, band, perm_id, round(sum(dev * dev), 6) two, round(sum(case when dev > 0 then dev * dev else 0 end), 6) pos, round(sum(case when dev < 0 then dev * dev else 0 end), 6) neg, arg_max(r, {{'l': l, 'i': -r_idx}}) peak from inb group by 1, 2, 3),
- ranked as (select u.sample_id, u.band, (1 + count(*) filter (u.two >= o.two)) / (1 + count(*))::double p_two, (1 + count(*) filter (u.pos >= o.pos)) / (1 + count(*))::double p_assoc,
-  (1 + count(*) filter (u.neg >= o.neg)) / (1 + count(*))::double p_seg, any_value(o.peak) peak_r from u join u o on o.sample_id = u.sample_id and o.band = u.band and o.perm_id = 0 where u.perm_id > 0 group by 1, 2)
+ u as (select sample_id, band, perm_id, sum(dev * dev) two, sum(case when dev > 0 then dev * dev else 0 end) pos, sum(case when dev < 0 then dev * dev else 0 end) neg, arg_max(r, {{'l': l, 'i': -r_idx}}) peak from inb group by 1, 2, 3),
+ tie as (select sample_id, band, 1e-9::double * max(two) e from u group by 1, 2),
+ ranked as (select u.sample_id, u.band, (1 + count(*) filter (u.two >= o.two - e)) / (1 + count(*))::double p_two, (1 + count(*) filter (u.pos >= o.pos - e)) / (1 + count(*))::double p_assoc,
+  (1 + count(*) filter (u.neg >= o.neg - e)) / (1 + count(*))::double p_seg, any_value(o.peak) peak_r from u join u o on o.sample_id = u.sample_id and o.band = u.band and o.perm_id = 0 join tie on tie.sample_id = u.sample_id and tie.band = u.band where u.perm_id > 0 group by 1, 2)
  select sample_id, band, p_two, p_assoc, p_seg, peak_r, p_two < 0.05 significant, case when p_two >= 0.05 then 'none' when p_assoc <= p_seg then 'association' else 'segregation' end direction from ranked"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calls
 from ..operators import aggregates, envelopes, point_pattern, stochastic
+from ..operators.scratch import scratch_folder
 
 
 def quantify(cells: DataFrame, by: list[str], signal: str, threshold: float) -> DataFrame:
@@ -54,9 +55,12 @@ def association(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str], w
     Samples with an absent marker are routed away before the Monte-Carlo joins and come back as rows without a test.
     """
     sizes = point_pattern.group_sizes(a, b, by).withColumn("power", calls.power_grade(F.least("n_a", "n_b")))
+    scratch_folder(a.sparkSession)
+    sizes = sizes.checkpoint()
     fit = sizes.where("power <> 'absent'").select(*by)
-    a, b, support = (d.join(fit, by, "left_semi") for d in (a, b, support))
-    observed = point_pattern.cross_k(a, b, by, width * height, rmax, step).select(*by, "r_idx", "r", "k")
+    # read again and again below, so written once
+    a, b, support = (d.select(*by, "pt_id", "x", "y").join(fit, by, "left_semi").checkpoint() for d in (a, b, support))
+    observed = point_pattern.cross_k(a, b, by, width * height, rmax, step).select(*by, "r_idx", "r", "k").checkpoint()
     csr = envelopes.global_test(stochastic.csr_null(a, b, by, width, height, n_perm, rmax, step), observed, by, BANDS)
     dense = envelopes.global_test(stochastic.support_null(a, b, support, by, width, height, n_perm, rmax, step), observed, by, BANDS)
     return _corrected(sizes.join(_verdicts(dense, csr, by, F.lit(True)).drop("direction"), by, "left"), by)
@@ -112,12 +116,13 @@ def association_pairs(pts: DataFrame, by: list[str], markers: list[str], width:
     states = states.join(certificates.select(*by, calls.analysable(F.col("verdict")).alias("certified")), by, "left").na.fill(False, ["certified"]).withColumn("has_window", F.lit(True))
     table = counts.join(null_plan(states, by).select(*by, "worst", "primary_null"), by).join(certificates.select(*by, "floor_um"), by, "left")
     error = F.when(F.least("n_a", "n_b") < 5, "marker_absent").when(F.col("floor_um") >= rmax, "no_interpretable_radius_band").when(F.col("primary_null") == "none", "null_unavailable")
+    scratch_folder(pts.sparkSession)
     table = table.withColumn("error", error).checkpoint()
 
     tested = []
     for null, bands in (("reweighted", BANDS), ("dense_morphology", SUPPORT_BANDS)):
         fit = table.where((F.col("primary_null") == null) & F.col("error").isNull()).select(*key, "floor_um")
-        p, q = (d.join(fit.select(*key), key, "left_semi") for d in (a, b))
+        p, q = (d.join(fit.select(*key), key, "left_semi").checkpoint() for d in (a, b))
         plain = point_pattern.cross_k(p, q, key, width * height, rmax, step).select(*key, "r_idx", "r", "k")
         csr = envelopes.global_test(stochastic.csr_null(p, q, key, width, height, n_perm, rmax, step, seed), plain, key, bands)
         if null == "reweighted":

@@ -52,7 +52,7 @@ def test_empty_side_gives_zero_rows(spark):
 
 def test_nearest_matches_brute_force(spark):
     a, b = uniform(120, 7), np.concatenate([uniform(30, 8, 100), [[5000, 5000]]])
-    got = {r["a_id"]: r["b_id"] for r in proximity.nearest(points(spark, a), points(spark, b), BY, 10.0, rings=2).collect()}
+    got = {r["a_id"]: r["b_id"] for r in proximity.nearest(points(spark, a), points(spark, b), BY, 10.0).collect()}
     d = ((a[:, None] - b[None]) ** 2).sum(axis=2)
     assert got == dict(enumerate(d.argmin(axis=1).tolist()))
 
