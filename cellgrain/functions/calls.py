@@ -128,3 +128,12 @@ def pixel_size_chain(manual: Column, from_metadata: Column, from_ui: Column, fro
     value = F.coalesce(use(manual), use(from_metadata), use(from_ui), use(from_name), F.lit(default))
     source = F.when(use(manual).isNotNull(), "override").when(use(from_metadata).isNotNull(), "metadata").when(use(from_ui).isNotNull(), "ui").when(use(from_name).isNotNull(), "filename").otherwise("default")
     return value, source
+
+
+def cytoplasm_route(override: Column, listed: Column, name: Column, tokens: list[str]) -> Column:
+    """Whether a marker is measured in the cytoplasm: what was set by hand, else by the list, else whether its name holds a token."""
+    held = [F.lower(name).contains(t) for t in tokens]
+    found = held[0]
+    for h in held[1:]:
+        found = found | h
+    return F.coalesce(override, listed, found, F.lit(False))

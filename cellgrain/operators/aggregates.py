@@ -91,12 +91,29 @@ def error_summary(rows: DataFrame, by: list[str], v: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(v).alias("n"), F.percentile(v, 0.5).alias("median"), F.avg(v).alias("mean"), F.percentile(v, 0.9).alias("p90"), F.max(v).alias("max"))
 
 
-def worst_region(rows: DataFrame, by: list[str], x: str, y: str, v: str, cell: float) -> DataFrame:
-    """Largest of the medians of grid cells."""
-    regions = rows.groupBy(*by, F.floor(F.col(x) / cell).alias("gx"), F.floor(F.col(y) / cell).alias("gy")).agg(F.percentile(v, 0.5).alias("m"))
+def worst_region(rows: DataFrame, by: list[str], x: str, y: str, v: str, width: float, height: float | None = None) -> DataFrame:
+    """Largest of the medians of grid cells (square unless a height is given)."""
+    regions = rows.groupBy(*by, F.floor(F.col(x) / width).alias("gx"), F.floor(F.col(y) / (height or width)).alias("gy")).agg(F.percentile(v, 0.5).alias("m"))
     return regions.groupBy(*by).agg(F.max("m").alias("worst"), F.count(F.lit(1)).alias("n_regions"))
 
 
+def membrane_quality(cells: DataFrame, by: list[str], v: str, threshold: float, most: float = 0.5, least_gap: float = 0.03) -> DataFrame:
+    """by.., rate above the threshold, median_ring, and a warning where most cells are above it or the median comes near it; null values are left out."""
+    out = cells.where(F.col(v).isNotNull()).groupBy(*by).agg((F.count_if(F.col(v) > threshold) / F.count(F.lit(1))).alias("rate"), F.percentile(v, 0.5).alias("median_ring"))
+    return out.withColumn("warn", (F.col("rate") > most) | (threshold - F.col("median_ring") < least_gap))
+
+
+def label_maximum(pixels: DataFrame, by: list[str], v: str, threshold: float) -> DataFrame:
+    """The greatest value of each label and whether it passes the threshold; a label without values doesn't."""
+    return pixels.groupBy(*by).agg(F.max(v).alias("mx")).withColumn("positive", F.coalesce(F.col("mx") > threshold, F.lit(False)))
+
+
+def stain_drift(cells: DataFrame, by: list[str], v: str, threshold: float, drifts: DataFrame) -> DataFrame:
+    """Positive cells under each gain and offset of drifts(gain, off), a short list that is broadcast."""
+    c = cells.crossJoin(F.broadcast(drifts))
+    return c.groupBy("gain", "off", *by).agg(F.count_if(F.col(v) * F.col("gain") + F.col("off") > threshold).alias("positive"), F.count(v).alias("n"))
+
+
 def channel_parity(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Least-squares line of y on x with correlation, mean absolute error of the line and the gate's outcome."""
     fit = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("corr"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

@@ -120,3 +120,8 @@ def toroidal_null(a: DataFrame, b: DataFrame, shifts: DataFrame, by: list[str],
     s = F.broadcast(shifts)
     moved = b.crossJoin(s).withColumn("x", F.pmod(F.col("x") + F.col("dx"), F.lit(width))).withColumn("y", F.pmod(F.col("y") + F.col("dy"), F.lit(height))).drop("dx", "dy")
     return permuted_k(a, b, moved, shifts.select("perm_id"), by, width * height, rmax, step)
+
+
+def bounding_box(pts: DataFrame, by: list[str]) -> DataFrame:
+    """Area of the rectangle around each group's points: by.., area, n."""
+    return pts.groupBy(*by).agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"), F.count(F.lit(1)).alias("n"))

@@ -282,15 +282,21 @@ def error_budget(predicted: DataFrame, deformation: DataFrame, by: list[str]) ->
     return both.groupBy(*by).agg(F.percentile("se", 0.9).alias("tre_p90"), F.percentile(F.sqrt(F.col("se") ** 2 + F.col("deformation") ** 2), 0.9).alias("cell_p90"))
 
 
-def deformation_rms(res: DataFrame, by: list[str], fle_um: float, px_um: float, dof: int = 4) -> DataFrame:
-    """What residuals hold beyond localisation error: by.., n, rms_um, detectable.
+def measured_error(lm: DataFrame, res: DataFrame, by: list[str], px_um: float) -> DataFrame:
+    """Localisation error of each pair's landmarks (by.., fle_um: one coordinate of one section): a landmark and its partner taken over by the fit are two marks of one spot."""
+    marks = lm.select(*by, "lm_id", F.col("rx").alias("x"), F.col("ry").alias("y")).unionByName(res.select(*by, "lm_id", (F.col("rx") + F.col("ex")).alias("x"), (F.col("ry") + F.col("ey")).alias("y")))
+    return localisation_error(marks, by, "lm_id", "x", "y").select(*by, (F.col("sigma_median") * px_um).alias("fle_um"))
+
+
+def deformation_rms(res: DataFrame, by: list[str], fle: DataFrame, px_um: float, dof: int = 4) -> DataFrame:
+    """What residuals hold beyond localisation error, fle(by.., fle_um): by.., n, rms_um, detectable.
 
     Residual variance per coordinate, 2 n - dof degrees of freedom, less that of the two marks of a landmark.
     """
     free = 2 * F.count(F.lit(1)) - dof
     var = F.try_divide(F.sum(F.col("err") ** 2) * (px_um * px_um), F.when(free > 0, free))
-    s = res.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), var.alias("_var"))
-    beyond = F.col("_var") - 2 * fle_um * fle_um
+    s = res.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), var.alias("_var")).join(fle.select(*by, "fle_um"), by, "left")
+    beyond = F.col("_var") - 2 * F.col("fle_um") * F.col("fle_um")
     return s.select(*by, "n", F.sqrt(2 * F.greatest(beyond, F.lit(0.0))).alias("rms_um"), (beyond > 0).alias("detectable"))
 
 

@@ -40,9 +40,10 @@ def restained_class(spark, sf_dir):
     return cells(spark, sf_dir).select("cell_id", calls.two_marker_category(F.col("dab"), F.col("ring"), 0.2, 0.2).alias("category"))
 
 
-@add("class_predicates", "select p_partkey, p_type = 'Positive' exact, contains(lower(p_type), 'economy') substring from part")
+@add("class_predicates", "with c as (select p_partkey, ['Positive', 'weakly POSITIVE', 'Negative', null, p_type][p_size % 5 + 1] c from part) select p_partkey, coalesce(c = 'Positive', false) exact, coalesce(contains(lower(c), 'positive'), false) substring from c")
 def class_predicates(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", calls.is_positive_class(F.col("p_type")).alias("exact"), F.contains(F.lower("p_type"), F.lit("economy")).alias("substring"))
+    c = F.element_at(F.array(F.lit("Positive"), F.lit("weakly POSITIVE"), F.lit("Negative"), F.lit(None), F.col("p_type")), (F.col("p_size") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(calls.is_positive_class(c), F.lit(False)).alias("exact"), calls.mentions_positive(c).alias("substring"))
 
 
 IMG = f"""{CELLS_SQL}, img as (select image, count(*) total, count(*) filter ({POS}) positive from cells group by 1),
@@ -84,8 +85,7 @@ def quant_pipeline(spark, sf_dir):
 @add("membrane_quality", f"""with {CELLS_SQL} select image, count(*) filter (ring > 0.2) / count(*)::double rate, median(ring) median_ring,
   count(*) filter (ring > 0.2) / count(*)::double > 0.5 or 0.2 - median(ring) < 0.03 warn from cells where ring is not null group by 1""")
 def membrane_quality(spark, sf_dir):
-    c = cells(spark, sf_dir).where("ring is not null").groupBy("image").agg((F.count_if(F.col("ring") > 0.2) / F.count(F.lit(1))).alias("rate"), F.percentile("ring", 0.5).alias("median_ring"))
-    return c.withColumn("warn", (F.col("rate") > 0.5) | (0.2 - F.col("median_ring") < 0.03))
+    return aggregates.membrane_quality(cells(spark, sf_dir), ["image"], "ring", 0.2)
 
 
 CONT = f"""{LABELLED_SQL}, c as (select sample_id, count(*) filter (a and b) n11, count(*) filter (a and not b) n10, count(*) filter (not a and b) n01, count(*) filter (not a and not b) n00 from labelled group by 1)"""
@@ -186,9 +186,7 @@ def error_summary(spark, sf_dir):
 
 @add("region_worst", f"with {POINTS_SQL}, g as (select sample_id, floor(x / 100) gx, floor(y / 250) gy, median(x) m from (select sample_id, x, y from points) group by 1, 2, 3) select sample_id, max(m) worst, count(*) n_regions from g group by 1")
 def region_worst(spark, sf_dir):
-    pts = points(spark, sf_dir)
-    g = pts.groupBy("sample_id", F.floor(F.col("x") / 100).alias("gx"), F.floor(F.col("y") / 250).alias("gy")).agg(F.percentile("x", 0.5).alias("m"))
-    return g.groupBy("sample_id").agg(F.max("m").alias("worst"), F.count(F.lit(1)).alias("n_regions"))
+    return aggregates.worst_region(points(spark, sf_dir), ["sample_id"], "x", "y", "x", 100.0, 250.0)
 
 
 PAR = f"""{CELLS_SQL}, v as (select image, ring x, ring * 0.9::double + 0.01 + (cell_id % 7) * 0.001::double y from cells where ring is not null),
@@ -326,14 +324,13 @@ def first_crossing(spark, sf_dir):
 
 @add("label_maximum", f"with {CELLS_SQL} select image, cell_id % 50 lbl, max(ring) mx, coalesce(max(ring) > 0.35, false) positive from cells group by 1, 2")
 def label_maximum(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("image", (F.col("cell_id") % 50).alias("lbl")).agg(F.max("ring").alias("mx")).withColumn("positive", F.coalesce(F.col("mx") > 0.35, F.lit(False)))
+    return aggregates.label_maximum(cells(spark, sf_dir).withColumn("lbl", F.col("cell_id") % 50), ["image", "lbl"], "ring", 0.35)
 
 
 @add("stain_drift", f"""with {CELLS_SQL}, g as (select unnest([0.8, 1.0, 1.2])::double gain, unnest([0.0, 0.0, 0.1])::double off) select gain, off, image, count(*) filter (ring * gain + off > 0.2) positive, count(ring) n from cells cross join g group by 1, 2, 3""")
 def stain_drift(spark, sf_dir):
     grid = spark.createDataFrame([(0.8, 0.0), (1.0, 0.0), (1.2, 0.1)], "gain double, off double")
-    c = cells(spark, sf_dir).crossJoin(F.broadcast(grid))
-    return c.groupBy("gain", "off", "image").agg(F.count_if(F.col("ring") * F.col("gain") + F.col("off") > 0.2).alias("positive"), F.count("ring").alias("n"))
+    return aggregates.stain_drift(cells(spark, sf_dir), ["image"], "ring", 0.2, grid)
 
 
 @add("gmm_nuclear")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import choices, proximity, stochastic
 from ..sources.adapters import CELLS_SQL, POINTS_SQL, cells, marker, points, read
+from .pattern_queries import GRID_SQL
 from .registry import Catalogue
 
 catalogue = Catalogue()
@@ -213,11 +214,12 @@ def verdict_stability(spark, sf_dir):
     return choices.stable(r, ["c"]).select("c", "n", F.round("agree_frac", 9).alias("agree_frac"), "stable")
 
 
-@add("field_correlation")
+@add("field_correlation", f"""with {POINTS_SQL}, {GRID_SQL}, j as (select coalesce(p.sample_id, q.sample_id) sample_id, coalesce(p.lam, 0) a, coalesce(q.lam, 0) b from (select * from gr where marker = 'click') p full join (select * from gr where marker = 'view') q on p.sample_id = q.sample_id and p.gx = q.gx and p.gy = q.gy)
+  select sample_id, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 9) correlation from j group by 1""")
 def field_correlation(spark, sf_dir):
     pts = points(spark, sf_dir)
     grids = [stochastic.intensity_grid(marker(pts, m), BY, WIDTH, HEIGHT, 25.0, 50.0) for m in ("click", "view")]
-    return choices.field_correlation(*grids, BY)
+    return choices.field_correlation(*grids, BY).withColumn("correlation", F.round("correlation", 9))
 
 
 @add("median_nn", f"""with {POINTS_SQL}, d as (select a.sample_id, a.pt_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) d from points a join points b on a.sample_id = b.sample_id where a.marker = 'click' and b.marker = 'view' group by 1, 2)

@@ -224,7 +224,7 @@ def planar_partition(spark, sf_dir):
 
 @add("bbox_area", f"with {POINTS_SQL} select sample_id, (max(x) - min(x)) * (max(y) - min(y)) area, count(*) n from points group by 1")
 def bbox_area(spark, sf_dir):
-    return points(spark, sf_dir).groupBy("sample_id").agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"), F.count(F.lit(1)).alias("n"))
+    return point_pattern.bounding_box(points(spark, sf_dir), BY)
 
 
 @add("toroid_wrap", f"with {POINTS_SQL} select sample_id, pt_id, (x + 123.5::double) % 490 x, (y + 710.25::double) % 1000 y from points")
@@ -282,9 +282,15 @@ def arch_scale(spark, sf_dir):
     return stochastic.architecture_scale(points(spark, sf_dir), ["sample_id", "marker"], WIDTH, HEIGHT)
 
 
-@add("intensity_grid")
+GRID_SQL = """kn as (select i::bigint i, j::bigint j, exp(-((i * i + j * j) * 625.0::double) / 5000.0::double) w from range(-8, 9) a(i), range(-8, 9) b(j)), kt as (select sum(w) s from kn),
+ bn as (select marker, sample_id, floor(x / 25)::bigint bx, floor(y / 25)::bigint by_, count(*) c from points group by 1, 2, 3, 4),
+ sp as (select marker, sample_id, bx + i gx, by_ + j gy, sum(c * w / s) / 625.0::double v from bn, kn, kt where bx + i between 0 and 19 and by_ + j between 0 and 40 group by 1, 2, 3, 4),
+ gr as (select marker, sample_id, gx, gy, greatest(v, 0.02::double * avg(v) over (partition by marker, sample_id)) lam from sp)"""
+
+
+@add("intensity_grid", f"with {POINTS_SQL}, {GRID_SQL} select sample_id, gx, gy, round(lam, 12) lam from gr where marker = 'click'")
 def intensity_grid(spark, sf_dir):
-    return stochastic.intensity_grid(marker(points(spark, sf_dir), "click"), BY, WIDTH, HEIGHT, 25.0, 50.0)
+    return stochastic.intensity_grid(marker(points(spark, sf_dir), "click"), BY, WIDTH, HEIGHT, 25.0, 50.0).withColumn("lam", F.round("lam", 12))
 
 
 @add("verdict_table")

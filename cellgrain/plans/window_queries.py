@@ -134,18 +134,12 @@ def mnn_null(spark, sf_dir):
     return out.select("sample_id", "observed", F.round("null_mean", 9).alias("null_mean"), F.round("null_std", 9).alias("null_std"), "p", "n_perm", F.round("z", 6).alias("z"))
 
 
-def measured_fle(spark, sf_dir):
-    """Localisation error of each day's landmarks (um, one coordinate of one section): a landmark and its partner taken over by the fit are two marks of one spot."""
-    lm, by = landmarks(spark, sf_dir), ["pair_id"]
-    res = registration.residuals(lm, registration.similarity_fit(lm, by), by)
-    marks = lm.select("pair_id", "lm_id", F.col("rx").alias("x"), F.col("ry").alias("y")).unionByName(res.select("pair_id", "lm_id", (F.col("rx") + F.col("ex")).alias("x"), (F.col("ry") + F.col("ey")).alias("y")))
-    return registration.localisation_error(marks, by, "lm_id", "x", "y").select("pair_id", (F.col("sigma_median") * 0.5).alias("fle_um"))
-
-
 @add("certify_fitzpatrick_west")
 def certify_fitzpatrick_west(spark, sf_dir):
     """The certificate of each day's landmarks at 0.5 um a pixel, with the localisation error measured on them."""
-    return certificate.fitzpatrick_west(landmarks(spark, sf_dir), measured_fle(spark, sf_dir), ["pair_id"], 0.5, WIDTH, HEIGHT)
+    lm, by = landmarks(spark, sf_dir), ["pair_id"]
+    fle = registration.measured_error(lm, registration.residuals(lm, registration.similarity_fit(lm, by), by), by, 0.5)
+    return certificate.fitzpatrick_west(lm, fle, by, 0.5, WIDTH, HEIGHT)
 
 
 @add("roi_constraint", f"""with {POINTS_SQL}, ce as (select sample_id, avg(x) cx, avg(y) cy from points where marker = 'purchase' group by 1),
