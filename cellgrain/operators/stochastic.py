@@ -50,6 +50,15 @@ def normal_pair(*key) -> tuple[Column, Column]:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v), F.sqrt(-2 * F.log(u)) * F.sin(2 * math.pi * v)
 
 
+#: Rows of a table of numbered points (a few numbers each) up to which it is broadcast, after a count.
+BROADCAST_ROWS = 500_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """`rows` joined with a table of one row for each key: broadcast if a count shows that it is small, so that many times as many drawn rows stay where they are."""
+    return rows.join(F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table, on)
+
+
 #: Jittered positions tried for a drawn point before it stays on its support point.
 REDRAWS = 128
 
@@ -63,7 +72,8 @@ def support_null(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str],
     s = support.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("pt_id")) - 1).select(*by, "_k", F.col("x").alias("sx"), F.col("y").alias("sy"))
     n = support.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
-    drawn = permutations(b.join(n, by).select(*by, "pt_id", "_n"), n_perm).withColumn("_k", F.floor(uniform(*key, F.lit("s")) * F.col("_n")).cast("int")).join(s, [*by, "_k"])
+    drawn = permutations(b.join(n, by).select(*by, "pt_id", "_n"), n_perm).withColumn("_k", F.floor(uniform(*key, F.lit("s")) * F.col("_n")).cast("int"))
+    drawn = looked_up(drawn, s, [*by, "_k"])
     at = lambda t: [F.col(c) + jitter * z for c, z in zip(("sx", "sy"), normal_pair(*key, t), strict=True)]
     held = lambda x, y: x.between(0, width) & y.between(0, height)
     x, y = at(F.lit(0))
@@ -108,18 +118,29 @@ DRAWS = 1024
 
 def redrawn(b: DataFrame, by: list[str], width: float, height: float, n_perm: int, cell: float, sigma: float, seed: int = 0) -> DataFrame:
     """b drawn anew from its smoothed intensity in each permutation: by.., perm_id, pt_id, x, y."""
-    grid = intensity_grid(b, by, width, height, cell, sigma)
+    return drawn_from_field(permutations(b.select(*by, "pt_id"), n_perm), intensity_grid(b, by, width, height, cell, sigma), by, width, height, cell, [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")])
+
+
+def drawn_from_field(rows: DataFrame, field: DataFrame, by: list[str], width: float, height: float, cell: float, key: list[Column]) -> DataFrame:
+    """`rows` with x and y drawn from a field of cells (by.., gx, gy, lam): a cell by its share, then uniform within it.  `key` names a draw."""
     run = Window.partitionBy(*by).orderBy("gx", "gy")
     upto = F.sum("lam").over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("lam").over(Window.partitionBy(*by))
-    cells = grid.select(*by, "gx", "gy", upto.alias("hi"))
+    cells = field.select(*by, "gx", "gy", upto.alias("hi"))
     cells = cells.withColumn("lo", F.coalesce(F.lag("hi").over(run), F.lit(0.0))).withColumn("hi", F.when(F.lead("hi").over(run).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
     # a cell stands in each of the DRAWS equal parts of [0, 1) that its share overlaps, so a draw meets the few cells of its part
     part = lambda c: F.least(F.floor(F.col(c) * DRAWS), F.lit(DRAWS - 1))
     cells = cells.withColumn("_part", F.explode(F.sequence(part("lo"), part("hi"))))
-    key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
-    drawn = permutations(b.select(*by, "pt_id"), n_perm).withColumn("_u", uniform(*key, F.lit("c"))).withColumn("_part", part("_u"))
+    drawn = rows.drop("x", "y").withColumn("_u", uniform(*key, F.lit("c"))).withColumn("_part", part("_u"))
     drawn = drawn.join(cells, [*by, "_part"]).where("_u >= lo and _u < hi")
-    return drawn.select(*by, "perm_id", "pt_id", F.least((F.col("gx") + uniform(*key, F.lit("x"))) * cell, F.lit(width)).alias("x"), F.least((F.col("gy") + uniform(*key, F.lit("y"))) * cell, F.lit(height)).alias("y"))
+    drawn = drawn.withColumns({"x": F.least((F.col("gx") + uniform(*key, F.lit("x"))) * cell, F.lit(width)), "y": F.least((F.col("gy") + uniform(*key, F.lit("y"))) * cell, F.lit(height))})
+    return drawn.drop("_u", "_part", "lo", "hi", "gx", "gy")
+
+
+def field_null(a: DataFrame, b: DataFrame, field: DataFrame, by: list[str], width: float, height: float, cell: float, n_perm: int, rmax: float, step: float, seed: int = 0) -> DataFrame:
+    """K under b redrawn from a field that isn't its own (by.., gx, gy, lam), such as the smoothed field of all cells: by.., perm_id, r_idx, r, k."""
+    key = [F.lit(seed), *[F.col(c) for c in by], F.col("perm_id"), F.col("pt_id")]
+    moved = drawn_from_field(permutations(b.select(*by, "pt_id"), n_perm), field, by, width, height, cell, key)
+    return _curves(a, b, moved, by, width * height, n_perm, rmax, step)
 
 
 def reweighted_null(a: DataFrame, b: DataFrame, by: list[str], width: float, height: float, n_perm: int, rmax: float, step: float, bandwidth: float = 75.0, seed: int = 0) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import stains
 from ..functions.geometry import disc
-from ..operators import certificate, proximity, registration, voronoi, windows
-from ..sources.adapters import POINTS_SQL, landmarks, marker, points
+from ..operators import certificate, membrane, proximity, registration, stochastic, studies, voronoi, windows
+from ..sources.adapters import POINTS_SQL, landmarks, marker, points, read
 from .pair_queries import FIT
 from .pattern_queries import BY, HEIGHT, N_PERM, RMAX, STEP, WIDTH, sides
 from .registry import Catalogue
@@ -153,3 +154,59 @@ def roi_constraint(spark, sf_dir):
     parts = windows.faces(windows.layered(BY, roi=windows.outline(marker(pts, "purchase"), BY)), BY).groupBy(*BY).agg(F.sum("area").alias("area"))
     out = windows.constrained(pts.select(*BY).distinct().withColumn("verdict", F.lit("CERTIFIED")), parts, BY, WIDTH * HEIGHT, 0.7)
     return out.withColumn("window_frac", F.round("window_frac", 9))
+
+
+def _csr(n_perm):
+    return lambda a, b, by: stochastic.csr_null(a, b, by, WIDTH, HEIGHT, n_perm, RMAX, STEP)
+
+
+@add("swapped_sections")
+def swapped_sections(spark, sf_dir):
+    """Every day's clicks against the views of the next day, 1,000 permutations."""
+    a, b = sides(spark, sf_dir)
+    return studies.run_tests(a, studies.swapped(b, "sample_id"), BY, WIDTH * HEIGHT, _csr(N_PERM), RMAX, STEP)
+
+
+@add("warp_stability")
+def warp_stability(spark, sf_dir):
+    """The verdict of each day under 50 transforms within the error of its landmarks, 99 permutations each."""
+    a, b = sides(spark, sf_dir)
+    lm = landmarks(spark, sf_dir)
+    error = registration.landmark_noise(registration.residuals(lm, registration.similarity_fit(lm, ["pair_id"]), ["pair_id"]), ["pair_id"]).where("sigma is not null").withColumnRenamed("pair_id", "sample_id")
+    return studies.stability(a, b, BY, error, (WIDTH, HEIGHT), 50, _csr(99), RMAX, STEP)
+
+
+@add("warp_recovery")
+def warp_recovery(spark, sf_dir):
+    """The verdict of each day with its views turned by two degrees and shifted by 5 um, beside the one without."""
+    a, b = sides(spark, sf_dir)
+    warped = stochastic.rotated(b, 2.0, 5.0, 0.0, WIDTH / 2, HEIGHT / 2)
+    tests = [studies.run_tests(a, d, BY, WIDTH * HEIGHT, _csr(199), RMAX, STEP) for d in (b, warped)]
+    return studies.same_verdict(*tests, BY)
+
+
+@add("support_field_null")
+def support_field_null(spark, sf_dir):
+    """K under views redrawn from the smoothed field of all points of a day."""
+    a, b = sides(spark, sf_dir)
+    field = stochastic.intensity_grid(points(spark, sf_dir), BY, WIDTH, HEIGHT, 25.0, 50.0)
+    return stochastic.field_null(a, b, field, BY, WIDTH, HEIGHT, 25.0, N_PERM, RMAX, STEP)
+
+
+@add("stain_unmixing", """with p as (select l_orderkey * 10 + l_linenumber px, l_partkey % 256 r, l_suppkey * 7 % 256 g, l_quantity * 5 b from lineitem),
+ o as (select px, -log10((r + 1.0::double) / 250) x, -log10((g + 1.0::double) / 245) y, -log10((b + 1.0::double) / 240) z from p), v as (select [0.65::double, 0.70, 0.29] p, [0.27::double, 0.57, 0.78] q, [0.71::double, 0.42, 0.56] s),
+ u as (select list_transform(p, lambda t: t / sqrt(list_sum(list_transform(p, lambda w: w * w)))) p, list_transform(q, lambda t: t / sqrt(list_sum(list_transform(q, lambda w: w * w)))) q, list_transform(s, lambda t: t / sqrt(list_sum(list_transform(s, lambda w: w * w)))) s from v),
+ d as (select *, p[1] * (q[2] * s[3] - q[3] * s[2]) - p[2] * (q[1] * s[3] - q[3] * s[1]) + p[3] * (q[1] * s[2] - q[2] * s[1]) det from u)
+ select px, round((x * (q[2] * s[3] - q[3] * s[2]) + y * (q[3] * s[1] - q[1] * s[3]) + z * (q[1] * s[2] - q[2] * s[1])) / det, 9) hema, round((x * (p[3] * s[2] - p[2] * s[3]) + y * (p[1] * s[3] - p[3] * s[1]) + z * (p[2] * s[1] - p[1] * s[2])) / det, 9) dab from o, d""")
+def stain_unmixing(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("px"), (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") * 7 % 256).alias("g"), (F.col("l_quantity") * 5).alias("b"))
+    hema, dab, _ = stains.unmixed((F.col("r"), F.col("g"), F.col("b")), ((0.65, 0.70, 0.29), (0.27, 0.57, 0.78), (0.71, 0.42, 0.56)), (250.0, 245.0, 240.0))
+    return li.select("px", F.round(hema, 9).alias("hema"), F.round(dab, 9).alias("dab"))
+
+
+@add("membrane_cutoffs")
+def membrane_cutoffs(spark, sf_dir):
+    """Suppliers stand in for labelled cells, their line items for ring pixels; a nation is a marker."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_idx"), F.col("s_nationkey").alias("marker"), F.col("s_suppkey").alias("image"), (F.col("s_acctbal") > 4500).cast("int").alias("label"))
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell_idx"), (F.col("l_extendedprice") / 100000).alias("dab"), (F.col("l_tax") * 5).alias("hema"))
+    return membrane.fit_membrane(s.join(li, "cell_idx"), ["marker"])
