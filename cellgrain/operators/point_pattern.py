@@ -118,7 +118,8 @@ def permuted_k(a: DataFrame, b: DataFrame, moved: DataFrame, perms: DataFrame, b
 def toroidal_null(a: DataFrame, b: DataFrame, shifts: DataFrame, by: list[str], width: float, height: float, rmax: float, step: float) -> DataFrame:
     """(by.., perm_id, r_idx, r, k) for rigid wrapped shifts of b given by shifts(perm_id, dx, dy); shifts are broadcast, bounded by the number of permutations."""
     s = F.broadcast(shifts)
-    moved = b.crossJoin(s).withColumn("x", F.pmod(F.col("x") + F.col("dx"), F.lit(width))).withColumn("y", F.pmod(F.col("y") + F.col("dy"), F.lit(height))).drop("dx", "dy")
+    spread = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), *b.columns)
+    moved = spread.crossJoin(s).withColumn("x", F.pmod(F.col("x") + F.col("dx"), F.lit(width))).withColumn("y", F.pmod(F.col("y") + F.col("dy"), F.lit(height))).drop("dx", "dy")
     return permuted_k(a, b, moved, shifts.select("perm_id"), by, width * height, rmax, step)
 
 

@@ -80,6 +80,7 @@ def mutual_null(a: DataFrame, b: DataFrame, shifts: DataFrame, by: list[str], ca
         room = room.withColumn(f"_to_{c}", low - F.col(f"_b_{c}_lo")).withColumn(f"_span_{c}", F.greatest(F.greatest(f"_a_{c}_hi", f"_b_{c}_hi") - low - (F.col(f"_b_{c}_hi") - F.col(f"_b_{c}_lo")), F.lit(0.0)))
     room = room.select(*by, "_to_x", "_span_x", "_to_y", "_span_y")
     stay = F.col("perm_id").isNull()
+    b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), *b.columns)
     every = b.join(room, by).crossJoin(F.broadcast(shifts.select("perm_id", "u", "v").unionByName(shifts.sparkSession.range(1).select(F.lit(None).cast("long").alias("perm_id"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v")))))
     moved = every.select(*by, "pt_id", F.coalesce("perm_id", F.lit(-1)).alias("perm_id"), *[F.when(stay, F.col(c)).otherwise(F.col(c) + F.col(f"_to_{c}") + F.col(s) * F.col(f"_span_{c}")).alias(c) for c, s in (("x", "u"), ("y", "v"))])
     pairs = range_join(moved.repartition(*by, "perm_id"), a, cap, by, of_a=("perm_id",))

@@ -29,7 +29,12 @@ def normal(*key) -> Column:
 
 
 def permutations(df: DataFrame, n_perm: int) -> DataFrame:
-    return df.withColumn("perm_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))))
+    """Each row once for each permutation.
+
+    Rows are dealt out first, while they are few: they come from a few scan tasks, which would draw everything else.
+    """
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns)
+    return spread.withColumn("perm_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))))
 
 
 def _curves(a: DataFrame, b: DataFrame, moved: DataFrame, by: list[str], area: float, n_perm: int, rmax: float, step: float) -> DataFrame:

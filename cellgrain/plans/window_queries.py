@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stains
 from ..functions.geometry import disc
-from ..operators import certificate, membrane, proximity, registration, stochastic, studies, voronoi, windows
+from ..operators import certificate, membrane, proximity, regions, registration, stochastic, studies, voronoi, windows
 from ..sources.adapters import POINTS_SQL, landmarks, marker, points, read
 from .pair_queries import FIT
 from .pattern_queries import BY, HEIGHT, N_PERM, RMAX, STEP, WIDTH, sides
@@ -210,3 +210,25 @@ def membrane_cutoffs(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell_idx"), F.col("s_nationkey").alias("marker"), F.col("s_suppkey").alias("image"), (F.col("s_acctbal") > 4500).cast("int").alias("label"))
     li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell_idx"), (F.col("l_extendedprice") / 100000).alias("dab"), (F.col("l_tax") * 5).alias("hema"))
     return membrane.fit_membrane(s.join(li, "cell_idx"), ["marker"])
+
+
+@add("local_region")
+def local_region(spark, sf_dir):
+    """The region of each day whose landmarks certify by themselves, at 0.5 um a pixel."""
+    return regions.local_region(landmarks(spark, sf_dir), ["pair_id"], 0.5, WIDTH, HEIGHT)
+
+
+@add("certified_tiles")
+def certified_tiles(spark, sf_dir):
+    return regions.certified_tiles(landmarks(spark, sf_dir), ["pair_id"], 0.5, WIDTH, HEIGHT, sizes=(120.0, 90.0, 60.0))
+
+
+@add("grid_seed", f"""with {POINTS_SQL}, r as (select * from points where marker = 'click'), d as (select k, [-6, -3, 0, 3, 6][k + 1]::double deg from range(5) t(k)),
+ m as (select sample_id, pt_id, k, deg, cos(radians(deg)) * (x - 245) - sin(radians(deg)) * (y - 500) + 245 x, sin(radians(deg)) * (x - 245) + cos(radians(deg)) * (y - 500) + 500 y from points cross join d where marker = 'view'),
+ s as (select i, j, i * 10.0::double - 40 dx, j * 10.0::double - 40 dy from range(9) a(i), range(9) b(j)),
+ h as (select distinct m.sample_id, k, deg, i, j, dx, dy, m.pt_id from m join r on r.sample_id = m.sample_id and abs(r.x - m.x) <= 48 and abs(r.y - m.y) <= 48 join s on (r.x - m.x - dx) * (r.x - m.x - dx) + (r.y - m.y - dy) * (r.y - m.y - dy) <= 64),
+ c as (select sample_id, k, deg, i, j, dx, dy, count(*) hits from h group by all) select sample_id, deg as degrees, dx, dy, hits from c qualify row_number() over (partition by sample_id order by hits desc, k, i, j) = 1""")
+def grid_seed(spark, sf_dir):
+    """The turn and shift that bring most views of a day within 8 um of a click."""
+    a, b = sides(spark, sf_dir)
+    return regions.grid_seed(a, b, BY, (WIDTH / 2, HEIGHT / 2), 8.0, 40.0, 10.0)

@@ -33,14 +33,23 @@ def _outer_ring(geometry: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
+def _parts(geometry: Column) -> Column:
+    """All rings of a Polygon or MultiPolygon: parts, each an outer ring and its holes, of [x, y]; null for other shapes."""
+    kind = F.get_json_object(geometry, "$.type")
+    one = lambda schema: F.from_json(F.get_json_object(geometry, "$.coordinates"), schema)
+    return F.when(kind == "Polygon", F.array(one(f"array<{_RING}>"))).when(kind == "MultiPolygon", one(f"array<array<{_RING}>>"))
+
+
 def read_cells(spark: SparkSession, path: str, centroid: str = "area") -> DataFrame:
-    """cells(image, cell_idx, object_type, class, ring, x, y, meas) of GeoJSON files; a cell's place in its file is its key.
+    """cells(image, cell_idx, object_type, class, ring, parts, x, y, meas) of GeoJSON files; a cell's place in its file is its key.
+
+    `ring` is the outer ring of the first part, `parts` has every part with its holes.
 
     `centroid` is "area" (shoelace) or "vertices" (mean of the outer ring).
     """
     raw = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", _FEATURES).alias("g"), F.col("_metadata.file_path").alias("path"))
     one = raw.select("path", F.posexplode("g.features").alias("cell_idx", "f"))
-    out = one.select(stem(base_name(F.col("path"))).alias("image"), "cell_idx", F.lower(F.coalesce("f.properties.objectType", F.lit("detection"))).alias("object_type"), class_name(F.col("f.properties.classification")).alias("class"), _outer_ring(F.col("f.geometry")).alias("ring"), F.col("f.properties.measurements").alias("meas"))
+    out = one.select(stem(base_name(F.col("path"))).alias("image"), "cell_idx", F.lower(F.coalesce("f.properties.objectType", F.lit("detection"))).alias("object_type"), class_name(F.col("f.properties.classification")).alias("class"), _outer_ring(F.col("f.geometry")).alias("ring"), _parts(F.col("f.geometry")).alias("parts"), F.col("f.properties.measurements").alias("meas"))
     x, y = (shoelace_centroid if centroid == "area" else vertex_mean)(F.col("ring"))
     return out.withColumn("x", x).withColumn("y", y)
 

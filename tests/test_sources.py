@@ -23,6 +23,19 @@ def test_cells_of_all_shapes(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 3
 
 
+def test_holes_and_parts_survive(spark, tmp_path):
+    outer, hole, other = [[0, 0], [9, 0], [9, 9], [0, 9], [0, 0]], [[2, 2], [4, 2], [4, 4], [2, 2]], [[20, 0], [25, 0], [25, 5], [20, 0]]
+    features = [{"geometry": {"type": "Polygon", "coordinates": [outer, hole]}, "properties": {"classification": "Positive", "measurements": {"a": 1.5}}}, {"geometry": {"type": "MultiPolygon", "coordinates": [[outer, hole], [other]]}, "properties": {}}, {"geometry": {"type": "Point", "coordinates": [7, 8]}, "properties": {}}, {"geometry": None, "properties": {}}]
+    (tmp_path / "im.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    writers.write_cells_json(readers.read_cells(spark, str(tmp_path / "im.geojson")), str(tmp_path / "out"))
+    back = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted((f["geometry"]["type"], f["geometry"]["coordinates"]) for f in back if f["geometry"]) == [("MultiPolygon", [[outer, hole], [other]]), ("Point", [7.0, 8.0]), ("Polygon", [outer, hole])]
+    assert {"name": "Positive"} in [f["properties"].get("classification") for f in back] and sum(f["geometry"] is None for f in back) == 1
+    readers.read_cells(spark, str(tmp_path / "im.geojson")).select("image", "class", "ring", "meas").write.parquet(str(tmp_path / "bare"))
+    writers.write_cells_json(spark.read.parquet(str(tmp_path / "bare")), str(tmp_path / "out2"))
+    assert spark.read.text(str(tmp_path / "out2")).count() == 4
+
+
 def test_detections_and_landmarks(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("Image\tClassification\tCentroid X µm\tCentroid Y µm\na\tPositive\t10\t20\na\tNegative\tbad\t1\n")
     assert [tuple(r) for r in readers.read_detections(spark, str(tmp_path / "d.tsv"), 0.5).collect()] == [("a", "Positive", 20.0, 40.0)]
