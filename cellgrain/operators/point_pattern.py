@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .proximity import range_join, self_range_join
+from .proximity import looked_up, range_join, self_range_join
+from .scratch import scratch_folder
 
 
 def radii(spark: SparkSession, rmax: float = 100.0, step: float = 2.0) -> DataFrame:
@@ -108,10 +109,12 @@ def permuted_k(a: DataFrame, b: DataFrame, moved: DataFrame, perms: DataFrame, b
     perms are broadcast, bounded by the number of permutations. Redrawn points are dealt out by group and permutation
     first: they come from a few scan tasks, and so one large group spreads over as many tasks as there are permutations.
     """
-    moved = moved.repartition(*by, "perm_id")
-    pairs = range_join(moved.withColumn("pt_id", F.col("perm_id")), a, rmax, by).withColumnRenamed("a_id", "perm_id")
-    sizes = group_sizes(a, b, by)
-    curve = radius_profile(pairs, sizes.crossJoin(F.broadcast(perms)), [*by, "perm_id"], rmax, step).join(sizes, by)
+    scratch_folder(a.sparkSession)
+    # pairs are many: they are counted under numbers, not under the groups' own keys
+    sizes = group_sizes(a, b, by).withColumn("_g", F.monotonically_increasing_id()).checkpoint()
+    a, moved = (looked_up(d, sizes.select(*by, "_g"), by).select("_g", *c, "x", "y") for d, c in ((a, ["pt_id"]), (moved, [F.col("perm_id").alias("pt_id")])))
+    pairs = range_join(moved.repartition("_g", "pt_id"), a, rmax, ["_g"]).withColumnRenamed("a_id", "perm_id")
+    curve = radius_profile(pairs, sizes.crossJoin(F.broadcast(perms)), ["_g", "perm_id"], rmax, step).join(sizes, "_g")
     return curve.select(*by, "perm_id", "r_idx", "r", F.coalesce(F.try_divide(F.lit(area), F.col("n_a") * F.col("n_b")) * F.col("total"), F.lit(0.0)).alias("k"))
 
 

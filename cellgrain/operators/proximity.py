@@ -22,6 +22,15 @@ def _bins(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumn("_ix", F.floor(F.col(x) / size)).withColumn("_iy", F.floor(F.col(y) / size))
 
 
+#: Rows of a table of a few columns up to which it is broadcast, after a count.
+BROADCAST_ROWS = 500_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """`rows` joined with a table of one row for each key: broadcast if a count shows that it is small, so that many times as many drawn rows stay where they are."""
+    return rows.join(F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table, on)
+
+
 def range_join(a: DataFrame, b: DataFrame, r: float, by: list[str], of_a: tuple[str, ...] = (), of_b: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of a(by.., pt_id, x, y) and b with distance <= r: by.., a_id, b_id, ax, ay, bx, by_, d, and the columns of_a and of_b.
 

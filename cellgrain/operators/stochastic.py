@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .point_pattern import group_sizes, loo_intensity, permuted_k, radius_profile
-from .proximity import range_join
+from .proximity import looked_up, range_join
 
 
 def uniform(*key) -> Column:
@@ -55,15 +55,6 @@ def normal_pair(*key) -> tuple[Column, Column]:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v), F.sqrt(-2 * F.log(u)) * F.sin(2 * math.pi * v)
 
 
-#: Rows of a table of numbered points (a few numbers each) up to which it is broadcast, after a count.
-BROADCAST_ROWS = 500_000
-
-
-def looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """`rows` joined with a table of one row for each key: broadcast if a count shows that it is small, so that many times as many drawn rows stay where they are."""
-    return rows.join(F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table, on)
-
-
 #: Jittered positions tried for a drawn point before it stays on its support point.
 REDRAWS = 128
 

@@ -33,6 +33,13 @@ BANDS = {"all": (10.0, 50.0), "coloc": (10.0, 20.0), "coinfil": (20.0, 50.0)}
 SUPPORT_BANDS = BANDS | {"all": (10.0, 30.0)}
 
 
+def _needed(rmax: float, step: float, *bands: dict[str, tuple[float, float]]) -> float:
+    """The largest radius that a global test over these bands looks at: curves beyond it change no verdict, and cost most of the pairs.  All radii count where a band holds none."""
+    spans = [b for some in bands for b in some.values()]
+    held = all(any(lo <= k * step <= hi for k in range(int(rmax // step) + 1)) for lo, hi in spans)
+    return min(rmax, max(hi for _, hi in spans)) if held else rmax
+
+
 def _verdicts(primary: DataFrame, csr: DataFrame, by: list[str], resolvable: Column) -> DataFrame:
     """p, robustness and the two band verdicts of each group, from its global tests under the primary null and CSR."""
     both = primary.select(*by, "band", F.col("p_two").alias("p"), "significant", "direction").join(csr.select(*by, "band", F.col("significant").alias("csr")), [*by, "band"])
@@ -56,6 +63,7 @@ def association(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str], w
     """
     sizes = point_pattern.group_sizes(a, b, by).withColumn("power", calls.power_grade(F.least("n_a", "n_b")))
     scratch_folder(a.sparkSession)
+    rmax = _needed(rmax, step, BANDS)
     sizes = sizes.checkpoint()
     fit = sizes.where("power <> 'absent'").select(*by)
     # read again and again below, so written once
@@ -119,6 +127,7 @@ def association_pairs(pts: DataFrame, by: list[str], markers: list[str], width:
     scratch_folder(pts.sparkSession)
     table = table.withColumn("error", error).checkpoint()
 
+    rmax = _needed(rmax, step, BANDS, SUPPORT_BANDS)
     tested = []
     for null, bands in (("reweighted", BANDS), ("dense_morphology", SUPPORT_BANDS)):
         fit = table.where((F.col("primary_null") == null) & F.col("error").isNull()).select(*key, "floor_um")
