@@ -171,26 +171,36 @@ def hull_area(pts: DataFrame, by: list[str]) -> DataFrame:
     return few.groupBy(*by).applyInPandas(whole, f"{schema}, n long, hull_area double")
 
 
-def certify(lm: DataFrame, by: list[str], px_um: float, width: float, height: float) -> DataFrame:
-    """Certificate of each pair of sections from its landmarks: by.., n, fit_um, loo_um, loo_p90_um, loo_max_um, n_good, floor_um, verdict.
+def certify(lm: DataFrame, by: list[str], px_um: float, width: float, height: float, validation: DataFrame | None = None) -> DataFrame:
+    """Certificate of each pair of sections from its landmarks: by.., n, fit_um, loo_um, loo_p90_um, loo_max_um, n_good, coverage, floor_um, verdict.
 
     A similarity is fitted robustly; each landmark is then predicted by a fit of the others.  In order: too few landmarks
     -> NOT_CERTIFIABLE; median held-out error within the gate -> CERTIFIED; enough landmarks within it whose hull takes
     enough of the field -> LOCALLY_CERTIFIED, with the floor of those; a floor (three times the error) that leaves half of
     the radii readable -> RADIUS_LIMITED; an error up to the limit for deformation -> DEFORMED; else NOT_CERTIFIABLE.
     A pair's landmarks, set by hand, are one Arrow group; left-out fits go through it 256 at a time.
+
+    validation(by.., lm_id, rx, ry, mx, my): marks of a second annotator.  Where a pair has some, its error is theirs under
+    the fit of the landmarks, in place of held-out ones, and no part of the field certifies by itself.  coverage is the
+    share of the field that the landmarks' hull takes.
     """
     key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lm.select(*by).schema)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = _complex(pdf)
+        second = pdf[pdf["_second"]]
+        p, q = _complex(pdf[~pdf["_second"]])
         n, g = len(p), GATES
         z, t, _ = _robust(p, q, np.ones((1, n))) if n >= 2 else (None, None, None)
         fit = float(np.median(abs(z * p + t - q))) * px_um if n >= 2 else math.nan
-        err = _left_out(p, q) * px_um
+        if len(second) and n >= 2:
+            vp, vq = _complex(second)
+            err = abs(z * vp + t - vq) * px_um
+        else:
+            err = _left_out(p, q) * px_um
+        coverage = polygon_area(hull(np.column_stack([q.real, q.imag]))) / (width * height) if n else 0.0
         middle, p90, top = (np.median(err), np.percentile(err, 90), err.max()) if len(err) else (math.nan,) * 3
         middle = round(float(middle), 3)
-        good = q[err <= g["loo_max_um"]] if len(err) else q[:0]
+        good = q[err <= g["loo_max_um"]] if len(err) == n and not len(second) else q[:0]
         floor = round(g["floor_factor"] * middle, 3)
         if n < g["min_n"] or not len(err):
             verdict = "NOT_CERTIFIABLE"
@@ -203,9 +213,13 @@ def certify(lm: DataFrame, by: list[str], px_um: float, width: float, height: fl
         else:
             verdict = "DEFORMED" if middle <= g["deformed_loo_um"] else "NOT_CERTIFIABLE"
         numbers = {"fit_um": fit, "loo_um": middle, "loo_p90_um": p90, "loo_max_um": top}
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [n], **{c: [round(float(v), 3)] for c, v in numbers.items()}, "n_good": [len(good)], "floor_um": [floor], "verdict": [verdict]})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [n], **{c: [round(float(v), 3)] for c, v in numbers.items()}, "n_good": [len(good)], "coverage": [round(coverage, 4)], "floor_um": [floor], "verdict": [verdict]})
 
-    out = lm.select(*by, "lm_id", "rx", "ry", "mx", "my").groupBy(*by).applyInPandas(judge, f"{key}, n long, fit_um double, loo_um double, loo_p90_um double, loo_max_um double, n_good long, floor_um double, verdict string")
+    marks = lm.select(*by, "lm_id", "rx", "ry", "mx", "my", F.lit(False).alias("_second"))
+    if validation is not None:
+        second = validation.join(lm.select(*by).distinct(), by, "left_semi")
+        marks = marks.unionByName(second.select(*by, "lm_id", "rx", "ry", "mx", "my", F.lit(True).alias("_second")))
+    out = marks.groupBy(*by).applyInPandas(judge, f"{key}, n long, fit_um double, loo_um double, loo_p90_um double, loo_max_um double, n_good long, coverage double, floor_um double, verdict string")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("fit_um", "loo_um", "loo_p90_um", "loo_max_um", "floor_um")})
 
 

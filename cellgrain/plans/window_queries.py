@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import stains
+from ..functions import calls, stains
 from ..functions.geometry import disc
 from ..operators import certificate, membrane, proximity, regions, registration, stochastic, studies, voronoi, windows
 from ..sources.adapters import POINTS_SQL, landmarks, marker, points, read
@@ -232,3 +232,17 @@ def grid_seed(spark, sf_dir):
     """The turn and shift that bring most views of a day within 8 um of a click."""
     a, b = sides(spark, sf_dir)
     return regions.grid_seed(a, b, BY, (WIDTH / 2, HEIGHT / 2), 8.0, 40.0, 10.0)
+
+
+@add("spatial_batch")
+def spatial_batch(spark, sf_dir):
+    """Clicks against views of every day, in the day's window, behind the state of its registration and its certificate."""
+    from . import workflows
+
+    pts, *layers = _tissues(spark, sf_dir)
+    found, parts = windows.analysis_windows(pts, *layers, BY)
+    lm, by = landmarks(spark, sf_dir), ["pair_id"]
+    state = registration.residuals(lm, registration.similarity_fit(lm, by), by).groupBy("pair_id").agg(calls.registration_status(F.lit("features"), F.percentile("err", 0.5) * 0.5, F.lit(1.0)).alias("qc"))
+    gates = state.join(registration.certify(lm, by, 0.5, WIDTH, HEIGHT).select("pair_id", "verdict"), by, "full_outer").withColumnRenamed("pair_id", "sample_id")
+    pairs = pts.select(*BY).distinct().join(gates, BY, "left").select(*BY, F.lit("click").alias("a"), F.lit("view").alias("b"), "qc", "verdict")
+    return workflows.spatial_batch(pts, pairs, found, parts, BY, N_PERM, RMAX, STEP)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calls
-from ..operators import aggregates, envelopes, point_pattern, stochastic
+from ..operators import aggregates, envelopes, point_pattern, stochastic, windows
 from ..operators.scratch import scratch_folder
 
 
@@ -74,6 +74,36 @@ def association(a: DataFrame, b: DataFrame, support: DataFrame, by: list[str], w
     return _corrected(sizes.join(_verdicts(dense, csr, by, F.lit(True)).drop("direction"), by, "left"), by)
 
 
+def spatial_batch(pts: DataFrame, pairs: DataFrame, found: DataFrame, parts: DataFrame, by: list[str], n_perm: int, rmax: float, step: float, seed: int = 0) -> DataFrame:
+    """Association of many pairs of markers, each inside its sample's window and behind its gates; no pair is dropped.
+
+    pairs(by.., a, b, qc, verdict): the markers, the registration's state and the certificate; found and parts as
+    `windows.analysis_windows` gives them.  Rows: by.., pair, n_a, n_b, method, area, error, p, direction, robustness,
+    coloc, coinfil, q.  A pair has an error and no test where the registration is invalid, where it isn't certified, where
+    its window is invalid or missing, or where a marker has fewer than five points in the window, in this order.
+    """
+    key = [*by, "pair"]
+    scratch_folder(pts.sparkSession)
+    parts = parts.checkpoint()
+    pts = windows.inside(pts, parts, by).checkpoint()
+    pairs = pairs.withColumn("pair", F.concat("a", F.lit("__"), "b"))
+    side = lambda c: pairs.select(*key, F.col(c).alias("marker")).join(pts, [*by, "marker"]).select(*key, "pt_id", "x", "y")
+    a, b = side("a"), side("b")
+    table = pairs.join(point_pattern.group_sizes(a, b, key), key, "left").na.fill(0, ["n_a", "n_b"]).join(found.select(*by, "method", "area", F.col("error").alias("_window")), by, "left")
+    error = F.when(F.coalesce("qc", F.lit("invalid")) == "invalid", "registration_invalid").when(~F.coalesce(calls.analysable(F.col("verdict")), F.lit(False)), "uncertified").when(F.col("_window").isNotNull(), F.col("_window"))
+    error = error.when(F.coalesce("area", F.lit(0.0)) <= 0, "no_window").when(F.least("n_a", "n_b") < 5, "marker_absent")
+    table = table.withColumn("error", error).select(*key, "n_a", "n_b", "method", "area", "error").checkpoint()
+    fit = table.where("error is null").select(*key, "area")
+    a, b = (d.join(fit.select(*key), key, "left_semi").checkpoint() for d in (a, b))
+    rmax = _needed(rmax, step, BANDS)
+    own = fit.select(*key).join(parts, by)
+    seen = point_pattern.cross_k(a, b, key, 1.0, rmax, step).join(fit, key).select(*key, "r_idx", "r", (F.col("k") * F.col("area")).alias("k")).checkpoint()
+    csr = envelopes.global_test(windows.csr_null(a, b, fit, own, key, n_perm, rmax, step, seed), seen, key, BANDS)
+    support = fit.select(*key).join(pts.select(*by, "pt_id", "x", "y"), by)
+    dense = envelopes.global_test(windows.support_null(a, b, support, fit, own, key, n_perm, rmax, step, seed=seed), seen, key, BANDS)
+    return _corrected(table.join(_verdicts(dense, csr, key, F.lit(True)), key, "left"), key)
+
+
 def precheck(pts: DataFrame, by: list[str], markers: list[str], width: float, height: float, bandwidth: float = 75.0) -> DataFrame:
     """State of each marker of each sample before a test: by.., marker, n, n_support, power, scale, status.
 
