@@ -14,7 +14,10 @@ is shuffled; larger benchmarks are joined by seed.
 
 Defined results: null or empty texts and items match nothing; items of fewer
 than `MATCH` tokens are not searched for; repeated rows and items give a row
-each; rows without an id are left out of the pairs.
+each; rows without an id are left out of the pairs.  Of tiles of equal length the
+one that begins first in the item, then in the text, is marked first.  A very long
+text is searched whole; an empty table on either side gives no pairs; columns
+beyond ids and texts are not looked at (`clean_documents` carries them along).
 """
 
 from __future__ import annotations

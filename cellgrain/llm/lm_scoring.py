@@ -26,6 +26,10 @@ block, summed map-side.
 Defined results: null text counts as empty and has the end token alone; rows
 without an id are left out; without training rows every count is 0, the base
 score is 0 a token and the model is the lattice with the vocabulary's scores.
+Repeated rows are scored (and learnt from) one by one; words of equal count are
+equals, their order changes no score; an empty table gives no rows; a very long
+text is scored whole, in slices of words; columns beyond doc_id and text are not
+looked at.
 """
 
 from __future__ import annotations

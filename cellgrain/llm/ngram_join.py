@@ -39,7 +39,9 @@ shingles and are components of their own; texts shorter than five words are one
 shingle, the whole sequence; repeated rows are equal sets; rows without an id are
 left out; of an empty table nothing is returned; columns beyond doc_id and text
 are not looked at.  Rows that share an id but not a text each keep their own set;
-`keep_representatives` then keeps the first of their texts in order.
+`keep_representatives` then keeps the first of their texts in order.  A similarity
+of exactly the threshold (a tie) links; shingles of equal frequency are ordered by
+hash; a very long text is one set, whole.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ unless the table of block offsets outgrows the session's broadcast threshold.
 
 Defined results: rows without an id are left out; null text counts as empty and gives the one end id; a null
 source is a queue of its own; repeated rows are packed one by one; an empty
-table gives no rows.
+table gives no rows; queues of equal deficit are served in their order; a very long
+text is cut into as many pieces as it needs; columns beyond doc_id, text and source
+are not looked at.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ fitted on the same sample.
 
 Defined results: null or empty text is one empty line and is scored as such;
 lines are split at LF only; without two classes among the training labels every
-document scores the share of the one class seen (0.5 without any).
+document scores the share of the one class seen (0.5 without any).  Rows without
+an id are left out; repeated rows are scored one by one; a very long text is
+scored whole, line by line; an empty table gives no rows; columns beyond doc_id
+and text are not looked at.
 """
 
 from __future__ import annotations

@@ -28,7 +28,9 @@ of entries of a rank, never with pairs.  Ranks are 40-bit and contexts another
 
 Defined results: null text counts as empty; texts shorter than LENGTH lose
 nothing; rows that repeat an id are judged by that id, one by one; rows without
-an id are left out; extra columns are ignored.
+an id are left out; extra columns are ignored; equal strings of one document (ties)
+leave each other alone; a very long text is one slice of its own, read whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

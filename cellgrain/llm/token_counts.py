@@ -17,7 +17,9 @@ the chunks of a text are counted independently and joined by a prefix scan.
 
 Defined results: null and empty text have 0 tokens and 0 bytes; strings of
 control tokens inside a text are ordinary text; characters without a piece give
-one byte token for each UTF-8 byte.
+one byte token for each UTF-8 byte.  Rows without an id are left out; repeated
+rows are counted one by one; an empty table gives no rows; a very long text is
+counted whole, chunk by chunk; columns beyond doc_id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ bias alone (the prior of the training sample, below 0.5 unless most labels are
 toxic); without two classes among the training labels every document scores
 the share of the one class seen (0 without any).  Labels other than 0 and 1
 don't count, of several labels of an id the highest does, and rows without an
-id are left out.
+id are left out.  Repeated rows are scored one by one; of equally toxic windows
+the first counts; a very long text is scored whole, window by window; an empty
+table gives no rows; columns beyond doc_id and text are not looked at.
 """
 
 from __future__ import annotations
