@@ -129,3 +129,9 @@ def toroidal_null(a: DataFrame, b: DataFrame, shifts: DataFrame, by: list[str],
 def bounding_box(pts: DataFrame, by: list[str]) -> DataFrame:
     """Area of the rectangle around each group's points: by.., area, n."""
     return pts.groupBy(*by).agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"), F.count(F.lit(1)).alias("n"))
+
+
+def intensity_at(pts: DataFrame, grid: DataFrame, by: list[str], cell: float) -> DataFrame:
+    """Points with the intensity of the grid cell (by.., gx, gy, lam) in which they lie: by.., pt_id, lam; null where the grid has no such cell."""
+    place = lambda c: F.floor(F.col(c) / cell).alias(f"g{c}")
+    return pts.select(*by, "pt_id", place("x"), place("y")).join(grid, [*by, "gx", "gy"], "left").select(*by, "pt_id", "lam")

@@ -37,6 +37,19 @@ def single_folder_match(spark, sf_dir):
     return matching.match_within(files(spark, sf_dir))
 
 
+@add("stains_present", f"with {KEYED} select folder, array_to_string(list_sort(list(distinct stain) filter (stain is not null)), ',') stains, count(distinct stain)::int n from keyed group by 1")
+def stains_present(spark, sf_dir):
+    return matching.stains_present(matching.keyed_files(files(spark, sf_dir)), ["folder"])
+
+
+@add("compared_runs", """with r as (select o_custkey % 40 pair_id, avg(o_totalprice) rtre from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey % 40 pair_id, avg(o_totalprice) base from orders where o_orderkey % 2 = 1 group by 1)
+  select pair_id, round(rtre, 6) rtre, round(base, 6) base, round(rtre - base, 6) difference, rtre < base better from r join b using (pair_id)""")
+def compared_runs(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    run = lambda k: o.where(F.col("o_orderkey") % 2 == k).groupBy((F.col("o_custkey") % 40).alias("pair_id")).agg(F.avg("o_totalprice").alias("rtre"))
+    return matching.compared_runs(run(0), run(1), "pair_id", "rtre").select("pair_id", *[F.round(c, 6).alias(c) for c in ("rtre", "base", "difference")], "better")
+
+
 BUNDLE = """fl as (select 'case' || (s_suppkey // 4) || '_' || ['hema', 'marka', 'markb', 'mask'][s_suppkey % 4 + 1] || '.tif' as name from supplier where s_suppkey % 11 <> 0)"""
 
 

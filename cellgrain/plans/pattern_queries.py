@@ -293,6 +293,14 @@ def intensity_grid(spark, sf_dir):
     return stochastic.intensity_grid(marker(points(spark, sf_dir), "click"), BY, WIDTH, HEIGHT, 25.0, 50.0).withColumn("lam", F.round("lam", 12))
 
 
+@add("intensity_at", f"with {POINTS_SQL}, {GRID_SQL} select p.sample_id, pt_id, round(lam, 12) lam from points p left join (select * from gr where marker = 'click') g on g.sample_id = p.sample_id and gx = floor(x / 25) and gy = floor(y / 25) where p.marker = 'view'")
+def intensity_at(spark, sf_dir):
+    """The intensity of clicks at every view."""
+    a, b = sides(spark, sf_dir)
+    grid = stochastic.intensity_grid(a, BY, WIDTH, HEIGHT, 25.0, 50.0)
+    return point_pattern.intensity_at(b, grid, BY, 25.0).withColumn("lam", F.round("lam", 12))
+
+
 @add("verdict_table")
 def verdict_table(spark, sf_dir):
     """The association workflow: CSR baseline and support null, two bands, robustness and cohort FDR for each day."""
