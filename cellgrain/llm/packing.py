@@ -27,6 +27,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -51,16 +52,23 @@ END_ID = 1
 BLOCK_TEXTS = 4000
 
 _WORD = re.compile(r"[^ \n\t\r]+")
-#: Letters that NFC leaves alone and whose lower case is one letter, then ASCII signs other than the apostrophe and the brackets of special tokens.
-_PARTED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;=?@^_`{}~-]*)")
+# the splitting pattern is a value of the vocabulary's file, and fixed
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A character beyond white space, ASCII without "<" and ">" (special tokens hold them), and letters that NFC leaves alone and whose lower case is one letter.
+_ODD = re.compile("[^ \\n\\t\\r!-;=?-~À-ÖØ-öø-ÿ]")
+#: _SPLIT for lower-cased texts without odd characters.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:;=?@\\[-`{-~]+")
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window_id long"
 
 
 class WordEncoder:
-    """Token ids of whole texts, encoding each white-space-separated word once.
+    """Token ids of whole texts, encoding each part of a text once.
 
     The vocabulary splits at white space and drops it, so the ids of a text are
-    those of its words in order.
+    those of its words in order.  Where its file normalises and splits as
+    expected, words without odd characters are split here, and their different
+    parts go straight to the file's merges: the last id of a part is that of a
+    token at a word's end.  Other words are encoded whole.
     """
 
     SEP = "\x00"
@@ -69,49 +77,75 @@ class WordEncoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
         self.words: dict[str, bytes] = {}
         self.sep_ids = self.tokenizer.encode(self.SEP, add_special_tokens=False).ids
         self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.merges = None
+        if self._as_expected(json.loads(self.tokenizer.to_str())):
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.spelt = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(33, 256) if not _ODD.search(chr(k))}
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
+
+    def _as_expected(self, spec: dict) -> bool:
+        steps = (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers")
+        wanted = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}], [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        model = spec["model"]
+        plain = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"])
+        return steps == wanted and plain and not spec["post_processor"] and all(_ODD.search(t) for t in self.special)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        new = words - self.words.keys()
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text, in order; words with odd characters are parts as they stand."""
+        if self.merges is None:
+            return _WORD.findall(text)
+        if not _ODD.search(text):
+            return _PARTS.findall(text.lower())
+        return [part for w in _WORD.findall(text) for part in ([w] if _ODD.search(w) else _PARTS.findall(w.lower()))]
+
+    def learn(self, parts: set[str]) -> None:
+        new = parts - self.words.keys()
         if len(self.words) + len(new) > self.keep:
             self.words.clear()
-            new = words
-        # letters and the signs after them are encoded apart, whatever the letters' case
-        parted = {w: (m[1].lower(), m[2]) for w in new if (m := _PARTED.fullmatch(w))}
-        todo = {part for parts in parted.values() for part in parts if part}.union(w for w in new if w not in parted)
-        self._learn_parts(todo - self.words.keys())
-        get = self.words
-        for w, (letters, signs) in parted.items():
-            get[w] = get[letters] + get[signs] if signs else get[letters]
-
-    def _learn_parts(self, new: set[str]) -> None:
-        odd = [w for w in new if self.SEP in w or any(s in w for s in self.special)] if len(self.sep_ids) == 1 else list(new)
-        plain = list(new.difference(odd))
-        for w, ids in zip(odd, self._encode(odd), strict=True):
-            self.words[w] = np.array(ids, np.uint16).tobytes()
+            new = parts
+        odd = new if self.merges is None else {w for w in new if _ODD.search(w)}
+        self._learn_odd(odd)
+        plain = list(new - odd)
         for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = np.array(self._encode([f" {self.SEP} ".join(part)])[0], np.uint16)
-            cuts = np.flatnonzero(ids == self.sep_ids[0])
-            raw = ids.tobytes()
-            starts, ends = [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)]
-            self.words.update((w, raw[x:y]) for w, x, y in zip(part, starts, ends, strict=True))
+            some = plain[k : k + 2000]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some).translate(self.spelt)], add_special_tokens=False)[0].ids, np.uint16)
+            self._keep(some, ids.tobytes(), np.r_[0, np.flatnonzero(self.ends[ids]) + 1], 0)
+
+    def _learn_odd(self, new: set[str]) -> None:
+        alone = [w for w in new if self.SEP in w or any(s in w for s in self.special)] if len(self.sep_ids) == 1 else list(new)
+        rest = list(new.difference(alone))
+        for w, ids in zip(alone, self._encode(alone), strict=True):
+            self.words[w] = np.array(ids, np.uint16).tobytes()
+        for k in range(0, len(rest), 2000):
+            some = rest[k : k + 2000]
+            ids = np.array(self._encode([f" {self.SEP} ".join(some)])[0], np.uint16)
+            self._keep(some, ids.tobytes(), np.r_[0, np.flatnonzero(ids == self.sep_ids[0]) + 1, len(ids) + 1], 1)
+
+    def _keep(self, parts: list[str], raw: bytes, bounds: np.ndarray, between: int) -> None:
+        """The ids of each part: those from its bound up to the next one, less the ids that stand between parts."""
+        at = (2 * bounds).tolist()
+        self.words.update((w, raw[x : y - 2 * between]) for w, x, y in zip(parts, at[:-1], at[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
-        words = [_WORD.findall(t) for t in texts]
-        self.learn(set().union(*words) if words else set())
+        parts = [self.parts(t) for t in texts]
+        self.learn(set().union(*parts) if parts else set())
         get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [b"".join(map(get, p)) for p in parts]
 
 
 @lru_cache(maxsize=2)
