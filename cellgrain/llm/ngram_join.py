@@ -68,6 +68,8 @@ EXTENDED = 32
 BROADCAST_PAIRS = 500_000
 #: Text bytes for each bucket of the first sieve.
 BUCKET_BYTES = 12 << 20
+#: Text bytes that are hashed at once; the arrays take about 100 bytes for each.
+PART_BYTES = 1 << 19
 
 _P = np.uint64(0x2545F4914F6CDD1D)
 
@@ -113,6 +115,13 @@ def _signed(data: np.ndarray, offsets: np.ndarray):
     return h, bounds, n, np.maximum(mix64(sid + n.astype(np.uint64)), np.uint64(1))
 
 
+def _signed_in_parts(data: np.ndarray, at: np.ndarray):
+    """`_signed` of the texts data[at[i]:at[i+1]], hashed PART_BYTES at a time."""
+    h, _, n, sid = zip(*(_signed(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in doc_slices(at, PART_BYTES)), strict=True)
+    n = np.concatenate(n)
+    return np.concatenate(h), np.r_[0, np.cumsum(n)], n, np.concatenate(sid)
+
+
 def _signatures(batches):
     for batch in batches:
         ids, (data, offsets) = batch.column(0), flat_utf8(batch.column(1))
@@ -141,7 +150,7 @@ def _prefixes(n_buckets: int):
             for begin, end in doc_slices(offsets, 2 * SLICE_BYTES):
                 for lo in range(begin, end, SLICE_TEXTS):
                     at = offsets[lo : min(end, lo + SLICE_TEXTS) + 1]
-                    h, bounds, n, sid = _signed(data[at[0] : at[-1]], at - at[0])
+                    h, bounds, n, sid = _signed_in_parts(data, at)
                     new = np.zeros(len(n), bool)
                     for k, s in enumerate(sid.tolist()):
                         if n[k] and s not in sent:

@@ -36,6 +36,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,14 @@ LENGTH = 50
 K = 20
 #: Text bytes for each bucket of ranks and each bucket of documents.
 BUCKET_BYTES = 12 << 20
+#: Text bytes whose ranks go into one packed row for each bucket.
 SLICE = 2 << 20
+#: Text bytes that numpy works on at once; its arrays take about 80 bytes for each.
+PIECE = 1 << 19
 #: Contexts of one rank that are compared in one task.
 MOST = 60_000
 #: Longest run of string starts worked on at once; longer documents are cut there.
-LONGEST = 8 << 20
+LONGEST = 1 << 20
 
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
@@ -120,7 +124,7 @@ class Runs:
 
 def pieces(data: np.ndarray, offsets: np.ndarray):
     """(first text, texts, start in data, end) of slices; a text beyond LONGEST is cut into overlapping parts."""
-    for lo, hi in doc_slices(offsets, SLICE):
+    for lo, hi in doc_slices(offsets, min(PIECE, SLICE)):
         begin, end = int(offsets[lo]), int(offsets[hi])
         if end - begin <= LONGEST + LENGTH:
             yield lo, hi, begin, end
@@ -159,38 +163,50 @@ def _key(rank: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix64((rank << np.uint64(24)) ^ context * np.uint64(_R)) & _M48
 
 
+def _entries(batches):
+    """(rank, context, document) of the runs of about SLICE bytes of text together."""
+    held, size = [], 0
+    for batch in batches:
+        ids, (data, offsets) = batch.column(0).to_numpy(), flat_utf8(batch.column(1))
+        for lo, hi, begin, end in pieces(data, offsets):
+            r = _runs(data, offsets, lo, hi, begin, end)
+            if len(r.doc):
+                held.append((r.rank, r.context, ids[lo:hi][r.doc].astype(np.int64)))
+            size += end - begin
+            del r
+            if held and size >= SLICE:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def _ranks(n_buckets: int):
     """Task side of steps 1 and 2: each (rank, context) with the smallest document of the slice that has it, packed by rank."""
 
     def run(batches):
-        for batch in batches:
-            ids, (data, offsets) = batch.column(0).to_numpy(), flat_utf8(batch.column(1))
-            for lo, hi, begin, end in pieces(data, offsets):
-                r = _runs(data, offsets, lo, hi, begin, end)
-                if not len(r.doc):
-                    continue
-                doc = ids[lo:hi][r.doc].astype(np.int64)
-                order = np.lexsort((doc, r.context, r.rank))
-                rank, context, doc = r.rank[order], r.context[order], doc[order]
-                fresh = np.r_[True, (rank[1:] != rank[:-1]) | (context[1:] != context[:-1])]
-                once = fresh | np.r_[True, doc[1:] != doc[:-1]]
-                rank, context, doc, fresh = rank[once], context[once], doc[once], fresh[once]
-                # a context that stands in several documents of the slice goes on for the smallest one; in the others all its strings repeat
-                if not fresh.all():
-                    later = [doc[~fresh].tobytes(), _key(rank[~fresh], context[~fresh]).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(rank[~fresh][0] % np.uint64(n_buckets))], pa.int32()), *(pa.array([c], pa.binary()) for c in (None, *later, None))], ["bucket", "a", "b", "c", "d"])
-                rank, context, doc = rank[fresh], context[fresh], doc[fresh]
-                bucket = ((rank >> np.uint64(8)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-                first = np.r_[True, bucket[1:] != bucket[:-1]]
-                step = np.r_[rank[:1], np.diff(rank)]
-                step[first] = 0  # a row's first rank stands in its head, before the ids of its documents
-                wide = step.astype(np.uint64) if (step >> np.uint64(32)).any() else step.astype(np.uint32)
-                cuts = np.flatnonzero(first)
-                held = [np.unique(doc[x:y], return_inverse=True) for x, y in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)]
-                number = np.concatenate([k for _, k in held]).astype(np.uint32)
-                rows = _rows(bucket, [wide, _bytes5(context), number, number[:, None][:, :0]])
-                head = [int(x).to_bytes(8, "little") + own.tobytes() for x, (own, _) in zip(rank[cuts], held, strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), rows.column(3), pa.array(head, pa.binary())], ["bucket", "a", "b", "c", "d"])
+        for rank, context, doc in _entries(batches):
+            order = np.lexsort((doc, context, rank))
+            rank, context, doc = rank[order], context[order], doc[order]
+            fresh = np.r_[True, (rank[1:] != rank[:-1]) | (context[1:] != context[:-1])]
+            once = fresh | np.r_[True, doc[1:] != doc[:-1]]
+            rank, context, doc, fresh = rank[once], context[once], doc[once], fresh[once]
+            # a context that stands in several documents of the slice goes on for the smallest one; in the others all its strings repeat
+            if not fresh.all():
+                later = [doc[~fresh].tobytes(), _key(rank[~fresh], context[~fresh]).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(rank[~fresh][0] % np.uint64(n_buckets))], pa.int32()), *(pa.array([c], pa.binary()) for c in (None, *later, None))], ["bucket", "a", "b", "c", "d"])
+            rank, context, doc = rank[fresh], context[fresh], doc[fresh]
+            bucket = ((rank >> np.uint64(8)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+            first = np.r_[True, bucket[1:] != bucket[:-1]]
+            step = np.r_[rank[:1], np.diff(rank)]
+            step[first] = 0  # a row's first rank stands in its head, before the ids of its documents
+            wide = step.astype(np.uint64) if (step >> np.uint64(32)).any() else step.astype(np.uint32)
+            cuts = np.flatnonzero(first)
+            held = [np.unique(doc[x:y], return_inverse=True) for x, y in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)]
+            number = np.concatenate([k for _, k in held]).astype(np.uint32)
+            rows = _rows(bucket, [wide, _bytes5(context), number, number[:, None][:, :0]])
+            head = [int(x).to_bytes(8, "little") + own.tobytes() for x, (own, _) in zip(rank[cuts], held, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), rows.column(3), pa.array(head, pa.binary())], ["bucket", "a", "b", "c", "d"])
 
     return run
 
@@ -465,34 +481,35 @@ def _compare(n_docs: int, most: int):
 
 def _removed(keep_text: bool):
     def work(ids, data, offsets, marks):
-        n = len(offsets) - 1
-        change = np.zeros(len(data) + 1, np.int32)
-        for lo, hi, begin, end in pieces(data, offsets):
-            r = _runs(data, offsets, lo, hi, begin, end)
-            if not len(r.doc):
-                continue
-            mask = _masks(r, ids[lo:hi], marks) & FULL
-            some = np.flatnonzero(mask)
-            count = (r.last - r.first + 1)[some]
-            row = np.repeat(some, count)
-            col = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            hit = (mask[row] >> col.astype(np.uint32)) & np.uint32(1) > 0
-            starts = r.first[row[hit]] + col[hit] + begin
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + LENGTH, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        inner = offsets[:-1][offsets[:-1] < len(data)]
-        opens[inner] = gone[inner]
-        count_gone, count_open = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(opens)]
-        kept = [data[x:y][~gone[x:y]].tobytes() if count_gone[y] > count_gone[x] else data[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-        columns = [pa.array(ids), pa.array(np.diff(offsets)), pa.array(np.diff(count_gone[offsets])), pa.array(np.diff(count_open[offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        if keep_text:
-            columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
-            names.append("kept_text")
-        if n:
+        for (lo, hi), cuts in groupby(pieces(data, offsets), key=lambda piece: piece[:2]):
+            base, at = int(offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
+            own = data[base : int(offsets[hi])]
+            change = np.zeros(len(own) + 1, np.int32)
+            for _, _, begin, end in cuts:
+                r = _runs(data, offsets, lo, hi, begin, end)
+                if not len(r.doc):
+                    continue
+                mask = _masks(r, ids[lo:hi], marks) & FULL
+                some = np.flatnonzero(mask)
+                count = (r.last - r.first + 1)[some]
+                row = np.repeat(some, count)
+                col = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                hit = (mask[row] >> col.astype(np.uint32)) & np.uint32(1) > 0
+                starts = r.first[row[hit]] + col[hit] + begin - base
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + LENGTH, -1)
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            inner = at[:-1][at[:-1] < len(own)]
+            opens[inner] = gone[inner]
+            count_gone, count_open = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(opens)]
+            kept = [own[x:y][~gone[x:y]].tobytes() if count_gone[y] > count_gone[x] else own[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+            columns = [pa.array(ids[lo:hi]), pa.array(np.diff(at)), pa.array(np.diff(count_gone[at])), pa.array(np.diff(count_open[at])), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if keep_text:
+                columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
+                names.append("kept_text")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return lambda batches: _with_marks(batches, work)
