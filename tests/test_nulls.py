@@ -66,3 +66,15 @@ def test_permuted_k_equals_cross_k(spark, days):
     one = point_pattern.permuted_k(a, b, moved, perms, ["sample_id"], WIDTH * HEIGHT, 100.0, 2.0)
     two = point_pattern.cross_k(a.crossJoin(perms), moved, ["sample_id", "perm_id"], WIDTH * HEIGHT).select(*one.columns)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_lookup_in_a_table_beyond_broadcast_sorts_nothing(spark, monkeypatch):
+    from cellgrain.operators import proximity
+
+    monkeypatch.setattr(proximity, "BROADCAST_ROWS", 2)
+    table = spark.createDataFrame([("a", k, float(k)) for k in range(5)], "s string, k int, x double")
+    rows = spark.createDataFrame([("a", i, i % 6) for i in range(20)], "s string, pt_id int, k int")
+    out = proximity.looked_up(rows, table, ["s", "k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r["pt_id"], r["x"]) for r in out.collect()) == [(i, float(i % 6)) for i in range(20) if i % 6 < 5]
