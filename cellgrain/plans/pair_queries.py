@@ -183,8 +183,8 @@ def spread_landmarks(spark, sf_dir):
 
 @add("local_affine")
 def local_affine(spark, sf_dir):
-    """Where each click of a day lies in the other section, by its six nearest landmarks."""
-    q = points(spark, sf_dir).where("marker = 'purchase'").select(F.col("sample_id").alias("pair_id"), "pt_id", "x", "y")
+    """Where each point of a day, of whatever marker, lies in the other section, by its six nearest landmarks."""
+    q = points(spark, sf_dir).select(F.col("sample_id").alias("pair_id"), "pt_id", "x", "y")
     return registration.local_affine(q, landmarks(spark, sf_dir), ["pair_id"])
 
 
